@@ -10,6 +10,8 @@ the Java regex engine behind Spark; ``(?U)`` makes ``\\s`` Unicode aware and
 # -- whitespace and flags -------------------------------------------------
 U = "(?Ud)"
 WS = r"[\s\x1C-\x1F]"           # what a Unicode-aware strip removes
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+            "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 WS_INLINE = r"[^\S\n]"          # the same without the newline
 
 # -- encodings ------------------------------------------------------------

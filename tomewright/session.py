@@ -16,7 +16,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false")
+        b = (b.master(master).config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
