@@ -106,6 +106,7 @@ def people(blocks: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     opens = (F.when(F.col("hit").isNotNull(), F.col("hit"))
              .when(((F.col("level") == 3) & ~F.col("stop")) | ((F.col("level") >= 4) & F.col("pref").isNotNull()),
                    F.coalesce("pref", own)))
+    opens = F.nullif(opens, F.lit(""))
     turn = F.when(opens.isNotNull() | (F.col("level") <= 2), F.struct(opens.alias("name"), F.col("block_no").alias("at")))
     b = blocks.join(heads.select(*at, turn.alias("turn"), "title"), at, "left")
     w = Window.partitionBy(*keys).orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)

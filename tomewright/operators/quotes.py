@@ -11,6 +11,8 @@ from tomewright.operators.ordered import locate_in_spans
 from tomewright.operators.passages import BROADCAST_PROBES, find_segments, flat_blocks, flat_spans
 from tomewright.session import cut_lineage
 
+FOLD_LIMIT = 4096       # occurrences of one slice that may meet in one task
+
 _IN = K.WS_INLINE
 _MARK_AHEAD = "(?Udm)" + rf"^(?={_IN}*(?:\*\*)?{_IN}*【原文{_IN}*[·・:：]?{_IN}*[^】\n]*】)"
 _QUOTE_LINE = rf"{_IN}*>[^\n]*(?:\n|\z)"
@@ -54,39 +56,71 @@ def slice_segments(slices: DataFrame, keys: list[str]) -> DataFrame:
             .where("seg_no is not null"))
 
 
-def locate_in_order(occurrences: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Chosen position per segment: keys, seg_no, pos, out_of_order.
-
-    Each segment is taken at its first occurrence behind the previous one,
-    else at its first occurrence at all (out of order); a segment without
-    occurrence leaves the cursor alone.  One round per segment number, each a
-    ``min`` that combines before the shuffle, so a segment with very many
-    occurrences is never collected.
-    """
-    last = segments.agg(F.max("seg_no")).first()[0]
-    size = segments.select(*keys, "seg_no", F.length("seg").alias("_len"))
-    state = segments.select(*keys).distinct().withColumn("cursor", F.lit(0).cast("long"))
+def _in_memory_order(occ: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """The ordered search as a fold over one slice; only for slices of bounded size."""
+    per_seg = occ.groupBy(*keys, "seg_no").agg(F.array_sort(F.collect_list("pos")).alias("ps"))
+    sized = per_seg.join(segments.select(*keys, "seg_no", F.length("seg").alias("len")), [*keys, "seg_no"])
+    rows = sized.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seg_no", "len", "ps"))).alias("ss"))
+    pick = "struct<seg_no:int,pos:bigint,out_of_order:boolean>"
+    start = F.struct(F.lit(0).cast("long").alias("cursor"), F.array().cast(f"array<{pick}>").alias("out"))
+
+    def step(a, s):
+        def choose(ahead):
+            pos = F.coalesce(ahead, s["ps"][0])
+            return F.struct(
+                (pos + s["len"]).cast("long").alias("cursor"),
+                F.concat(a["out"], F.array(F.struct(
+                    s["seg_no"].cast("int").alias("seg_no"), pos.alias("pos"),
+                    ahead.isNull().alias("out_of_order")).cast(pick))).alias("out"))
+        return T.let(F.get(F.filter(s["ps"], lambda p: p >= a["cursor"]), F.lit(0)), choose)
+
+    chosen = F.aggregate("ss", start, step, lambda a: a["out"])
+    return rows.select(*keys, F.explode_outer(chosen).alias("x")).select(*keys, "x.*")
+
+
+def _round_order(occ: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """The same search in rounds: one ``min`` per segment number, combined before the shuffle."""
+    size = segments.select(*keys, "seg_no", F.length("seg").alias("_len")).join(
+        occ.select(*keys).distinct(), keys, "left_semi")
+    last = size.agg(F.max("seg_no")).first()[0]
+    state = size.select(*keys).distinct().withColumn("cursor", F.lit(0).cast("long"))
     chosen = None
-    for n in range((last if last is not None else -1) + 1):
-        occ = occurrences.where(F.col("seg_no") == n).select(*keys, "pos")
+    for n in range(last + 1):
         ahead = F.when(F.col("pos") >= F.col("cursor"), F.col("pos"))
-        pick = (occ.join(state, keys).groupBy(*keys)
+        pick = (occ.where(F.col("seg_no") == n).select(*keys, "pos").join(state, keys).groupBy(*keys)
                 .agg(F.min(ahead).alias("_next"), F.min("pos").alias("_first"))
                 .join(size.where(F.col("seg_no") == n), keys)
-                .select(*keys, "seg_no", F.coalesce("_next", "_first").alias("pos"),
+                .select(*keys, F.col("seg_no").cast("int").alias("seg_no"),
+                        F.coalesce("_next", "_first").alias("pos"),
                         F.col("_next").isNull().alias("out_of_order"), "_len"))
-        if last > 0:
-            pick = cut_lineage(pick)
-            state = (state.join(pick.select(*keys, (F.col("pos") + F.col("_len")).alias("_to")), keys, "left")
-                     .select(*keys, F.coalesce("_to", "cursor").alias("cursor")))
+        pick = cut_lineage(pick)
+        state = cut_lineage(state.join(pick.select(*keys, (F.col("pos") + F.col("_len")).alias("_to")), keys, "left")
+                            .select(*keys, F.coalesce("_to", "cursor").alias("cursor")))
         pick = pick.drop("_len")
         chosen = pick if chosen is None else chosen.unionByName(pick)
-    if chosen is None:
-        return segments.select(*keys, "seg_no", F.lit(0).cast("long").alias("pos"),
-                               F.lit(False).alias("out_of_order")).where("false")
     return chosen
 
 
+def locate_in_order(occurrences: DataFrame, segments: DataFrame, keys: list[str],
+                    group_limit: int = FOLD_LIMIT) -> DataFrame:
+    """Chosen position per segment: keys, seg_no, pos, out_of_order.
+
+    Each segment is taken at its first occurrence behind the previous one,
+    else at its first occurrence at all (out of order); a segment without
+    occurrence leaves the cursor alone.  Slices are counted first: those with
+    few occurrences are folded in one pass, those with many (common short
+    pieces) go through distributed rounds, so no large group meets in a task.
+    """
+    hot = (occurrences.groupBy(*keys).agg(F.count("*").alias("_n"))
+           .where(F.col("_n") > group_limit).select(*keys))
+    if hot.isEmpty():
+        return _in_memory_order(occurrences, segments, keys)
+    hot = cut_lineage(hot)
+    few = _in_memory_order(occurrences.join(hot, keys, "left_anti"), segments, keys)
+    many = _round_order(cut_lineage(occurrences.join(hot, keys, "left_semi")), segments, keys)
+    return few.unionByName(many)
+
+
 def _chapter_name(n: Column) -> Column:
     return F.concat(F.lit("第"), n.cast("string"), F.lit("章"))
 
@@ -106,7 +140,7 @@ def verify_slices(slices: DataFrame, chapter_text: DataFrame, spans: DataFrame |
         wanted = chapter_text.join(slices.select("book_id").distinct(), "book_id", "left_semi")
         spans = flat_spans(wanted) if spans is None else spans
         blocks = flat_blocks(wanted, spans)
-    segs = slice_segments(slices, keys)
+    segs = cut_lineage(slice_segments(slices, keys))
     occ = cut_lineage(find_segments(blocks, segs, [*keys, "seg_no"], ["book_id"], scope=["book_id"],
                                     broadcast_probes=broadcast_probes))
     chosen = locate_in_order(occ, segs, keys)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +25,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names."""
+    """Write ``df`` to the shared folder the cluster names and read it back.
+
+    A written table survives lost executors and, unlike a checkpointed plan,
+    reports its true size to the planner, which matters where a loop feeds
+    results back.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if folder:
-        if jsc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(folder)
-    elif jsc.getCheckpointDir().isEmpty():
+    if not folder:
         # no cluster setting: a local run or a test
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tomewright-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="tomewright-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/tomewright-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
