@@ -1,11 +1,12 @@
 """Exact location of text passages in a corpus, without a nested loop.
 
-A text is cut into blocks, a block into non-overlapping tiles of ``k``
-characters.  Any occurrence of a passage with at least ``2k - 1`` characters
-contains exactly one tile that is the first whole tile inside it, so probing
-the ``k`` tiles at passage offsets ``0 .. k-1`` finds every occurrence exactly
-once by an *equi join*; a substring comparison then confirms it.  Each passage
-uses the widest tile its length allows, which keeps the keys selective.
+A text is cut into blocks; from each block the ``gram`` characters at every
+``stride``-th position become join keys.  An occurrence of a passage with at
+least ``gram + stride - 1`` characters holds exactly one key at its first
+stride position, so probing the passage at offsets ``0 .. stride-1`` finds
+every occurrence exactly once by an *equi join*; a comparison then confirms
+it.  Each passage uses the widest tier its length allows, which keeps the keys
+selective.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from tomewright.operators.ordered import ordered_scan
 
-TILES = (2, 4, 8, 16, 32)
-BLOCK = 4096            # characters owned by a block; a multiple of every tile
+# (gram, stride); a tier serves passages from gram + stride - 1 characters up to the next tier
+TIERS = ((3, 2), (6, 4), (12, 8), (24, 16), (40, 32))
+BLOCK = 4096            # characters owned by a block; a multiple of every stride
 CHUNK = 1024            # longer passages are matched chunk by chunk
 BROADCAST_PROBES = 500_000
 
@@ -84,8 +86,35 @@ def _chunks(segments: DataFrame, keys: list[str], seg: str) -> DataFrame:
     rows = rows.select(*keys, "_s", F.size("_at").alias("n_chunks"), F.explode_outer("_at").alias("off"))
     rows = rows.select(*keys, "n_chunks", "off", F.substring(
         F.col("_s"), F.col("off") + 1, F.lit(CHUNK)).alias("chunk"))
-    k = F.coalesce(*[F.when(F.length("chunk") >= 2 * t - 1, F.lit(t)) for t in reversed(TILES)])
-    return rows.withColumn("k", k).where("k is not null")
+    tier = F.coalesce(*[F.when(F.length("chunk") >= g + t - 1, F.lit(i))
+                        for i, (g, t) in reversed(list(enumerate(TIERS)))])
+    return rows.withColumn("tier", tier).where("tier is not null")
+
+
+def _longest(tier: int) -> int:
+    """Most characters a passage of the tier can have."""
+    return sum(TIERS[tier + 1]) - 2 if tier + 1 < len(TIERS) else CHUNK
+
+
+def _keys_of(blocks: DataFrame, place: list[str], tiers: list[int], carry: list[str]) -> DataFrame:
+    """place, base, tier, _t (key position in the block), gram, near.
+
+    ``near`` is the neighbourhood any passage of the tier can cover, from
+    stride-1 characters before the key; the widest tier leaves it to the block.
+    """
+    spec = F.array(*[F.struct(
+        F.lit(i).alias("tier"), F.lit(TIERS[i][0]).alias("g"), F.lit(TIERS[i][1]).alias("t"),
+        F.lit(f"(?s)(?=(.{{1,{TIERS[i][1] - 1 + (_longest(i) if i + 1 < len(TIERS) else TIERS[i][0])}}}))"
+              f".{{{TIERS[i][1]}}}").alias("rx")) for i in tiers])
+    b = blocks.select(*place, "base", *carry, F.col("block").alias("_b"), F.explode(spec).alias("s"))
+    padded = F.concat(F.repeat(F.lit("\x00"), F.col("s.t") - 1), F.col("_b"))
+    # an occurrence owned by this block has its first key at BLOCK or before
+    near = F.slice(F.regexp_extract_all(padded, F.col("s.rx"), F.lit(1)), F.lit(1),
+                   (F.lit(BLOCK) / F.col("s.t")).cast("int") + 1)
+    return (b.select(*place, "base", *carry, "s.tier", "s.g", "s.t", F.posexplode_outer(near).alias("_i", "near"))
+            .where("_i is not null")
+            .select(*place, "base", *carry, "tier", (F.col("_i") * F.col("t")).alias("_t"),
+                    F.substring(F.col("near"), F.col("t"), F.col("g")).alias("gram"), "near", "t"))
 
 
 def find_segments(blocks: DataFrame, segments: DataFrame, keys: Sequence[str], place: Sequence[str],
@@ -94,7 +123,7 @@ def find_segments(blocks: DataFrame, segments: DataFrame, keys: Sequence[str], p
     """All occurrences: keys, place, pos (0-based start).
 
     ``scope`` columns (a subset of place that also exists in ``segments``)
-    restrict the search.  Passages need three characters or more.  The probe
+    restrict the search.  Passages need four characters or more.  The probe
     table is counted first: a small one is broadcast, so the corpus is
     streamed once and never shuffled; a large one is joined by shuffle on the
     tile, carrying only coordinates, and the text is joined back for the
@@ -103,34 +132,36 @@ def find_segments(blocks: DataFrame, segments: DataFrame, keys: Sequence[str], p
     keys, place, scope = list(keys), list(place), list(scope)
     carried = keys + [s for s in scope if s not in keys]
     chunks = _chunks(segments, carried, seg)
-    tiers = chunks.groupBy("k").agg(F.count("*").alias("n"), F.max("n_chunks").alias("most")).collect()
-    n_probes = sum(r["k"] * r["n"] for r in tiers)
-    chunked = any(r["most"] > 1 for r in tiers)
-    probes = (chunks.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-              .withColumn("gram", F.substring(F.col("chunk"), F.col("c") + 1, F.col("k"))))
-
-    widths = sorted(r["k"] for r in tiers) or [TILES[0]]
-    tiled = blocks.withColumn("k", F.explode(F.array(*[F.lit(k) for k in widths])) if len(widths) > 1
-                              else F.lit(widths[0]))
-    pattern = F.concat(F.lit("(?s).{"), F.col("k").cast("string"), F.lit("}")) if len(widths) > 1 \
-        else F.lit(f"(?s).{{{widths[0]}}}")
-    # an occurrence owned by this block has its first whole tile at BLOCK or before
-    tiles = F.slice(F.regexp_extract_all("block", pattern, F.lit(0)), F.lit(1),
-                    (F.lit(BLOCK) / F.col("k")).cast("int") + 1)
+    found = chunks.groupBy("tier").agg(F.count("*").alias("n"), F.max("n_chunks").alias("most")).collect()
+    n_probes = sum(TIERS[r["tier"]][1] * r["n"] for r in found)
+    chunked = any(r["most"] > 1 for r in found)
+    used = sorted(r["tier"] for r in found) or [0]
     small = n_probes <= broadcast_probes
-    body = ["block"] if small else []
-    grams = (tiled.select(*place, "base", *body, "k", F.posexplode_outer(tiles).alias("_i", "gram"))
-             .where("_i is not null")
-             .select(*place, "base", *body, "gram", (F.col("_i") * F.col("k")).alias("_t")))
-    probes = probes.select(*carried, "n_chunks", "off", "chunk", "c", "gram")
-    cand = (grams.join(F.broadcast(probes) if small else probes, [*scope, "gram"])
-            .withColumn("_s", F.col("_t") - F.col("c"))
-            .where((F.col("_s") >= 0) & (F.col("_s") < BLOCK)))
-    if not small:
-        cand = cand.join(blocks, [*place, "base"])
-    hit = cand.where(F.substring(F.col("block"), F.col("_s") + 1, F.length("chunk")) == F.col("chunk"))
+
+    def branch(tiers: list[int], by_block: bool) -> DataFrame:
+        mine = chunks.where(F.col("tier").isin(*tiers))
+        gram, stride = (F.element_at(F.array(*[F.lit(x[i]) for x in TIERS]), F.col("tier") + 1) for i in (0, 1))
+        probes = (mine.withColumn("c", F.explode(F.sequence(F.lit(0), stride - 1)))
+                  .select(*carried, "n_chunks", "off", "chunk", "c", "tier",
+                          F.substring(F.col("chunk"), F.col("c") + 1, gram).alias("gram")))
+        grams = _keys_of(blocks, place, tiers, ["block"] if by_block and small else [])
+        if by_block:
+            grams = grams.drop("near")
+        cand = (grams.join(F.broadcast(probes) if small else probes, [*scope, "tier", "gram"])
+                .withColumn("_s", F.col("_t") - F.col("c")).where((F.col("_s") >= 0) & (F.col("_s") < BLOCK)))
+        if not by_block:
+            same = F.substring(F.col("near"), F.col("t") - F.col("c"), F.length("chunk")) == F.col("chunk")
+        else:
+            if not small:
+                cand = cand.join(blocks, [*place, "base"])
+            same = F.substring(F.col("block"), F.col("_s") + 1, F.length("chunk")) == F.col("chunk")
+        return cand.where(same)
+
     out = [*keys, *[p for p in place if p not in keys]]
-    hit = hit.select(*out, "n_chunks", (F.col("base") + F.col("_s") - F.col("off")).alias("pos"))
+    wide = len(TIERS) - 1
+    parts = [branch(t, w) for t, w in (([t for t in used if t < wide], False), ([t for t in used if t == wide], True)) if t]
+    parts = [p.select(*out, "n_chunks", (F.col("base") + F.col("_s") - F.col("off")).alias("pos")) for p in parts]
+    hit = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if not chunked:
         return hit.drop("n_chunks")
     # a long passage occurs where all of its chunks do

@@ -138,7 +138,7 @@ def verify_slices(slices: DataFrame, chapter_text: DataFrame, spans: DataFrame |
     keys = ["book_id", "doc_id", "slice_no"]
     if blocks is None:
         wanted = chapter_text.join(slices.select("book_id").distinct(), "book_id", "left_semi")
-        spans = flat_spans(wanted) if spans is None else spans
+        spans = cut_lineage(flat_spans(wanted)) if spans is None else spans
         blocks = flat_blocks(wanted, spans)
     segs = cut_lineage(slice_segments(slices, keys))
     occ = cut_lineage(find_segments(blocks, segs, [*keys, "seg_no"], ["book_id"], scope=["book_id"],
