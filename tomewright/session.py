@@ -24,19 +24,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return b.getOrCreate()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A fresh folder name below the shared one the cluster names."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        # no cluster setting: a local run or a test
+        folder = tempfile.mkdtemp(prefix="tomewright-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/tomewright-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder the cluster names and read it back.
+    """Write ``df`` to the shared folder and read it back.
 
     A written table survives lost executors and, unlike a checkpointed plan,
     reports its true size to the planner, which matters where a loop feeds
     results back.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        # no cluster setting: a local run or a test
-        folder = tempfile.mkdtemp(prefix="tomewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/tomewright-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
