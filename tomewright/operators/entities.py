@@ -152,19 +152,26 @@ def _quote(c: Column) -> Column:
 
 
 def mention_patterns(aliases: DataFrame, key: str) -> DataFrame:
-    """One alternation per dictionary, longest alias first, behind a first-character class.
+    """One pattern per dictionary: a tree over the first two characters, then the rests, longest first.
 
-    The look-ahead lets the matcher skip a position after one set lookup
-    instead of trying every alias there.
+    At a position the matcher descends to the few names that share its two
+    characters instead of trying the whole dictionary.
     """
     a = aliases.where(F.length("alias") >= K.MENTION_MIN_CHARS).select(key, "alias", "canonical").distinct()
-    heads = F.concat(F.lit("(?=["), F.array_join(F.transform(
-        F.array_sort(F.collect_set(F.substring("alias", 1, 1))),
-        lambda c: F.regexp_replace(c, r"([^\p{L}\p{N}])", r"\\$1")), ""), F.lit("])"))
-    sized = F.array_sort(F.collect_list(F.struct((-F.length("alias")).alias("n"), "alias")))
-    body = F.array_join(F.transform(sized, lambda x: _quote(x["alias"])), "|")
-    return a.groupBy(key).agg(F.concat(heads, F.lit("(?:"), body, F.lit(")")).alias("pattern"),
-                              F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("who"))
+    a = a.select(key, "alias", "canonical", F.substring("alias", 1, 1).alias("c1"),
+                 F.substring("alias", 2, 1).alias("c2"), F.substring("alias", 3, 10 ** 6).alias("rest"))
+
+    def either(branches):
+        return F.concat(F.lit("(?:"), F.array_join(branches, "|"), F.lit(")"))
+
+    rests = F.transform(F.array_sort(F.collect_list(F.struct((-F.length("rest")).alias("n"), "rest"))),
+                        lambda x: F.when(x["rest"] == "", "").otherwise(_quote(x["rest"])))
+    two = a.groupBy(key, "c1", "c2").agg(F.concat(_quote(F.col("c2")), either(rests)).alias("p"),
+                                         F.collect_list(F.struct("alias", "canonical")).alias("who"))
+    one = two.groupBy(key, "c1").agg(F.concat(_quote(F.col("c1")), either(F.collect_list("p"))).alias("p"),
+                                     F.flatten(F.collect_list("who")).alias("who"))
+    return one.groupBy(key).agg(either(F.collect_list("p")).alias("pattern"),
+                                F.map_from_entries(F.flatten(F.collect_list("who"))).alias("who"))
 
 
 def mentions(texts: DataFrame, aliases: DataFrame, key: str, place: list[str], text: str = "text",

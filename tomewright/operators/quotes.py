@@ -11,7 +11,7 @@ from tomewright.operators.ordered import locate_in_spans
 from tomewright.operators.passages import BROADCAST_PROBES, find_segments, flat_blocks, flat_spans
 from tomewright.session import cut_lineage
 
-FOLD_LIMIT = 4096       # occurrences of one slice that may meet in one task
+FOLD_LIMIT = 262_144     # occurrences of one slice that may meet in one task (a few MB)
 
 _IN = K.WS_INLINE
 _MARK_AHEAD = "(?Udm)" + rf"^(?={_IN}*(?:\*\*)?{_IN}*【原文{_IN}*[·・:：]?{_IN}*[^】\n]*】)"
