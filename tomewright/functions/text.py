@@ -169,7 +169,8 @@ def heading(s: Column, loose_numbered: bool = False) -> Column:
         digits = F.when(kind == "volume", part(K.VOLUME_HEADING, 1)).when(
             kind == "chapter", F.coalesce(group(s, K.CHAPTER_HEADING), group(s, K.LATIN_HEADING),
                                           group(s, numbered)))
-        return F.struct(kind.alias("kind"), cn_number(digits).alias("num"), title.alias("title"))
+        return F.struct(kind.alias("kind"), cn_number(digits).alias("num"),
+                        F.when(kind.isNotNull(), title).alias("title"))
 
     return let(heading_kind(s, loose_numbered), build)
 

@@ -62,7 +62,6 @@ def digest_blocks(docs: DataFrame, keys: list[str]) -> DataFrame:
     marks = F.regexp_extract("_head", "^#+", 0)
     cells = F.transform(all_lines, lambda r: F.transform(
         F.split(F.regexp_replace(r, r"^\|+|\|+$", ""), r"\|", -1), T.ustrip))
-    rule = F.when(k == "ul", K.BULLET)
     items = F.when(k == "ul", F.transform(all_lines, lambda r: F.regexp_replace(r, K.BULLET, ""))) \
         .when(k == "ol", F.transform(all_lines, lambda r: F.regexp_replace(r, K.ORDERED, "")))
     text = (F.when(k == "h", T.ustrip(F.substring(F.col("_head"), F.length(marks) + 1, F.length("_head"))))
@@ -283,9 +282,6 @@ def unit_parts(docs: DataFrame, keys: list[str]) -> DataFrame:
                     ((F.col("part") == "entry") & (F.size("nums") > 0)).alias("ok"))
 
 
-_ORDER_KEYS = ("min_ch", "brief", "opener")
-
-
 def entries(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Entries of every unit with their sort key (first chapter, detailed before brief, source order)."""
     e = unit_parts(docs, keys).where("part = 'entry'")
@@ -324,43 +320,62 @@ def reorder_digest(docs: DataFrame, keys: list[str]) -> DataFrame:
 
     Lead, sorted entries each followed by its slices, slices without entry,
     closing lines.  Ordering by (keys, unit_no, out_no) gives the new text.
+    The parts of one unit (a piece of one document) meet in one row and are
+    arranged there, so the document is read and grouped once.
     """
+    none = F.array().cast("array<string>")
     parts = unit_parts(docs, keys)
-    at = attach_slices(parts, keys)
-    home = parts.where("part = 'entry'").select(
-        *keys, "unit_no", F.col("opener").alias("entry"),
-        F.coalesce(F.array_min("nums"), F.lit(K.NO_CHAPTER)).alias("_a"),
-        (F.coalesce(F.col("level"), F.lit("")) != K.LEVEL_KEY).cast("int").alias("_b"))
-    p = (parts.join(at, [*keys, "unit_no", "opener"], "left")
-         .withColumn("entry", F.when(F.col("part") == "entry", F.col("opener")).otherwise(F.col("entry")))
-         .join(home, [*keys, "unit_no", "entry"], "left"))
-    rank = (F.when(F.col("part") == "head", 0).when(F.col("part") == "lead", 1)
-            .when(F.col("entry").isNotNull(), 2).when(F.col("part") == "slice", 3).otherwise(4))
-    entry_lines = F.when(F.col("ok"), F.concat(
-        F.array(render_head(F.col("chpart"), F.col("level"), F.col("title"), F.col("after"))),
-        F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))))).otherwise(F.col("lines"))
-    body = (F.when(F.col("part") == "entry", _trim(entry_lines))
-            .when(F.col("part") == "slice", F.concat(F.array(F.lit("")), F.col("lines"), F.array(F.lit(""))))
-            .when((F.col("part") == "head") | (F.col("unit_no") == 0), F.col("lines"))
-            .otherwise(_trim(F.col("lines"))))
-    order = [F.col("_r"), F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0)), F.coalesce("entry", F.lit(-1)),
-             (F.col("part") == "slice").cast("int"), F.col("opener")]
-    g = p.select(*keys, "unit_no", "part", "opener", "entry", "_a", "_b", rank.alias("_r"),
-                 body.alias("body")).where("size(body) > 0")
-    w = Window.partitionBy(*keys, "unit_no").orderBy(*order)
-    last = F.lag(F.when(F.col("part") != "head", F.element_at("body", -1))).over(w)
-    bullet = F.ltrim(F.col("body")[0]).startswith("- ")
-    space = ((F.col("part") == "entry") & last.isNotNull() & ~(F.ltrim(last).startswith("- ") & bullet)) \
-        | ((F.col("part") == "tail") & last.isNotNull() & (F.trim(last) != ""))
-    g = g.withColumn("body", F.when(F.coalesce(space, F.lit(False)), F.concat(
-        F.array(F.lit("")), F.col("body"))).otherwise(F.col("body"))).withColumn("_n", F.row_number().over(w))
-    out = g.groupBy(*keys, "unit_no").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", "body"))), lambda x: x["body"])).alias("ls"),
-        F.bool_or(F.col("part") == "head").alias("_h"))
-    head = F.when(F.col("_h"), F.slice("ls", 1, 1)).otherwise(F.array().cast("array<string>"))
-    rest = F.when(F.col("_h"), F.slice("ls", 2, F.size("ls"))).otherwise(F.col("ls"))
-    new = F.when(F.col("unit_no") == 0, F.col("ls")).otherwise(F.concat(head, _trim(rest)))
-    return (out.select(*keys, "unit_no", F.posexplode_outer(new).alias("out_no", "line"))
+    u = parts.groupBy(*keys, "unit_no").agg(F.array_sort(F.collect_list(F.struct(
+        "opener", "part", "lines", "level", "nums", "chpart", "title", "after", "ok"))).alias("ps"))
+
+    def lines_in(part):
+        return F.flatten(F.transform(F.filter("ps", lambda p: p["part"] == part), lambda p: p["lines"]))
+
+    def entry(e):
+        body = F.when(e["ok"], F.concat(
+            F.array(render_head(e["chpart"], e["level"], e["title"], e["after"])),
+            F.slice(e["lines"], 2, F.greatest(F.size(e["lines"]) - 1, F.lit(0))))).otherwise(e["lines"])
+        return F.struct(F.coalesce(F.array_min(e["nums"]), F.lit(K.NO_CHAPTER)).alias("ch"),
+                        (F.coalesce(e["level"], F.lit("")) != K.LEVEL_KEY).alias("brief"),
+                        e["opener"].alias("opener"), e["nums"].alias("nums"), _trim(body).alias("body"))
+
+    found = F.struct(
+        F.array_sort(F.transform(F.filter("ps", lambda p: p["part"] == "entry"), entry)).alias("entries"),
+        F.filter("ps", lambda p: p["part"] == "slice").alias("slices"),
+        _trim(lines_in("lead")).alias("lead"), _trim(lines_in("tail")).alias("tail"))
+
+    def place(z):
+        def home(s):
+            first = F.get(F.filter(z["entries"], lambda e: F.array_contains(e["nums"], F.array_min(s["nums"]))), F.lit(0))
+            return F.struct(first["opener"].alias("home"),
+                            F.concat(F.array(F.lit("")), s["lines"], F.array(F.lit(""))).alias("lines"))
+        return F.struct(z["entries"].alias("entries"), z["lead"].alias("lead"), z["tail"].alias("tail"),
+                        F.transform(z["slices"], home).alias("slices"))
+
+    def assemble(z):
+        def attached(opener):
+            return F.filter(z["slices"], lambda s: s["home"] == opener)
+
+        def block(e, i):
+            prev = F.get(z["entries"], i - 1)
+            before = F.when(i == 0, F.try_element_at(z["lead"], F.lit(-1))).when(
+                F.size(attached(prev["opener"])) > 0, "").otherwise(F.try_element_at(prev["body"], F.lit(-1)))
+            joined = F.ltrim(before).startswith("- ") & F.ltrim(F.get(e["body"], F.lit(0))).startswith("- ")
+            gap = F.when(before.isNotNull() & ~joined, F.array(F.lit(""))).otherwise(none)
+            return F.concat(gap, e["body"], F.flatten(F.transform(attached(e["opener"]), lambda s: s["lines"])))
+
+        loose = F.flatten(F.transform(F.filter(z["slices"], lambda s: s["home"].isNull()), lambda s: s["lines"]))
+        return F.struct(F.concat(z["lead"], F.flatten(F.transform(z["entries"], block)), loose).alias("out"),
+                        z["tail"].alias("tail"))
+
+    def close(z):
+        gap = F.when((F.size(z["tail"]) > 0) & (F.trim(F.coalesce(F.try_element_at(z["out"], F.lit(-1)), F.lit(""))) != ""),
+                     F.array(F.lit(""))).otherwise(none)
+        return _trim(F.concat(z["out"], gap, z["tail"]))
+
+    body = T.let(T.let(T.let(found, place), assemble), close)
+    new = F.when(F.col("unit_no") == 0, lines_in("lead")).otherwise(F.concat(lines_in("head"), body))
+    return (u.select(*keys, "unit_no", F.posexplode_outer(new).alias("out_no", "line"))
             .where("out_no is not null"))
 
 
