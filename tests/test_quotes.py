@@ -125,12 +125,13 @@ def test_search_equals_brute_force(spark, probes):
     assert got == want
 
 
-def test_flat_blocks_rebuild_the_book(spark):
+@pytest.mark.parametrize("limit", [P.BROADCAST_SPANS, 0])
+def test_flat_blocks_rebuild_the_book(spark, limit):
     rnd = random.Random(2)
     parts = ["".join(rnd.choice("xyz") for _ in range(n)) for n in (1, 0, 5000, 4096, 3, 9000, 1023)]
     ct = spark.createDataFrame([("b", i, t) for i, t in enumerate(parts)], "book_id string, idx int, norm string")
     flat = "".join(parts)
-    rows = P.flat_blocks(ct, P.flat_spans(ct, bits=1)).orderBy("base").collect()
+    rows = P.flat_blocks(ct, P.flat_spans(ct, bits=1), limit).orderBy("base").collect()
     assert [r.base for r in rows] == list(range(0, len(flat), P.BLOCK))
     assert all(r.block == flat[r.base:r.base + P.BLOCK + P.CHUNK] for r in rows)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tomewright import fixed as K
 from tomewright.functions import text as T
+from tomewright.session import cut_lineage
 
 BROADCAST_PATTERN_CHARS = 16_000_000
 
@@ -83,6 +84,7 @@ def people(blocks: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     it.  Level-3 headings also add their name to the dictionary for the
     headings below them.
     """
+    blocks = cut_lineage(blocks)        # read by every branch below
     table = table_aliases(blocks, keys)
     known = table.withColumn("since", F.lit(-1).cast("long"))
     title = T.ustrip(F.regexp_replace(F.col("text"), r"^\*+|\*+$", ""))

@@ -23,6 +23,7 @@ TIERS = ((3, 2), (6, 4), (12, 8), (24, 16), (40, 32))
 BLOCK = 4096            # characters owned by a block; a multiple of every stride
 CHUNK = 1024            # longer passages are matched chunk by chunk
 BROADCAST_PROBES = 500_000
+BROADCAST_SPANS = 500_000
 
 
 def _overlapping(block: int, overlap: int) -> str:
@@ -44,16 +45,20 @@ def flat_spans(chapter_text: DataFrame, bits: int = 16) -> DataFrame:
             .select("book_id", "idx", "norm_start", (F.col("norm_start") + F.col("_n")).alias("norm_end")))
 
 
-def flat_blocks(chapter_text: DataFrame, spans: DataFrame) -> DataFrame:
+def flat_blocks(chapter_text: DataFrame, spans: DataFrame, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
     """(book_id, base, block) over the text of each book read as one string.
 
     A match may run across chapter borders.  Chapters are cut at the block
     grid of their book and regrouped by block, so a group never exceeds
     BLOCK + CHUNK characters however large the book is.  The table can be
     written once and reused for every audit of the same text.
+
+    ``spans`` (narrow; best a written table) is counted: few are broadcast, so
+    the text moves once, to its block; many are joined by shuffle.
     """
+    few = spans.count() <= broadcast_spans
     t = (chapter_text.select("book_id", F.col("idx").cast("long").alias("idx"), "norm")
-         .join(spans, ["book_id", "idx"]).where("norm_end > norm_start"))
+         .join(F.broadcast(spans) if few else spans, ["book_id", "idx"]).where("norm_end > norm_start"))
     first = (F.lit(BLOCK) - F.col("norm_start") % BLOCK).cast("int")
     rest = F.substring(F.col("norm"), first + 1, F.length("norm"))
     cut = F.concat(F.array(F.substring(F.col("norm"), F.lit(1), first)),

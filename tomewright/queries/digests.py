@@ -10,10 +10,16 @@ from tomewright.operators import digest as D
 from tomewright.operators import segment as S
 from tomewright.queries.base import DG, IX, LN, digests, documents, index, old_digests
 from tomewright.queries.splitting import AD
+from tomewright.session import cut_lineage
 
 KEYS = ["book_id", "doc_id"]
 
 
+def _blocks(docs):
+    """Block table, written once because several branches read it."""
+    return cut_lineage(D.digest_blocks(docs, KEYS))
+
+
 def _long(df, *cols):
     return df.withColumns({c: F.col(c).cast("long") for c in cols})
 
@@ -46,12 +52,12 @@ def labelled_entries(spark, d):
 
 
 def slice_levels(spark, d):
-    s = D.level_of_slices(D.digest_blocks(digests(spark, d), KEYS), KEYS)
+    s = D.level_of_slices(_blocks(digests(spark, d)), KEYS)
     return s.select(*KEYS, F.col("bucket_no").cast("long").alias("bucket_no"), "ch", "level")
 
 
 def key_only(spark, d):
-    return D.key_only(D.digest_blocks(digests(spark, d), KEYS), KEYS).select(*KEYS, "kind", "text")
+    return D.key_only(_blocks(digests(spark, d)), KEYS).select(*KEYS, "kind", "text")
 
 
 def entries_sorted(spark, d):
@@ -88,25 +94,25 @@ def order_audit(spark, d):
 
 
 def chapter_anchors(spark, d):
-    b = D.digest_blocks(digests(spark, d), KEYS)
+    b = _blocks(digests(spark, d))
     return A.anchors(b, D.units(b, KEYS), KEYS)
 
 
 def resolved_refs(spark, d):
     docs = digests(spark, d)
-    b = D.digest_blocks(docs, KEYS)
+    b = _blocks(docs)
     return _long(A.resolve_refs(docs, A.anchors(b, D.units(b, KEYS), KEYS), KEYS), "ord")
 
 
 def nav_chapters(spark, d):
     docs = digests(spark, d)
-    b = D.digest_blocks(docs, KEYS)
+    b = _blocks(docs)
     return A.nav_chapters(docs, index(spark, d), A.anchors(b, D.units(b, KEYS), KEYS), b)
 
 
 def nav_without_index(spark, d):
     docs = digests(spark, d)
-    b = D.digest_blocks(docs, KEYS)
+    b = _blocks(docs)
     none = index(spark, d).where("false")
     return A.nav_chapters(docs, none, A.anchors(b, D.units(b, KEYS), KEYS), b)
 

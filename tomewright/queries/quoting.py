@@ -13,6 +13,7 @@ from tomewright.operators import quotes as Q
 from tomewright.operators.ordered import locate_in_spans
 from tomewright.queries.base import DG, IX, chapter_norms, digests, documents, index, sql_norm
 from tomewright.queries.planning import PARTS, _digest_parts
+from tomewright.session import cut_lineage
 from tomewright.sources.tables import read_table
 
 
@@ -28,7 +29,7 @@ def passages_exact(spark, d):
 def passages_located(spark, d):
     """First occurrence of every passage in every book, with its chapter."""
     ct = chapter_norms(spark, d)
-    spans = P.flat_spans(ct)
+    spans = cut_lineage(P.flat_spans(ct))
     hits = P.find_segments(P.flat_blocks(ct, spans), _items(spark, d).withColumnRenamed("norm", "seg"),
                            ["item_id"], ["book_id"])
     first = hits.groupBy("item_id", "book_id").agg(F.min("pos").alias("pos"))
