@@ -2,7 +2,7 @@
 
 from tomewright.functions.text import (cn_number, guess_range, normalize, progress_key,  # noqa: F401
                                        progress_label)
-from tomewright.operators.anchors import anchors, nav_chapters, resolve_refs, slice_anchors, text_refs  # noqa: F401
+from tomewright.operators.anchors import anchors, digest_stats, nav_chapters, resolve_refs, slice_anchors, text_refs  # noqa: F401
 from tomewright.operators.audit import (asof_state, asof_states, card_counts, duplicate_chapters,  # noqa: F401
                                         missing_cards, redo_batches, spoiler_leaks)
 from tomewright.operators.catalog import (cards, continue_reading, group_pages, latest_progress,  # noqa: F401
@@ -27,6 +27,6 @@ from tomewright.plans.reading import (assign_batches, assign_segments, audit_pla
 from tomewright.sources.files import (chapter_files, decode_books, encoding_census, index_files,  # noqa: F401
                                       raw_files, scan_pages, source_chunks)
 from tomewright.sources.index import read_index, read_index_positional  # noqa: F401
-from tomewright.sources.sinks import write_batches, write_index, write_table  # noqa: F401
+from tomewright.sources.sinks import write_batches, write_index, write_segments, write_table  # noqa: F401
 from tomewright.streaming.ingest import current_index, current_text, ingest_stream, refresh_text  # noqa: F401
 from tomewright.streaming.progress import progress_stream, throttled_saves  # noqa: F401

@@ -60,3 +60,13 @@ def nav_chapters(docs: DataFrame, chapters: DataFrame, anchor_map: DataFrame, bl
     sliced = slice_anchors(blocks, keys).where("k = 1").join(bare, keys, "left_semi").select(
         *keys, "ch", "label", "anchor")
     return listed.unionByName(sliced)
+
+
+def digest_stats(docs: DataFrame, units: DataFrame, nav: DataFrame, people: DataFrame) -> DataFrame:
+    """Units, reachable chapters and people per digest; people belong to the book."""
+    keys = ["book_id", "doc_id"]
+    u = units.where("kind = 'unit'").groupBy(*keys).agg(F.count("*").alias("units"))
+    n = nav.groupBy(*keys).agg(F.count("*").alias("chapters"))
+    p = people.groupBy("book_id").agg(F.count("*").alias("people"))
+    out = docs.select(*keys).distinct().join(u, keys, "left").join(n, keys, "left").join(p, "book_id", "left")
+    return out.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("units", "chapters", "people")])

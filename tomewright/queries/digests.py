@@ -11,6 +11,7 @@ from tomewright.operators import segment as S
 from tomewright.queries.base import DG, IX, LN, digests, documents, index, old_digests
 from tomewright.queries.splitting import AD
 from tomewright.session import cut_lineage
+from tomewright.sources.tables import read_table
 
 KEYS = ["book_id", "doc_id"]
 
@@ -117,6 +118,18 @@ def nav_without_index(spark, d):
     return A.nav_chapters(docs, none, A.anchors(b, D.units(b, KEYS), KEYS), b)
 
 
+def digest_stats(spark, d):
+    """People of a book: its documents labelled good."""
+    docs = digests(spark, d)
+    b = _blocks(docs)
+    u = D.units(b, KEYS)
+    nav = A.nav_chapters(docs, index(spark, d), A.anchors(b, u, KEYS), b)
+    good = read_table(spark, d, "labels", "doc_id", "quality").where("quality = 1")
+    people = read_table(spark, d, "documents", "doc_id", "source").join(good, "doc_id").select(
+        F.col("source").alias("book_id"))
+    return A.digest_stats(docs, u, nav, people)
+
+
 _HEAD = "x8 || '（第' || (i + 1) || '–' || (i + 6) || '章）'"
 OLD = LN + """,
 od AS (SELECT book_id, doc_id, i, i // 7 AS g, i % 7 AS r,
@@ -191,4 +204,9 @@ QUERIES = {
       FROM an JOIN ix ON ix.book_id = an.book_id AND ix.idx = an.ch"""),
     "nav_without_index": (nav_without_index, f"""WITH {DG} SELECT book_id, doc_id, i AS ch, '' AS label,
       's' || i || '-1' AS anchor FROM dg WHERE r = 3"""),
+    "digest_stats": (digest_stats, f"""WITH {DG}, {IX}, u AS (SELECT doc_id, count(*) AS units, max(i) + 6 AS hi FROM dg WHERE r = 0
+        GROUP BY doc_id), n AS (SELECT source AS book_id, count(*) AS n FROM documents GROUP BY source),
+      p AS (SELECT source AS book_id, count(*) AS people FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY source)
+      SELECT d.source AS book_id, d.doc_id, units, least(hi, n) AS chapters, coalesce(people, 0) AS people
+      FROM documents d JOIN u USING (doc_id) JOIN n ON n.book_id = d.source LEFT JOIN p ON p.book_id = d.source"""),
 }
