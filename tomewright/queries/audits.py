@@ -12,18 +12,21 @@ from tomewright.functions import text as T
 from tomewright.sources.tables import read_table
 
 BEFORE = "2024-01-02 00:00:00"
+# the column has no time zone, and neither has this
+MICROS = ("cast(cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(20, 6)) "
+          "* 1000000 as bigint)")
 
 
 def asof_state(spark, d):
     e = read_table(spark, d, "events").select(F.col("user_id").alias("entity"), "ts", "event_id",
                                               F.col("event_type").alias("state"))
-    return A.asof_state(e, F.lit(BEFORE).cast("timestamp"), "ts", "state", ("entity",), "event_id")
+    return A.asof_state(e, F.lit(BEFORE).cast("timestamp_ntz"), "ts", "state", ("entity",), "event_id")
 
 
 def asof_states(spark, d):
     """State of every user at each of their errors, from the other events before it."""
     e = read_table(spark, d, "events").select(
-        F.lit("log").alias("book_id"), F.col("user_id").alias("entity"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ch"),
+        F.lit("log").alias("book_id"), F.col("user_id").alias("entity"), F.expr(MICROS).alias("ch"),
         F.col("event_type").alias("state"))
     points = e.where("state = 'error'").select("book_id", "entity", "ch")
     return A.asof_states(e.where("state <> 'error'"), points, bits=36)
