@@ -22,7 +22,7 @@ def index_violations(spark, d):
     ix = index(spark, d).join(_labelled(spark, d), "doc_id")
     rows = ix.select("book_id", "idx", "chars", "toxic")
     rows = rows.unionByName(rows.where("toxic = 1")).drop("toxic")
-    return R.validate_index(rows, 1, 60)
+    return R.validate_index(rows, 1)
 
 
 def batches_grid(spark, d):
@@ -103,7 +103,7 @@ def chapter_refs(spark, d):
 
 
 def covered_chapters(spark, d):
-    return C.covered_chapters(_digest_parts(spark, d), index(spark, d), 10, 40)
+    return C.covered_chapters(_digest_parts(spark, d), index(spark, d))
 
 
 def missing_chapters(spark, d):
@@ -143,12 +143,10 @@ _BATCH = """SELECT book_id, batch, "start", "end", chapters, chars, '单元' ||
 
 QUERIES = {
     "index_violations": (index_violations, f"""WITH {IX},
-      r AS (SELECT book_id, idx, toxic FROM ix JOIN labels USING (doc_id) WHERE idx BETWEEN 1 AND 60),
-      g AS (SELECT book_id, idx, lag(idx, 1, 0) OVER (PARTITION BY book_id ORDER BY idx) AS p,
-        lead(idx) OVER (PARTITION BY book_id ORDER BY idx) AS nx FROM r)
+      r AS (SELECT book_id, idx, toxic FROM ix JOIN labels USING (doc_id)),
+      g AS (SELECT book_id, idx, lag(idx, 1, 0) OVER (PARTITION BY book_id ORDER BY idx) AS p FROM r)
       SELECT book_id, 'duplicate' AS kind, idx AS first, idx AS last FROM r WHERE toxic = 1
-      UNION ALL SELECT book_id, 'gap', p + 1, idx - 1 FROM g WHERE idx > p + 1
-      UNION ALL SELECT book_id, 'gap', idx + 1, 60 FROM g WHERE nx IS NULL AND idx < 60"""),
+      UNION ALL SELECT book_id, 'gap', p + 1, idx - 1 FROM g WHERE idx > p + 1"""),
     "batches_grid": (batches_grid, f"""WITH {IX}, b AS (SELECT *, (idx - 1) // 12 + 1 AS batch FROM ix WHERE idx >= 5)
       {_BATCH}"""),
     "batches_local": (batches_local, f"""WITH {IX}, b AS (SELECT *, (idx - 5) // 12 + 1 AS batch FROM ix WHERE idx >= 5)
@@ -178,7 +176,7 @@ QUERIES = {
     "chapter_refs": (chapter_refs, PARTS + """ SELECT r.book_id, 'digest' AS doc_id, r.ch FROM refs r
       WHERE r.ch <= (SELECT max(idx) FROM ix WHERE ix.book_id = r.book_id)"""),
     "covered_chapters": (covered_chapters, PARTS + """ SELECT book_id, 'digest' AS doc_id, ch FROM cov
-      WHERE hit AND ch BETWEEN 10 AND 40"""),
+      WHERE hit"""),
     "missing_chapters": (missing_chapters, PARTS + """ SELECT book_id, 'digest' AS doc_id, ch FROM cov
       WHERE NOT hit AND book_id IN (SELECT book_id FROM refs)"""),
     "coverage_summary": (coverage_summary, PARTS + """ SELECT book_id, 'digest' AS doc_id, count(*) AS total,

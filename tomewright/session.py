@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -24,14 +25,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return b.getOrCreate()
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tomewright-")
+
+
 def new_folder(spark: SparkSession) -> str:
-    """A fresh folder name below the shared one the cluster names."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        # no cluster setting: a local run or a test
-        folder = tempfile.mkdtemp(prefix="tomewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder}/tomewright-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared one the cluster names.
+
+    Only where ``spark.checkpoint.dir`` is unset (a local run, a test) does a
+    temporary folder of this machine take its place.
+    """
+    folder = (spark.conf.get("spark.checkpoint.dir", None)
+              or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local_folder())
+    return f"{folder.rstrip('/')}/tomewright-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
