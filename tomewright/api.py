@@ -12,7 +12,7 @@ from tomewright.operators.coverage import (coverage, covered_chapters, extract_r
                                            missing_runs)
 from tomewright.operators.digest import (attach_slices, audit_order, block_entries, digest_blocks,  # noqa: F401
                                          digest_lines, document_title, entries, key_only, level_of_slices,
-                                         lint_digest, lost_lines, reorder_digest, unit_parts, unit_stats, units)
+                                         lint_digest, lost_lines, reorder_digest, slices_per_entry, unit_parts, unit_stats, units)
 from tomewright.operators.entities import (first_mentions, linkable, mentions, merge_aliases, people,  # noqa: F401
                                            people_index, people_warnings, table_aliases, unlinked_people)
 from tomewright.operators.ordered import locate_in_spans, ordered_scan, runs  # noqa: F401

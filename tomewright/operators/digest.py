@@ -315,6 +315,12 @@ def attach_slices(parts: DataFrame, keys: list[str]) -> DataFrame:
     return sl.join(e, [*keys, "unit_no", "ch"], "left").select(*keys, "unit_no", "opener", "entry")
 
 
+def slices_per_entry(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """Slices attached to each entry: keys, unit_no, entry, slices; a null entry counts slices without one."""
+    at = attach_slices(unit_parts(docs, keys), keys)
+    return at.groupBy(*keys, "unit_no", "entry").agg(F.count("*").alias("slices"))
+
+
 def reorder_digest(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Digest rewritten as one ascending list per unit: keys, unit_no, out_no, line.
 

@@ -71,6 +71,10 @@ def attached_slices(spark, d):
     return _long(D.attach_slices(D.unit_parts(old_digests(spark, d), KEYS), KEYS), "unit_no", "opener", "entry")
 
 
+def slices_per_entry(spark, d):
+    return _long(D.slices_per_entry(old_digests(spark, d), KEYS), "unit_no", "entry")
+
+
 def unit_stats(spark, d):
     return _long(D.unit_stats(old_digests(spark, d), KEYS), "unit_no")
 
@@ -171,6 +175,8 @@ QUERIES = {
       FROM od WHERE r IN (2, 6)"""),
     "attached_slices": (attached_slices, f"""WITH {OLD} SELECT book_id, doc_id, g + 1 AS unit_no, i AS opener,
       i - 1 AS entry FROM od WHERE r = 3"""),
+    "slices_per_entry": (slices_per_entry, f"""WITH {OLD} SELECT book_id, doc_id, g + 1 AS unit_no, i - 1 AS entry,
+      count(*) AS slices FROM od WHERE r = 3 GROUP BY ALL"""),
     "unit_stats": (unit_stats, f"""WITH {OLD} SELECT book_id, doc_id, g + 1 AS unit_no,
       count(CASE WHEN r IN (2, 6) THEN 1 END) AS entries, count(CASE WHEN r = 3 THEN 1 END) AS slices,
       CAST(0 AS BIGINT) AS unreadable FROM od GROUP BY ALL"""),
