@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from tomewright.llm.common import gather, map_batches
 MARK = "▁"
 _WORD = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NEVER = np.int64(1) << 40
+KNOWN_WORDS = 300_000           # words a worker remembers between batches before it starts afresh
 
 
 class Pieces:
@@ -76,6 +78,12 @@ class Pieces:
         at = np.argsort(keys)
         self.keys, self.ranks, self.made = (np.array(x, np.int64)[at] for x in (keys, ranks, made))
         self.chars = {c: s for c, s in self.sym.items() if len(c) == 1}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the words that earlier batches of this worker have encoded."""
+        self.known: dict[str, int] = {}
+        self.known_ids, self.known_off = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of merging a with b (rank NEVER where they don't merge)."""
@@ -84,6 +92,28 @@ class Pieces:
         hit = (self.keys[at] == key) & (a >= 0) & (b >= 0)
         return np.where(hit, self.ranks[at], NEVER), self.made[at]
 
+    def neighbours(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of each symbol with its right neighbour in the word."""
+        rank, made = np.full(len(sym), NEVER), np.zeros(len(sym), np.int64)
+        if len(sym) > 1:
+            at = np.flatnonzero(word[1:] == word[:-1])
+            rank[at], made[at] = self.pairs(sym[at], sym[at + 1])
+        return rank, made
+
+    def merge(self, sym, word, rank, made, hit):
+        """Merge at the hits and compact; only pairs beside a merge are looked up again."""
+        gone = np.r_[False, hit[:-1]]
+        kept = np.flatnonzero(~gone)
+        s, w, r, m = np.where(hit, made, sym)[kept], word[kept], rank[kept], made[kept]
+        new = hit[kept]
+        fresh = new | np.r_[new[1:], False]             # the pair of this symbol and the next has changed
+        at = np.flatnonzero(fresh)
+        r[at] = NEVER
+        at = at[at + 1 < len(s)]
+        at = at[w[at] == w[at + 1]]
+        r[at], m[at] = self.pairs(s[at], s[at + 1])
+        return s, w, r, m, kept, fresh
+
     def encode_words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and the offsets of the words."""
         n_words = len(distinct)
@@ -92,46 +122,34 @@ class Pieces:
         kinds, inv = np.unique(code, return_inverse=True)
         own = np.array([self.chars.get(chr(c), -1 - int(c)) for c in kinds], np.int64)     # negative: outside the vocabulary
         sym, word = own[inv] if len(code) else np.zeros(0, np.int64), np.repeat(np.arange(n_words), n)
-        done_sym, done_word, done_pos = [], [], []
+        done_sym, done_word = [], []
+        rank, made = self.neighbours(sym, word)
         while len(sym):
-            rank = np.full(len(sym), NEVER)
-            inner = word[1:] == word[:-1]
-            r, made = self.pairs(sym[:-1], sym[1:])
-            rank[:-1] = np.where(inner, r, NEVER)
-            first = np.flatnonzero(np.r_[True, ~inner])
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(sym)]))
-            open_ = best < NEVER
-            if not open_.all():
-                done_sym.append(sym[~open_])
-                done_word.append(word[~open_])
-                keep = np.flatnonzero(open_)
-                sym, word, rank, best, made = sym[keep], word[keep], rank[keep], best[keep], np.r_[made, 0][keep]
+            keep = best < NEVER
+            if not keep.all():
+                done_sym.append(sym[~keep])
+                done_word.append(word[~keep])
+                sym, word, rank, made, best = sym[keep], word[keep], rank[keep], made[keep], best[keep]
                 if not len(sym):
                     break
-            else:
-                made = np.r_[made, 0]
             hit = rank == best
             # leftmost, non-overlapping: every second one of a run of neighbouring hits
-            idx = np.arange(len(sym))
-            run0 = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], idx, 0))
-            hit &= (idx - run0) % 2 == 0
-            new = np.where(hit, made, sym)
-            gone = np.r_[False, hit[:-1]]
-            kept = np.flatnonzero(~gone)
-            s2, w2 = new[kept], word[kept]
-            r2, _ = self.pairs(s2[:-1], s2[1:])
-            fresh = hit[kept]
-            bad = (w2[1:] == w2[:-1]) & (fresh[1:] | fresh[:-1]) & (r2 <= best[kept][1:])
-            if bad.any():
-                slow = np.isin(word, np.unique(w2[:-1][bad]))
+            if (hit[1:] & hit[:-1]).any():
+                idx = np.arange(len(sym))
+                run0 = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], idx, 0))
+                hit &= (idx - run0) % 2 == 0
+            merged = self.merge(sym, word, rank, made, hit)
+            kept, fresh, r2 = merged[4], merged[5], merged[2]
+            bad = fresh & (r2 <= best[kept])
+            if bad.any():                               # rare: these words merge their leftmost hit only
+                slow = np.isin(word, np.unique(word[kept][bad]))
+                idx = np.arange(len(sym))
                 start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                size = np.diff(np.r_[start, len(sym)])
-                lead = np.repeat(np.minimum.reduceat(np.where(hit, idx, len(sym)), start), size)
-                hit &= ~slow | (idx == lead)
-                new, gone = np.where(hit, made, sym), np.r_[False, hit[:-1]]
-                kept = np.flatnonzero(~gone)
-                s2, w2 = new[kept], word[kept]
-            sym, word = s2, w2
+                lead = np.repeat(np.minimum.reduceat(np.where(hit, idx, len(sym)), start), np.diff(np.r_[start, len(sym)]))
+                merged = self.merge(sym, word, rank, made, hit & (~slow | (idx == lead)))
+            sym, word, rank, made = merged[:4]
         sym = np.concatenate(done_sym) if done_sym else np.zeros(0, np.int64)
         word = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
         at = np.argsort(word, kind="stable")
@@ -152,10 +170,15 @@ class Pieces:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the offsets of the texts."""
         found = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct: dict[str, int] = {}
-        code = np.array([distinct.setdefault(w, len(distinct)) for f in found for w in f], np.int64)
-        ids, off = self.encode_words(list(distinct)) if distinct else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        flat, to = gather(ids, off, code)
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
+        known, before = self.known, len(self.known)
+        code = np.array([known.setdefault(w, len(known)) for f in found for w in f], np.int64)
+        if len(known) > before:
+            ids, off = self.encode_words(list(islice(known, before, None)))
+            self.known_ids = np.r_[self.known_ids, ids]
+            self.known_off = np.r_[self.known_off, off[1:] + self.known_off[-1]]
+        flat, to = gather(self.known_ids, self.known_off, code)
         return flat, to[np.r_[0, np.cumsum([len(f) for f in found])]]
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
