@@ -130,3 +130,61 @@ def gather(flat: np.ndarray, off: np.ndarray, ids: np.ndarray) -> tuple[np.ndarr
     n = off[ids + 1] - off[ids]
     to = np.r_[0, np.cumsum(n)]
     return flat[np.repeat(off[ids] - to[:-1], n) + np.arange(to[-1])], to
+
+
+def add_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], list], new: dict[str, str]) -> DataFrame:
+    """All columns of ``df`` plus new ones computed from its text column, batch by batch.
+
+    ``fn`` takes the texts of a batch and returns one array or list per new
+    column.  Input columns that carry one of the new names are replaced.
+    """
+    from pyspark.sql import types as T
+    base = df.drop(*[c for c in new if c in df.columns])
+    extra = T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in new.items()))
+    schema = T.StructType(base.schema.fields + extra.fields)
+    arrow = {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    kinds = [arrow[f.dataType.simpleString()] for f in extra.fields]
+
+    def run(it):
+        for b in batches(it, text):
+            out = fn(b.column(b.schema.get_field_index(text)))
+            cols = [o if isinstance(o, pa.Array) else pa.array(o, k) for o, k in zip(out, kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *new])
+    return base.mapInArrow(run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, split: int, held: int, per_class: int) -> DataFrame:
+    """(text, y) of at most ``per_class`` labelled training texts of either class, near copies thinned out.
+
+    Rows with ``crc32(doc_id as text) % split = held`` are never used.  The
+    draw is by hash of the id, so it is the same on every run.  The ids are
+    broadcast; their number is bounded by the parameter.
+    """
+    from pyspark.sql import functions as F
+    y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(remainder(split) != held)
+    y = y.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    draw = F.xxhash64(F.col("doc_id"), F.lit(label))
+    ids = [y.where(F.col("y") == k).orderBy(draw, "doc_id").limit(per_class) for k in (0, 1)]
+    ids = F.broadcast(ids[0].unionByName(ids[1]))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+    rows = add_columns(rows, "text", _least_shingle, {"_h": "bigint"})
+    return rows.groupBy("_h").agg(F.min_by(F.struct("text", "y"), "doc_id").alias("r")).select("r.*")
+
+
+def _least_shingle(col: pa.Array) -> list:
+    """Smallest five-word hash of each text: most near copies of a text share it."""
+    raw, off = byte_rows(col)
+    start, end, row = words(raw, off)
+    h, at = windows(segment_hash(raw, start, end), row, 5)
+    out = mix(np.arange(len(off) - 1).astype(np.uint64))       # short texts stand for themselves
+    if len(h):
+        r = row[at]
+        first = run_starts(r)
+        out[r[first]] = np.minimum.reduceat(h, first)
+    return [out.view(np.int64)]
+
+
+def remainder(split: int):
+    """crc32 of doc_id as text modulo ``split`` (a null id counts as the empty text)."""
+    from pyspark.sql import functions as F
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % split

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm.common import table
+from tomewright.llm.common import remainder, table
 from tomewright.session import new_folder
 
 
@@ -93,9 +93,20 @@ def op9_pieces(spark: SparkSession, d: str) -> DataFrame:
                                public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity of every whole text by the pattern grammar."""
+    from tomewright.llm import toxicity
+    docs = table(spark, d, "documents")
+    g = toxicity.learn(docs, table(spark, d, "labels"))
+    r = toxicity.with_score(docs.select("doc_id", "text"), g)
+    return r.select("doc_id", (remainder(4) == 2).alias("held_out"), "score",
+                    F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op3_warc": (op3_warc, None),
     "op5_chat": (op5_chat, OP5),
     "op7_mixing": (op7_mixing, OP7),
     "op9_pieces": (op9_pieces, None),
+    "op10_toxicity": (op10_toxicity, None),
 }
