@@ -188,3 +188,16 @@ def remainder(split: int):
     """crc32 of doc_id as text modulo ``split`` (a null id counts as the empty text)."""
     from pyspark.sql import functions as F
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % split
+
+
+def per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sum of a per-byte array over each row."""
+    total = np.r_[0, np.cumsum(flags, dtype=np.int64)]
+    return total[off[1:]] - total[off[:-1]]
+
+
+def byte_set(chars: str) -> np.ndarray:
+    """Lookup table: byte is one of these (ASCII) characters."""
+    lut = np.zeros(256, bool)
+    lut[list(chars.encode("ascii"))] = True
+    return lut

@@ -103,10 +103,30 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
                     F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op2_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of every whole text by attention over its passages."""
+    from tomewright.llm import attention
+    docs = table(spark, d, "documents")
+    model = attention.learn(docs, table(spark, d, "labels"))
+    r = attention.with_score(docs.select("doc_id", "text"), model)
+    return r.select("doc_id", (remainder(3) == 1).alias("held_out"), "score",
+                    F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rule statistics of every whole text and the verdict of base rules and isolation forest."""
+    from tomewright.llm import rules
+    docs = table(spark, d, "documents")
+    r = rules.judge(docs.select("doc_id", "text"), rules.learn(docs, table(spark, d, "labels")))
+    return r.select("doc_id", *rules.COUNTS, "base_failed", "kept", "anomaly")
+
+
 QUERIES = {
+    "op2_quality": (op2_quality, None),
     "op3_warc": (op3_warc, None),
     "op5_chat": (op5_chat, OP5),
     "op7_mixing": (op7_mixing, OP7),
+    "op8_rules": (op8_rules, None),
     "op9_pieces": (op9_pieces, None),
     "op10_toxicity": (op10_toxicity, None),
 }

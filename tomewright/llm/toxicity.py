@@ -178,7 +178,7 @@ def stem_counts(sample: DataFrame, shortest: int = 3, longest: int = 7) -> DataF
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000, max_stems: int = 2000,
-          evidence: float = 4.5, ratio: float = 15.0) -> Grammar:
+          evidence: float = 8.0, ratio: float = 10.0) -> Grammar:
     """Fit stems and pattern weights on at most ``2 * per_class`` labelled training texts.
 
     A stem needs a log likelihood ratio of ``evidence`` of its toxic texts

@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm.common import byte_rows, map_batches
+from tomewright.session import cut_lineage
 
 EOL = "\r\n"
 VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
 MEMBER = b"\x1f\x8b\x08"
+BROADCAST_DIGESTS = 200_000     # repeated digests are broadcast up to this count, about 20 MB
 RECORDS = ("path string, offset long, length long, status string, reason string, record_type string, page_id string, "
            "url string, refers_to string, payload_bytes long, payload_digest string, payload binary")
 
@@ -60,8 +62,10 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Decide response or revisit: adds ``refers_to`` (null on a response)."""
     d = digests(pages)
     # one narrow row per digest, combined before the shuffle; only payloads that several rows hold are joined back
-    first = (digests(pages).where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
-             .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    first = cut_lineage(digests(pages).where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
+                        .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    if first.count() <= BROADCAST_DIGESTS:          # else the pages are shuffled by digest, skewed ones split by AQE
+        first = F.broadcast(first)
     j = d.join(first, "payload_digest", "left")
     return j.withColumn("refers_to", F.when(F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id")),
                                             F.col("_first"))).drop("_first")
