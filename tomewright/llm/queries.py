@@ -113,6 +113,13 @@ def op2_quality(spark: SparkSession, d: str) -> DataFrame:
                     F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op4_probminhash(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    from tomewright.llm import probminhash
+    r = probminhash.near_duplicates(table(spark, d, "documents"))
+    return r.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op8_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rule statistics of every whole text and the verdict of base rules and isolation forest."""
     from tomewright.llm import rules
@@ -126,6 +133,7 @@ QUERIES = {
     "op3_warc": (op3_warc, None),
     "op5_chat": (op5_chat, OP5),
     "op7_mixing": (op7_mixing, OP7),
+    "op4_probminhash": (op4_probminhash, None),
     "op8_rules": (op8_rules, None),
     "op9_pieces": (op9_pieces, None),
     "op10_toxicity": (op10_toxicity, None),
