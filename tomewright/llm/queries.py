@@ -103,6 +103,24 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
                     F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op1_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.98 within their label."""
+    from tomewright.llm import forest
+    return forest.near_vectors(table(spark, d, "embeddings").select("vec_id", "embedding", "label"))
+
+
+OP1 = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT m.vec_id, (SELECT count(*) FROM l WHERE l.a = m.vec_id) AS n_links,
+  least(m.vec_id, coalesce((SELECT min(b) FROM r WHERE r.a = m.vec_id), m.vec_id)) AS component_id,
+  m.vec_id <= coalesce((SELECT min(b) FROM r WHERE r.a = m.vec_id), m.vec_id) AS kept FROM embeddings m"""
+
+
 def op2_quality(spark: SparkSession, d: str) -> DataFrame:
     """Quality of every whole text by attention over its passages."""
     from tomewright.llm import attention
@@ -129,6 +147,7 @@ def op8_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_forest": (op1_forest, OP1),
     "op2_quality": (op2_quality, None),
     "op3_warc": (op3_warc, None),
     "op5_chat": (op5_chat, OP5),
