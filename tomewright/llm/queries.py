@@ -138,6 +138,12 @@ def op4_probminhash(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op6_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that stand earlier."""
+    from tomewright.llm import suffixes
+    return suffixes.digest_kept(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op8_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rule statistics of every whole text and the verdict of base rules and isolation forest."""
     from tomewright.llm import rules
@@ -153,6 +159,7 @@ QUERIES = {
     "op5_chat": (op5_chat, OP5),
     "op7_mixing": (op7_mixing, OP7),
     "op4_probminhash": (op4_probminhash, None),
+    "op6_suffixes": (op6_suffixes, None),
     "op8_rules": (op8_rules, None),
     "op9_pieces": (op9_pieces, None),
     "op10_toxicity": (op10_toxicity, None),
