@@ -62,13 +62,13 @@ def byte_rows(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return raw, off - off[0]
 
 
-def batches(it: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the texts of each stay near BATCH_BYTES (a longer text goes alone)."""
+def batches(it: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that the texts of each stay near ``most`` bytes (a longer text goes alone)."""
     for b in it:
         sizes = np.diff(byte_rows(b.column(b.schema.get_field_index(text)))[1])
         lo, acc = 0, 0
         for i, s in enumerate(sizes):
-            if i > lo and acc + s > BATCH_BYTES:
+            if i > lo and acc + s > most:
                 yield b.slice(lo, i - lo)
                 lo, acc = i, 0
             acc += s
@@ -76,10 +76,11 @@ def batches(it: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]
             yield b.slice(lo)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list], text: str, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list], text: str, schema: str,
+                most: int = BATCH_BYTES) -> DataFrame:
     """``mapInArrow`` over byte-bounded batches; ``fn`` may return one batch or a list of them."""
     def run(it):
-        for b in batches(it, text):
+        for b in batches(it, text, most):
             out = fn(b)
             yield from out if isinstance(out, list) else [out]
     return df.mapInArrow(run, schema)

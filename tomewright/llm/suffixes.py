@@ -47,7 +47,8 @@ from tomewright.session import cut_lineage
 
 MATCH, KMER = 100, 32
 SPAN = MATCH - KMER + 1                 # positions a window chooses its anchor from
-SLICE = 1 << 20                         # window starts named at once
+SLICE = 1 << 18                         # window starts named at once
+GROUP = 4_000                           # contexts sorted at once
 HOT = 200_000                           # contexts of one anchor that a single task may hold
 SAMPLE_DOCS = 20_000                    # documents in which common anchors are looked for
 LAST = (1 << 63) - 1                    # stands for a null doc_id
@@ -64,7 +65,14 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _triple(x: np.ndarray, i: np.ndarray | slice, one: int, two: int, n: int | None = None) -> np.ndarray:
     """Name of the triple of names at i, i + one, i + two (``n``: for all positions up to n)."""
     a, b, c = (x[:n], x[one:one + n], x[two:two + n]) if n is not None else (x[i], x[i + one], x[i + two])
-    return mix((a * _POW + b) * _MUL + c * np.uint64(0xD6E8FEB86659FD93))
+    h = a * _POW
+    h += b
+    h *= _MUL
+    h += c
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -200,38 +208,57 @@ def _windows(n: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def window_names(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Names of the MATCH-byte strings at the given offsets, by triples of names."""
-    x = raw.astype(np.uint64)
-    n = len(x) - 3
-    four = x[:n] | x[1:n + 1] << np.uint64(8) | x[2:n + 2] << np.uint64(16) | x[3:n + 3] << np.uint64(24)
+    n = len(raw) - 3
+    four = np.lib.stride_tricks.as_strided(raw.copy().view(np.uint8), (n, 4), (1, 1)).copy().view("<u4")[:, 0].astype(np.uint64)
     twelve = _triple(four, slice(None), 4, 8, n - 8)
     more = _triple(twelve, slice(None), 12, 24, n - 8 - 24)
     return _triple(more, at, 36, MATCH - 36)
 
 
-def _words_at(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The MATCH bytes at each offset as 13 numbers of eight bytes (the last ones overlap)."""
-    view = np.lib.stride_tricks.sliding_window_view(raw, 8)
-    return np.stack([view[at + k].copy().view("<u8")[:, 0] for k in [*range(0, MATCH - 8, 8), MATCH - 8]], axis=1)
+def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether n bytes at a equal those at b, for each triple."""
+    out = np.zeros(len(a), bool)
+    step = max((1 << 20) // max(int(n.max(initial=1)), 1), 1)
+    for lo in range(0, len(a), step):
+        x, y, k = a[lo:lo + step], b[lo:lo + step], n[lo:lo + step]
+        lead = np.cumsum(k) - k
+        i = np.arange(k.sum())
+        out[lo:lo + step] = np.logical_and.reduceat(raw[i + np.repeat(x - lead, k)] == raw[i + np.repeat(y - lead, k)], lead)
+    return out
 
 
 def repeats(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """True for each string at ``at`` that equals one at a smaller index."""
+    """True for each string at ``at`` that equals one at a smaller index.
+
+    Strings of one name are neighbours in the order; they are compared with the
+    first of them, neighbouring strings with neighbouring partners at once.
+    """
     name = window_names(raw, at)
     order = np.argsort(name, kind="stable")
     same = np.r_[False, name[order][1:] == name[order][:-1]]
-    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    head = np.empty(len(at), np.int64)
+    head[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
     out = np.zeros(len(at), bool)
-    sus = np.flatnonzero(same)
-    for lo in range(0, len(sus), 200_000):
-        k = sus[lo:lo + 200_000]
-        equal = (_words_at(raw, at[order[k]]) == _words_at(raw, at[head[k]])).all(axis=1)
-        out[order[k[equal]]] = True
-        for p in order[k[~equal]]:                      # one name for two strings: compare with all of that name before
+    sus = np.flatnonzero(head != np.arange(len(at)))
+    if len(sus):
+        x, y = at[sus], at[head[sus]]
+        first = np.flatnonzero(np.r_[True, (np.diff(x) != 1) | (np.diff(y) != 1)])
+        size = np.diff(np.r_[first, len(sus)])
+        good = np.repeat(_equal(raw, x[first], y[first], size + MATCH - 1), size)
+        out[sus[good]] = True
+        for p in sus[~good]:                            # two strings of one name nearby: compare with all of that name before
             own = raw[at[p]:at[p] + MATCH].tobytes()
             out[p] = any(raw[at[q]:at[q] + MATCH].tobytes() == own for q in np.flatnonzero(name[:p] == name[p]))
     return out
 
 
+def _second(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Another name of the MATCH-byte strings at the given offsets."""
+    view = np.lib.stride_tricks.sliding_window_view(raw, MATCH)
+    key = mix(np.arange(MATCH, dtype=np.uint64)) | np.uint64(1)
+    return np.concatenate([mix((view[at[k:k + 10_000]] + np.uint64(1)) @ key) for k in range(0, len(at), 10_000)])
+
+
 def _runs(flag: np.ndarray, ctx: np.ndarray, r: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Runs of flagged windows of one context."""
     start = np.flatnonzero(flag & ~(np.r_[False, flag[:-1]] & np.r_[False, ctx[1:] == ctx[:-1]]))
@@ -258,29 +285,39 @@ def _contexts(parts: int, hot: np.ndarray):
         if not len(r):
             return _blobs([])
         base, n = off[row] + r["lo"], r["n"].astype(np.int64)
-        ctx, at = _windows(n, base)
-        flag = repeats(raw, at)
-        runs = _runs(flag, ctx, r, n)
-        salt = lambda x: (mix(x["doc"].astype(np.uint64) + x["lo"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        out = _deal(runs, salt(runs), 1) if len(runs) else []
-        # what is settled needs no other task; contexts of which nothing is open don't travel
-        open_ = np.flatnonzero(np.bincount(ctx[~flag], minlength=len(r)) > 0)
         at0 = base + r["d"]
-        x = np.lib.stride_tricks.sliding_window_view(raw, KMER)[at0[open_]].astype(np.uint64) + np.uint64(1)
-        while x.shape[1] > 1:
-            x = _pair(x[:, 0::2], x[:, 1::2])
-        r["fp"][open_] = mix(x[:, 0])
+        for lo in range(0, len(r), 20_000):
+            x = np.lib.stride_tricks.sliding_window_view(raw, KMER)[at0[lo:lo + 20_000]].astype(np.uint64) + np.uint64(1)
+            while x.shape[1] > 1:
+                x = _pair(x[:, 0::2], x[:, 1::2])
+            r["fp"][lo:lo + 20_000] = mix(x[:, 0])
+        # names that come twice in this batch are settled here as far as they can be
+        _, inv, count = np.unique(r["fp"], return_inverse=True, return_counts=True)
         heavy = np.isin(r["fp"], hot)
-        heavy[np.setdiff1d(np.arange(len(r)), open_)] = False
-        if heavy.any():
-            w = np.flatnonzero(heavy[ctx] & ~flag)
-            s = np.zeros(len(w), SINGLE)
-            s["a"] = window_names(raw, at[w])
-            s["b"] = mix(_words_at(raw, at[w]) @ (mix(np.arange(13, dtype=np.uint64)) | np.uint64(1)))
-            s["doc"], s["part"] = r["doc"][ctx[w]], r["part"][ctx[w]]
-            s["lo"] = at[w] - off[row[ctx[w]]]
-            out += _deal(s, (s["a"] % np.uint64(parts)).astype(np.int64), 2)
-            open_ = open_[~heavy[open_]]
+        near = np.flatnonzero((count[inv] > 1) | heavy)
+        rest = np.ones(len(r), bool)
+        out = []
+        salt = lambda x: (mix(x["doc"].astype(np.uint64) + x["lo"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        if len(near):
+            size = n[near] + MATCH - 1
+            lead = np.cumsum(size) - size
+            own = raw[np.repeat(base[near] - lead, size) + np.arange(size.sum())]
+            ctx, at = _windows(n[near], lead)
+            flag = repeats(own, at)
+            runs = _runs(flag, ctx, r[near], n[near])
+            if len(runs):
+                out += _deal(runs, salt(runs), 1)
+            # contexts of which nothing is open don't travel
+            rest[near] = np.bincount(ctx[~flag], minlength=len(near)) > 0
+            w = np.flatnonzero(heavy[near][ctx] & ~flag)
+            if len(w):
+                s = np.zeros(len(w), SINGLE)
+                s["a"] = window_names(own, at[w])
+                s["b"] = _second(own, at[w])
+                c = near[ctx[w]]
+                s["doc"], s["part"], s["lo"] = r["doc"][c], r["part"][c], r["lo"][c] + at[w] - lead[ctx[w]]
+                out += _deal(s, (s["a"] % np.uint64(parts)).astype(np.int64), 2)
+        open_ = np.flatnonzero(rest & ~heavy)
         if len(open_):
             keep, kb, kn = r[open_], base[open_], n[open_] + MATCH - 1
 
@@ -309,7 +346,7 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = np.concatenate(data_)
         size = r["n"].astype(np.int64) + MATCH - 1
         base = np.cumsum(size) - size
-        group = (mix(r["fp"]) % np.uint64(max(len(r) // 12_000, 1))).astype(np.int64)       # an anchor's contexts stay together
+        group = (mix(r["fp"]) % np.uint64(max(len(r) // GROUP, 1))).astype(np.int64)       # an anchor's contexts stay together
         order = np.lexsort((r["lo"], r["part"], r["doc"], group))
         for piece in np.split(order, run_starts(group[order])[1:]):
             # contexts of the group end to end, earliest first
@@ -387,7 +424,7 @@ def repeated_runs(docs: DataFrame, hot: int = HOT, sample_docs: int = SAMPLE_DOC
             for i, z in enumerate(b.column(2)):
                 texts.append(_expand(z.as_py()))
                 acc += len(texts[-1])
-                if acc > (2 << 20) or i == b.num_rows - 1:
+                if acc > (1 << 20) or i == b.num_rows - 1:
                     s = b.slice(lo, i - lo + 1)
                     yield work(pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(texts, pa.binary()), s.column(3)],
                                                           names=["doc", "part", "text", "spots"]))
