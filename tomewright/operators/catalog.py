@@ -61,9 +61,9 @@ def parse_manifest(docs: DataFrame, key: str = "shelf_id") -> DataFrame:
     ln = ln.withColumn("item", F.when(bullet, _item(F.regexp_replace("s", K.BULLET, ""))))
     kind = (F.when(book, "book").when(F.col("s").rlike("^# (?!#)"), "shelf").when(F.col("book_no") == 0, None)
             .when(F.col("item").isNotNull(), "item").otherwise("note"))
-    name = T.ustrip(F.substring("s", 4, 10 ** 6))
+    name = T.ustrip(F.substr(F.col("s"), F.lit(4)))
     text = (F.when(kind == "book", F.regexp_replace(name, "^[《》]+|[《》]+$", ""))
-            .when(kind == "shelf", T.ustrip(F.substring("s", 3, 10 ** 6))).when(kind == "note", F.col("s")))
+            .when(kind == "shelf", T.ustrip(F.substr(F.col("s"), F.lit(3)))).when(kind == "note", F.col("s")))
     return ln.select(key, "line_no", kind.alias("kind"), "book_no", text.alias("text"),
                      F.col("item.label").alias("label"), F.col("item.path").alias("path")).where("kind is not null")
 

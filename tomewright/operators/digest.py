@@ -123,7 +123,7 @@ def document_title(docs: DataFrame, keys: list[str], given: str | None = None,
     h1 = F.try_element_at(F.filter(top, lambda x: x.rlike("^# .+$")), F.lit(1))
     stem = F.lit("") if path is None else F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
     picks = ([F.nullif(F.col(given), F.lit(""))] if given else [])
-    return docs.select(*keys, F.coalesce(*picks, T.ustrip(F.substring(h1, 3, 10 ** 6)), stem).alias("title"))
+    return docs.select(*keys, F.coalesce(*picks, T.ustrip(F.substr(h1, F.lit(3))), stem).alias("title"))
 
 
 def block_entries(blocks: DataFrame, keys: list[str]) -> DataFrame:

@@ -161,7 +161,7 @@ def mention_patterns(aliases: DataFrame, key: str) -> DataFrame:
     """
     a = aliases.where(F.length("alias") >= K.MENTION_MIN_CHARS).select(key, "alias", "canonical").distinct()
     a = a.select(key, "alias", "canonical", F.substring("alias", 1, 1).alias("c1"),
-                 F.substring("alias", 2, 1).alias("c2"), F.substring("alias", 3, 10 ** 6).alias("rest"))
+                 F.substring("alias", 2, 1).alias("c2"), F.substr(F.col("alias"), F.lit(3)).alias("rest"))
 
     def either(branches):
         return F.concat(F.lit("(?:"), F.array_join(branches, "|"), F.lit(")"))

@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tomewright.session import cut_lineage
+
 BLOCK_BITS = 16         # 65,536 consecutive order values per block
 
 
@@ -30,6 +32,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, *,
     behind  value of the expression on the previous row
     ahead   value of the expression on the next row
 
+    Null keys form a key of their own, null order values come first.
     ``ties`` order rows that share one order value.  ``bits`` is the block
     width as a power of two; choose it so that a block holds some ten thousand
     rows.
@@ -37,13 +40,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, *,
     total, carry = dict(total or {}), dict(carry or {})
     behind, ahead = dict(behind or {}), dict(ahead or {})
     keys = list(keys)
-    src = df.withColumn("_blk", F.shiftright(F.col(order).cast("long"), bits))
+    # a struct compares equal where its null fields do, and keeps the partitioning that the windows have made
+    src = df.withColumns({"_key": F.struct(*keys), "_blk": F.coalesce(F.shiftright(F.col(order).cast("long"), bits),
+                                                                      F.lit(-(1 << 63)))})
     pos = F.struct(F.col(order), *[F.col(t) for t in ties])
 
     seq = [F.col(order), *[F.col(t) for t in ties]]
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*seq)
+    inside = Window.partitionBy("_key", "_blk").orderBy(*seq)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = Window.partitionBy(*keys).orderBy("_blk")
+    blocks = Window.partitionBy("_key").orderBy("_blk")
     blocks_before = blocks.rowsBetween(Window.unboundedPreceding, -1)
 
     aggs, outer, local, final = [], [], [], []
@@ -68,19 +73,23 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, *,
         local.append(F.lead(F.struct(e.alias("v"))).over(inside).alias(f"_l_{out}"))
         final.append(F.coalesce(F.col(f"_l_{out}"), F.col(f"_A{i}"))["v"].alias(out))
 
-    edges = src.groupBy(*keys, "_blk").agg(*aggs).select(*keys, "_blk", *outer)
+    edges = src.groupBy("_key", "_blk").agg(*aggs).select("_key", "_blk", *outer)
     rows = src.select("*", *local)
-    return rows.join(edges, [*keys, "_blk"]).select(*[F.col(c) for c in df.columns], *final)
+    return rows.join(edges, ["_key", "_blk"]).select(*[F.col(c) for c in df.columns], *final)
 
 
 def runs(df: DataFrame, keys: Sequence[str], order: str, bits: int = BLOCK_BITS) -> DataFrame:
-    """Compress distinct integers per key into maximal runs (first, last)."""
-    near = ordered_scan(df.select(*keys, order), keys, order, bits=bits,
-                        behind={"_p": F.col(order)}, ahead={"_n": F.col(order)})
+    """Compress distinct integers per key into maximal runs (first, last); nulls belong to none.
+
+    The input and the run edges are written once, so nothing below is evaluated twice.
+    """
+    once = cut_lineage(df.select(*keys, order).where(F.col(order).isNotNull()))
+    near = ordered_scan(once, keys, order, bits=bits, behind={"_p": F.col(order)}, ahead={"_n": F.col(order)})
     edges = near.withColumns({
         "_start": F.coalesce(F.col("_p") != F.col(order) - 1, F.lit(True)),
         "_stop": F.coalesce(F.col("_n") != F.col(order) + 1, F.lit(True)),
     }).where("_start or _stop")
+    edges = cut_lineage(edges.select(*keys, order, "_start", "_stop"))
     # the edge after a start is its end, unless the run is a single value
     paired = ordered_scan(edges, keys, order, bits=bits, ahead={"_end": F.col(order)})
     return paired.where("_start").select(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tomewright.operators.ordered import ordered_scan
 
 # (gram, stride); a tier serves passages from gram + stride - 1 characters up to the next tier
-TIERS = ((3, 2), (6, 4), (12, 8), (24, 16), (40, 32))
+TIERS = ((1, 1), (2, 1), (3, 2), (6, 4), (12, 8), (24, 16), (40, 32))
 BLOCK = 4096            # characters owned by a block; a multiple of every stride
 CHUNK = 1024            # longer passages are matched chunk by chunk
 BROADCAST_PROBES = 500_000
@@ -84,6 +84,7 @@ def flat_blocks(chapter_text: DataFrame, spans: DataFrame, broadcast_spans: int
 def _chunks(segments: DataFrame, keys: list[str], seg: str) -> DataFrame:
     """One row per chunk: keys, off (0-based), chunk, n_chunks, k."""
     n = F.length(seg)
+    segments = segments.where(n > 0)
     starts = F.when(n <= CHUNK, F.array(F.lit(0))).otherwise(
         F.array_distinct(F.concat(F.sequence(F.lit(0), n - CHUNK, F.lit(CHUNK)), F.array(n - CHUNK))))
     rows = segments.select(*keys, F.col(seg).alias("_s"), starts.alias("_at"))
@@ -128,7 +129,7 @@ def find_segments(blocks: DataFrame, segments: DataFrame, keys: Sequence[str], p
     """All occurrences: keys, place, pos (0-based start).
 
     ``scope`` columns (a subset of place that also exists in ``segments``)
-    restrict the search.  Passages need four characters or more.  The probe
+    restrict the search.  Empty passages occur nowhere.  The probe
     table is counted first: a small one is broadcast, so the corpus is
     streamed once and never shuffled; a large one is joined by shuffle on the
     tile, carrying only coordinates, and the text is joined back for the

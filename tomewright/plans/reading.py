@@ -47,6 +47,11 @@ def validate_index(chapters: DataFrame, lo: int | None = None, hi: int | None =
             "book_id", F.lit("gap").alias("kind"), F.lit(lo).cast("long").alias("first"),
             (F.col("a") - 1).alias("last")))
     if hi is not None:
+        # a book without any row in scope misses all of it; with an open end no chapter is known to be missing
+        absent = chapters.select("book_id").distinct().join(ends.select("book_id"), "book_id", "left_anti")
+        out = out.unionByName(absent.select("book_id", F.lit("gap").alias("kind"),
+                                            F.lit(1 if lo is None else lo).cast("long").alias("first"),
+                                            F.lit(hi).cast("long").alias("last")))
         out = out.unionByName(ends.where(F.col("b") < hi).select(
             "book_id", F.lit("gap").alias("kind"), (F.col("b") + 1).alias("first"),
             F.lit(hi).cast("long").alias("last")))
@@ -84,8 +89,13 @@ def assign_batches(chapters: DataFrame, size: int = DEFAULT_BATCH, mode: str = "
 
 
 def plan_batches(chapters: DataFrame, size: int = DEFAULT_BATCH, mode: str = "grid",
-                 lo: int | None = None, hi: int | None = None, bits: int = BLOCK_BITS) -> DataFrame:
-    """book_id, batch, start, end, chapters, chars, unit."""
+                 lo: int | None = None, hi: int | None = None, bits: int = BLOCK_BITS, gate: bool = True) -> DataFrame:
+    """book_id, batch, start, end, chapters, chars, unit.
+
+    ``gate`` first checks that the index is contiguous in scope and raises otherwise.
+    """
+    if gate:
+        require_valid(chapters, lo, hi)
     rows = assign_batches(chapters, size, mode, lo, hi, bits)
     plan = rows.groupBy("book_id", "batch").agg(
         F.min("idx").alias("start"), F.max("idx").alias("end"), F.count("*").alias("chapters"),
@@ -193,6 +203,9 @@ def assign_segments(chapters: DataFrame, per: int | None = None, target_chars: i
             raise ValueError("ends must be strictly increasing")
         if (hi is not None and ends[-1] != hi) or (lo is not None and ends[0] < lo):
             raise ValueError("ends must lie in the scope and close it")
+        if hi is None and not (beyond := scope.where(F.col("idx") > ends[-1])).isEmpty():
+            some = [r[0] for r in beyond.select("book_id").distinct().limit(5).collect()]
+            raise ValueError(f"chapters lie behind the last end, e.g. in {some}; give hi or close the scope")
         marks = F.array(*[F.lit(e).cast("long") for e in ends])
         return scope.withColumn("segment_no", F.size(F.filter(
             marks, lambda e: e < F.col("idx"))).cast("long"))
@@ -207,10 +220,15 @@ def assign_segments(chapters: DataFrame, per: int | None = None, target_chars: i
 def plan_segments(chapters: DataFrame, per: int | None = None, target_chars: int | None = None,
                   ends: Sequence[int] | None = None, lo: int | None = None, hi: int | None = None,
                   batch_size: int = DEFAULT_BATCH, first_number: int = 1,
-                  bits: int = BLOCK_BITS) -> DataFrame:
-    """book_id, segment_no, segment, start, end, chapters, chars, batches, titles, directory, next_start."""
+                  bits: int = BLOCK_BITS, gate: bool = True) -> DataFrame:
+    """book_id, segment_no, segment, start, end, chapters, chars, batches, titles, directory, next_start.
+
+    ``gate`` first checks that the index is contiguous in scope and raises otherwise.
+    """
     if batch_size < 1 or first_number < 1:
         raise ValueError("batch_size and first_number must be >= 1")
+    if gate:
+        require_valid(chapters, lo, hi)
     rows = assign_segments(chapters, per, target_chars, ends, lo, hi, bits)
     plan = rows.groupBy("book_id", "segment_no").agg(
         F.min("idx").alias("start"), F.max("idx").alias("end"), F.count("*").alias("chapters"),

@@ -55,27 +55,24 @@ def _rewrite(docs: DataFrame, rule) -> DataFrame:
     return docs.withColumn("text", F.array_join(F.transform(T.lines_of(F.col("text")), rule), "\n"))
 
 
-def letters(line: Column, n: int) -> Column:
-    return F.substring(F.regexp_replace(line, "[^A-Za-z ]+", ""), 1, n)
-
-
 def _s(c: Column) -> Column:
     return c.cast("string")
 
 
 def raw_books(spark: SparkSession, d: str) -> DataFrame:
-    """Each document as a raw book (book_id = doc_id): every fourth line a chapter heading, some volumes."""
+    """Each document as a raw book (book_id = doc_id): a chapter heading before every fourth line, some volumes."""
     def rule(l, i):
-        return (F.when(i % 4 == 0, F.concat(F.lit("第"), _s((i / 4).cast("int") + 1), F.lit("章 "), letters(l, 10)))
-                .when(i % 20 == 10, F.concat(F.lit("第"), _s((i / 20).cast("int") + 1), F.lit("卷 风")))
+        return (F.when(i % 4 == 0, F.concat(F.lit("第"), _s((i / 4).cast("int") + 1), F.lit("章 题/"), _s(i), F.lit("\n"), l))
+                .when(i % 20 == 10, F.concat(F.lit("第"), _s((i / 20).cast("int") + 1), F.lit("卷 风\n"), l))
                 .otherwise(l))
     return _rewrite(documents(spark, d).select(F.col("doc_id").alias("book_id"), "text"), rule)
 
 
 RAW = LN + """,
-raw AS (SELECT doc_id AS book_id, i, CASE WHEN i % 4 = 0
-    THEN '第' || (i // 4 + 1) || '章 ' || left(regexp_replace(l, '[^A-Za-z ]+', '', 'g'), 10)
-  WHEN i % 20 = 10 THEN '第' || (i // 20 + 1) || '卷 风' ELSE l END AS h FROM ln),
+rw AS (SELECT doc_id AS book_id, string_agg(CASE WHEN i % 4 = 0 THEN '第' || (i // 4 + 1) || '章 题/' || i || chr(10)
+  WHEN i % 20 = 10 THEN '第' || (i // 20 + 1) || '卷 风' || chr(10) ELSE '' END || l, chr(10) ORDER BY i) AS t FROM ln GROUP BY doc_id),
+raw AS (SELECT book_id, unnest(string_split(t, chr(10))) AS h,
+  CAST(generate_subscripts(string_split(t, chr(10)), 1) - 1 AS BIGINT) AS i FROM rw),
 raws AS (SELECT *, regexp_replace(h, '^\\s+|\\s+$', '', 'g') AS s,
   CAST(coalesce(sum(length(h) + 1) OVER (PARTITION BY book_id ORDER BY i
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM raw),
@@ -116,9 +113,9 @@ chapters AS (SELECT * FROM good UNION ALL SELECT * FROM chunks)"""
 def digests(spark: SparkSession, d: str) -> DataFrame:
     """Each document as a digest (book_id, doc_id, text): groups of six lines form a unit."""
     def rule(l, i):
-        x = F.trim(letters(l, 40))
+        x = F.trim(l)
         g, r = (i / 6).cast("int"), i % 6
-        return (F.when(r == 0, F.concat(F.lit("## 单元"), _s(g + 1), F.lit("｜"), F.trim(letters(l, 8)), F.lit("（第"),
+        return (F.when(r == 0, F.concat(F.lit("## 单元"), _s(g + 1), F.lit("｜"), x, F.lit("（第"),
                                         _s(i + 1), F.lit("–"), _s(i + 6), F.lit("章）")))
                 .when(r == 1, F.concat(F.lit("- **第"), _s(i + 2), F.lit("章（详） t"), _s(i), F.lit("**："), x))
                 .when(r == 2, F.concat(F.lit("- **第"), _s(i - 1), F.lit("–"), _s(i), F.lit("章（略）**："), x))
@@ -129,14 +126,13 @@ def digests(spark: SparkSession, d: str) -> DataFrame:
 
 DG = LN + """,
 dg AS (SELECT book_id, doc_id, i, i // 6 AS g, i % 6 AS r,
-  trim(left(regexp_replace(l, '[^A-Za-z ]+', '', 'g'), 40)) AS x,
-  trim(left(regexp_replace(l, '[^A-Za-z ]+', '', 'g'), 8)) AS x8 FROM ln)"""
+  trim(l) AS x, trim(l) AS x8 FROM ln)"""
 
 
 def old_digests(spark: SparkSession, d: str) -> DataFrame:
     """Each document as an old-style digest: seven lines per unit, brief entries after detailed ones."""
     def rule(l, i):
-        x = F.trim(letters(l, 40))
+        x = F.trim(l)
         g, r = (i / 7).cast("int"), i % 7
         return (F.when(r == 0, F.concat(F.lit("## 单元"), _s(g + 1)))
                 .when(r == 1, F.lit("**【重要】**"))

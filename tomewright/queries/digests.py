@@ -137,7 +137,7 @@ def digest_stats(spark, d):
 _HEAD = "x8 || '（第' || (i + 1) || '–' || (i + 6) || '章）'"
 OLD = LN + """,
 od AS (SELECT book_id, doc_id, i, i // 7 AS g, i % 7 AS r,
-  trim(left(regexp_replace(l, '[^A-Za-z ]+', '', 'g'), 40)) AS x FROM ln)"""
+  trim(l) AS x FROM ln)"""
 _ANCHORS = """an AS (SELECT book_id, doc_id, i + k AS ch, CASE WHEN k = 3 AND has THEN 's' || (i + 3) || '-1'
     ELSE 'u-' || (g + 1) END AS anchor FROM (SELECT a.*, EXISTS (SELECT 1 FROM dg b WHERE b.doc_id = a.doc_id
     AND b.i = a.i + 3) AS has FROM dg a WHERE r = 0), (SELECT unnest(generate_series(1, 6)) AS k))"""
@@ -155,7 +155,7 @@ QUERIES = {
     "digest_units": (digest_units, f"""WITH {DG} SELECT book_id, doc_id, g + 1 AS bucket_no, 'unit' AS kind, g + 1 AS num,
       {_HEAD} AS title, i + 1 AS ch_from, i + 6 AS ch_to, 'u-' || (g + 1) AS anchor FROM dg WHERE r = 0"""),
     "unit_titles": (unit_titles, f"""WITH {DG} SELECT book_id, doc_id, g + 1 AS num,
-      CASE WHEN x8 <> '' THEN x8 ELSE {_HEAD} END AS title FROM dg WHERE r = 0"""),
+      coalesce(nullif(trim(regexp_replace({_HEAD}, '[（(].*[）)]\\s*$', '')), ''), {_HEAD}) AS title FROM dg WHERE r = 0"""),
     "document_titles": (document_titles, f"""WITH {LN}, h AS (SELECT book_id, doc_id,
         arg_min(CASE WHEN i = 0 THEN l ELSE l[3:] END, i) AS t FROM ln
         WHERE i < 20 AND ((i = 0 AND l <> '') OR (i > 0 AND regexp_matches(l, '^# .'))) GROUP BY ALL)

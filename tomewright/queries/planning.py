@@ -43,7 +43,7 @@ def segments_count(spark, d):
 
 
 def segments_ends(spark, d):
-    return _segments(R.plan_segments(index(spark, d), ends=ENDS, first_number=4))
+    return _segments(R.plan_segments(index(spark, d), ends=ENDS, hi=ENDS[-1], first_number=4, gate=False))
 
 
 def segments_budget(spark, d):
@@ -154,7 +154,7 @@ QUERIES = {
     "segments_count": (segments_count, f"WITH {IX}, s AS (SELECT *, (idx - 1) // 8 AS seg FROM ix) "
                        + _SEG.format(first=1)),
     "segments_ends": (segments_ends, f"""WITH {IX}, s AS (SELECT *, CASE WHEN idx <= 10 THEN 0 WHEN idx <= 25 THEN 1
-      WHEN idx <= 40 THEN 2 ELSE 3 END AS seg FROM ix) """ + _SEG.format(first=4)),
+      ELSE 2 END AS seg FROM ix WHERE idx <= 40) """ + _SEG.format(first=4)),
     "segments_budget": (segments_budget, _BUDGET + " " + _SEG.format(first=1)),
     "segment_ends_outside": (ends_outside, f"""WITH {IX} SELECT book_id, min(idx) AS lo, max(idx) AS hi FROM ix
       GROUP BY book_id HAVING max(idx) <> 40 OR min(idx) > 10"""),

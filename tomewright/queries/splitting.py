@@ -31,8 +31,7 @@ def chapter_bodies(spark, d):
 def custom_pattern_split(spark, d):
     books = documents(spark, d).select(F.col("doc_id").alias("book_id"), "text")
     c = S.split_chapters(books, pattern="([A-Z][a-z]+) [a-z]+[.]$", chunk_size=8000)
-    return c.where("not fallback").select("book_id", F.col("idx").cast("long").alias("idx"), "title", "chars",
-                                          "start", "end")
+    return c.select("book_id", F.col("idx").cast("long").alias("idx"), "title", "chars", "start", "end", "fallback")
 
 
 def fallback_chunks(spark, d):
@@ -137,7 +136,12 @@ QUERIES = {
         count(*) OVER (PARTITION BY h.doc_id) AS n FROM hit h JOIN documents d USING (doc_id)
         WINDOW w AS (PARTITION BY h.doc_id ORDER BY h.i))
       SELECT doc_id AS book_id, CAST(idx AS BIGINT) AS idx, title, start, "end", CAST(length(regexp_replace(
-        substring(text, start + 1, "end" - start), '^\\s+|\\s+$', '', 'g')) AS BIGINT) AS chars FROM c WHERE n >= 2"""),
+        substring(text, start + 1, "end" - start), '^\\s+|\\s+$', '', 'g')) AS BIGINT) AS chars, false AS fallback
+      FROM c WHERE n >= 2
+      UNION ALL SELECT doc_id, CAST(p // 8000 + 1 AS BIGINT), '分块' || (p // 8000 + 1) || '（自动，非真实章节）', CAST(p AS BIGINT),
+        CAST(least(p + 8000, length(text)) AS BIGINT), CAST(least(8000, length(text) - p) AS BIGINT), true
+      FROM documents, LATERAL (SELECT unnest(generate_series(0, length(text) - 1, 8000)) AS p)
+      WHERE doc_id NOT IN (SELECT doc_id FROM c WHERE n >= 2)"""),
     "fallback_chunks": (fallback_chunks, """SELECT doc_id AS book_id, CAST(p // 1000 + 1 AS BIGINT) AS idx,
       CAST(least(1000, length(text) - p) AS BIGINT) AS chars, CAST(p AS BIGINT) AS start,
       CAST(least(p + 1000, length(text)) AS BIGINT) AS "end"

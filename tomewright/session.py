@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -25,6 +26,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return b.getOrCreate()
 
 
+_made: list[str] = []       # folders handed out by this driver
+
+
 @functools.cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tomewright-")
@@ -33,12 +37,30 @@ def _local_folder() -> str:
 def new_folder(spark: SparkSession) -> str:
     """A fresh folder name below the shared one the cluster names.
 
-    Only where ``spark.checkpoint.dir`` is unset (a local run, a test) does a
-    temporary folder of this machine take its place.
+    Where ``spark.checkpoint.dir`` is unset a local session (a test, a bench)
+    uses a temporary folder of this machine; any other is refused, as its
+    executors would not see each other's files.  ``release`` removes what a
+    session has made.
     """
-    folder = (spark.conf.get("spark.checkpoint.dir", None)
-              or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local_folder())
-    return f"{folder.rstrip('/')}/tomewright-{uuid.uuid4().hex}"
+    conf = spark.sparkContext.getConf()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not folder:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[[^,]*(,\s*\d+)?\])?$", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        folder = _local_folder()
+    _made.append(path := f"{folder.rstrip('/')}/tomewright-{uuid.uuid4().hex}")
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all intermediate tables made so far; DataFrames built on them can't be read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -80,7 +80,8 @@ def refresh_text(spark: SparkSession, files: DataFrame, store: str, depth: int =
         batch = 0
         todo = files
     else:
-        batch = old.agg(F.max("batch")).first()[0] + 1
+        last = old.agg(F.max("batch")).first()[0]       # null: the store holds no row yet
+        batch = 0 if last is None else last + 1
         done = old.where(F.col("norm_version") == NORM_VERSION).select(*same)
         todo = files.withColumns({"book_id": book_of_path(F.col("path"), depth),
                                   "name": F.regexp_extract("path", r"([^/]*)$", 1)}) \
