@@ -46,18 +46,19 @@ def test_remove_repeats_keeps_characters(documents):
 
 
 # -- near duplicates ------------------------------------------------------
-def test_probminhash(documents):
+@pytest.mark.parametrize("block", [1500, 3])
+def test_probminhash(documents, block):
     rng = random.Random(5)
     base = prose(rng, 120).split(" ")
     rows = [(k, prose(rng, rng.randint(1, 80))) for k in range(20)]
     for k in range(40):                     # chains of near copies around one text
         w = list(base)
-        for _ in range(rng.randint(0, 6)):
+        for _ in range(rng.randint(0, 9)):
             w[rng.randrange(len(w))] = "changed%d" % rng.randint(0, 99)
         rows.append((100 + k, " ".join(w)))
     rows += [(200, None), (201, None), (202, ""), (203, ""), (204, "one two"), (205, "one two "), (206, "spam " * 300),
              (207, "spam " * 280), (208, " ".join(base) + " " + " ".join(base)), (209, prose(rng, 3000))]
-    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(documents(rows)).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(documents(rows), block=block).collect()}
     assert got == classes(rows)
 
 

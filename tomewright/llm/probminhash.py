@@ -14,19 +14,24 @@ each other in all of them with probability 2e-6.  Candidates are verified by
 their exact probability Jaccard:
 
 1. texts equal byte for byte are one class from the start (only one is hashed on),
-2. in each bucket all members are verified against two pivots in turn,
-3. then every pair of one bucket that still lies in different classes.
-
-So no pairs are written within a class that the pivots already join, however
-large it is, and no candidate is dropped.  Words-free texts are only copies of
-equal texts; a null text is its own class.
+2. in each bucket all members are verified against one of them, its pivot,
+3. in buckets that still hold several classes the remaining pairs are compared
+   inside tasks of at most two blocks of BLOCK members, by matrix products over
+   the shingles they share.  Members of the pivot's class stand in blocks of
+   their own, which are not compared with each other.
+
+Tasks return links to the least member of what they have joined, one row per
+member.  So pairs are never written, whatever the size of a bucket, and no
+candidate is dropped.  Words-free texts are only copies of equal texts; a null
+text is its own class.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.llm.common import add_columns, byte_rows, map_batches, mix, run_starts, segment_hash, windows, words
@@ -35,6 +40,7 @@ from tomewright.session import cut_lineage
 
 SHINGLE, REGISTERS, BANDS, ROWS = 5, 100, 25, 4
 SIMILARITY = 0.8
+BLOCK = 1500                    # members of a bucket compared with each other at once
 
 
 def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,10 +70,10 @@ def signatures(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     time, sig = np.full(n * REGISTERS, np.inf), np.zeros(n * REGISTERS, np.uint64)
     clock = np.zeros(len(row))
     live = np.arange(len(row))
-    k = np.uint64(0)
+    k, step = 0, np.uint64(0x9E3779B97F4A7C15)
     while len(live):
-        k += np.uint64(1)
-        draw = mix(item[live] + k * np.uint64(0x9E3779B97F4A7C15))
+        k += 1
+        draw = mix(item[live] + step * np.arange(k, k + 1, dtype=np.uint64))
         # 32 bits of the draw choose the register, 52 bits of its remix the waiting time
         slot = row[live] * REGISTERS + ((draw >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64)
         wait = -np.log(((mix(draw + np.uint64(1)) >> np.uint64(12)).astype(float) + 0.5) * 2.0 ** -52)
@@ -148,7 +154,56 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Data
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def _compare(least: float):
+    """Members of one bucket (or two of its blocks) -> links that join different classes."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id").sort_values("id")
+        n = len(pdf)
+        own, part, old = pdf["id"].to_numpy(), pdf["own"].to_numpy(), pdf["root"].to_numpy()
+        sets = [_unpack(x) for x in pdf["set"]]
+        size = np.array([len(h) for h, _ in sets])
+        _, col, held = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(n), size)
+        share = np.concatenate([w / w.sum() for _, w in sets])
+        heavy = np.array([bool((w > 1).any()) for _, w in sets])
+        use = held[col] > 1
+        row, col, share = row[use], np.unique(col[use], return_inverse=True)[1], share[use]
+        order = np.argsort(col, kind="stable")
+        row, col, share = row[order], col[order], share[order]
+        both, mass = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+            a, b = np.searchsorted(col, [lo, lo + 4096])
+            m = np.zeros((n, int(min(4096, col[-1] + 1 - lo))), np.float32)
+            m[row[a:b], col[a:b] - lo] = 1
+            both += m @ m.T
+            if heavy.any():
+                w = np.zeros_like(m)
+                w[row[a:b], col[a:b] - lo] = share[a:b]
+                mass += w @ m.T
+        cross = old[:, None] != old[None, :]
+        if pdf["i"].iat[0] != pdf["j"].iat[0]:
+            cross &= part[:, None] != part[None, :]
+        exact = both.astype(np.int64)
+        near = cross & (exact >= least * (size[:, None] + size[None, :] - exact) - 1e-9)
+        odd = heavy[:, None] | heavy[None, :]
+        near &= ~odd
+        if heavy.any():             # the similarity is at most the mass that either text has in common with the other
+            maybe = np.argwhere(np.triu(cross & odd & (np.minimum(mass, mass.T) >= least - 1e-4)))
+            for u, v in maybe:
+                near[u, v] = near[v, u] = probability_jaccard(*sets[u], *sets[v]) >= least - 1e-12
+        root = np.arange(n)
+        while True:
+            new = np.minimum(root, np.where(near, root[None, :], n).min(axis=1))
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        out = np.flatnonzero(root != np.arange(n))
+        return pd.DataFrame({"a": own[root[out]], "b": own[out]})
+    return run
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Documents (doc_id, text) -> doc_id, class_id (smallest doc_id of its class), one row per input row.
 
     Repeated doc_ids are one document if their texts agree; otherwise their
@@ -161,32 +216,33 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                          .select("id", "head").distinct())
     texts = sketch.join(heads, ["copy", "id"], "left_semi").dropDuplicates(["copy"])
     member = texts.select("id", F.explode("bands").alias("band"))
-    sizes = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    sizes = member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1").drop("n")
     member = cut_lineage(member.join(sizes, "band").distinct())
-    need = member.select("id").distinct()
-    sets = cut_lineage(_packed(rows.join(need, "id", "left_semi")))
-
-    def of_class(label: DataFrame | None) -> DataFrame:
-        if label is None:
-            return member.withColumn("root", F.col("id"))
-        return member.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    links, label = None, None
-    for turn in range(2):                               # all members of a bucket against one of them
-        m = of_class(label)
-        rank: Column = F.struct(F.xxhash64("id", F.lit(turn)), "id", "root") if turn else F.struct(F.col("id").alias("k"), "id", "root")
-        pivot = m.groupBy("band").agg(F.min(rank).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        pivot = pivot.where("lo <> hi").select("band", F.col("p.id").alias("q"), F.col("p.root").alias("qroot"))
-        pairs = m.join(pivot, "band").where("root <> qroot").select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b"))
-        found = cut_lineage(verify(pairs.distinct(), sets, least))
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-    m = of_class(label)                                 # what is left: pairs of different classes
-    open_ = m.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    m = m.join(open_, "band")
-    left, right = (m.select("band", F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
-    pairs = left.join(right, "band").where("a < b AND ra <> rb").select("a", "b").distinct()
-    links = cut_lineage(links.unionByName(verify(pairs, sets, least)))
+    sets = cut_lineage(_packed(rows.join(member.select("id").distinct(), "id", "left_semi")))
+    pairs = member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    links = cut_lineage(verify(pairs, sets, least))
+    label = components(links).select(F.col("node").alias("id"), "root")
+    # buckets with several classes
+    m = member.join(label, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    lead = member.where("id = pivot").join(label, "id", "left").select("band", F.coalesce("root", "id").alias("lead"))
+    m = cut_lineage(m.join(lead, "band").select("band", "id", "root", (F.col("root") == F.col("lead")).alias("led")))
+    n = m.groupBy("band").agg(F.count_if("led").alias("na"), F.count_if(~F.col("led")).alias("nb"),
+                              F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    m = m.join(n, "band")
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1)).cast("int")
+    m = m.withColumns({"ka": blocks("na"), "kb": blocks("nb")})
+    # blocks of the leading class count from -1 downwards, all others from 0
+    m = m.withColumn("own", F.when(F.col("led"), -1 - F.pmod(F.xxhash64("id"), F.col("ka")).cast("int"))
+                     .otherwise(F.pmod(F.xxhash64("id"), F.col("kb")).cast("int")))
+    # where each side fits in one block they meet at once
+    m = m.withColumns({"own": F.when((F.col("ka") == 1) & (F.col("kb") == 1), F.lit(0)).otherwise(F.col("own"))})
+    other = F.when((F.col("ka") == 1) & (F.col("kb") == 1), F.array(F.lit(0))).otherwise(F.concat(
+        F.sequence(F.lit(0), F.col("kb") - 1),
+        F.when(F.col("led"), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(-1), -F.col("ka"), F.lit(-1)))))
+    m = m.select("band", "id", "root", "own", F.explode(other).alias("other"))
+    m = m.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root")
+    more = m.join(sets, "id").groupBy("band", "i", "j").applyInPandas(_compare(least), "a long, b long")
+    links = links.unionByName(cut_lineage(more))
     # copies of one text under several ids, and one id with several texts, are links as well
     label = components(links.unionByName(copies.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))))
     ids = docs.select("doc_id").where("doc_id IS NOT NULL")
