@@ -101,7 +101,7 @@ def test_units_and_anchors(spark):
     am = A.anchors(b, u, KEYS)
     amap = {r.ch: r.anchor for r in am.collect()}
     assert amap[5] == "s5-1" and amap[4] == "u-1" and amap[18] == "u-2" and len(amap) == 18
-    refs = {(r.kind, r.a, r.b): r.anchor for r in A.resolve_refs(d, am, KEYS).collect()}
+    refs = {(r.kind, r.a, r.b): r.anchor for r in A.resolve_refs(d, b, u, KEYS).collect()}
     assert refs[("range", 16, 17)] == "u-2" and refs[("single", 99, 99)] is None and refs[("single", 5, 5)] == "s5-1"
     whole = D.units(D.digest_blocks(doc(spark, "x\n## 附录\ny"), KEYS), KEYS).where("kind = 'unit'").first()
     assert (whole.bucket_no, whole.num) == (0, 1)

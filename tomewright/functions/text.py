@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 import unicodedata
 
 import numpy as np
@@ -214,11 +216,22 @@ def ref_singles(text: Column, pattern: str = K.COVER_SINGLE) -> Column:
     return F.filter(nums, lambda n: n > 0)
 
 
-def chapter_list(s: Column) -> Column:
-    """Sorted distinct chapters of a list such as ``3、5–8``; wide or falling spans keep their ends."""
+def plain_digits(c: Column) -> Column:
+    """Full-width, Arabic-Indic and Devanagari digits as ASCII ones, as a Unicode ``\\d`` would accept them."""
+    other = "".join(chr(base + i) for base in (0xFF10, 0x0660, 0x06F0, 0x0966) for i in range(10))
+    return F.translate(c, other, "0123456789" * 4)
+
+
+def chapter_list(s: Column, widest: int | None = K.LIST_SPAN_CAP) -> Column:
+    """Sorted distinct chapters of a list such as ``3、5–8``.
+
+    Falling spans, and spans over ``widest`` chapters (None: no bound), keep their ends only.
+    """
+    s = plain_digits(s)
+
     def expand(p):
         a, b = p["a"].cast("long"), p["b"].cast("long")
-        near = (b > a) & (b - a <= K.LIST_SPAN_CAP)
+        near = (b > a) & (b - a <= widest) if widest is not None else b > a
         return F.when(near, F.sequence(a, F.when(near, b).otherwise(a))).otherwise(F.array(a, b))
 
     spans = F.flatten(F.transform(_pairs(s, K.LIST_RANGE), expand))
@@ -230,6 +243,7 @@ def chapter_list(s: Column) -> Column:
 
 def declared_chapter(label: Column) -> Column:
     """Chapter number that a quotation marker declares, else null."""
+    label = plain_digits(label)
     return F.coalesce(group(label, K.U + r"第\s*([0-9]+)").try_cast("long"),
                       F.when(ustrip(label).rlike("^[0-9]+$"), ustrip(label).try_cast("long")))
 
@@ -243,12 +257,13 @@ def leading_number(name: Column) -> Column:
     return F.coalesce(group(name, "^([0-9]+)").try_cast("long"), F.lit(10 ** 9).cast("long"))
 
 
-def guess_range(*texts: Column) -> Column:
-    """STRUCT<a, b> of the first text holding a plausible chapter range."""
+def guess_range(*texts: Column, span: int | None = K.SHELF_RANGE_SPAN) -> Column:
+    """STRUCT<a, b> of the first text holding a chapter range of less than ``span`` chapters (None: any)."""
     def one(t):
+        t = plain_digits(t)
         a = group(t, K.SHELF_RANGE, 1).cast("int")
         b = group(t, K.SHELF_RANGE, 2).cast("int")
-        return F.when((a <= b) & (b - a < K.SHELF_RANGE_SPAN), F.struct(a.alias("a"), b.alias("b")))
+        return F.when((a <= b) & (b - a < span) if span is not None else a <= b, F.struct(a.alias("a"), b.alias("b")))
     return F.coalesce(*[one(t) for t in texts])
 
 
@@ -271,12 +286,14 @@ def progress_label(pct: Column) -> Column:
              .otherwise(F.concat(F.lit(before), pct.cast("string"), F.lit(after))))
 
 
+@F.pandas_udf(StringType())
+def _unescape(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore")
+
+
 def html_unescape(c: Column) -> Column:
-    """The entities a page builder writes into a title."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"),
-                         ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Named and numeric entities as characters; texts without an ampersand stay in the JVM."""
+    return F.when(F.contains(c, F.lit("&")), _unescape(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
 
 
 # -- alias cells ----------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tomewright import fixed as K
 from tomewright.functions import text as T
+from tomewright.session import cut_lineage
 
 
 def slice_anchors(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,19 +32,42 @@ def anchors(blocks: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
 
 def text_refs(docs: DataFrame, keys: list[str]) -> DataFrame:
     """References in running text: keys, kind, ord, a, b.  Ranges are read before singles."""
-    r = docs.select(*keys, F.posexplode_outer(T.ref_pairs(F.col("text"), K.LINK_RANGE)).alias("ord", "p")) \
-        .where("p is not null").select(*keys, F.lit("range").alias("kind"), "ord", "p.a", "p.b")
+    # both kinds of a row are read in one pass and leave as one array
+    ranges = F.transform(T.ref_pairs(F.col("text"), K.LINK_RANGE), lambda p, i: F.struct(
+        F.lit("range").alias("kind"), i.alias("ord"), p["a"].cast("long").alias("a"), p["b"].cast("long").alias("b")))
     rest = F.regexp_replace("text", K.LINK_RANGE, " ")
-    s = docs.select(*keys, F.posexplode_outer(T.ref_singles(rest, K.LINK_SINGLE)).alias("ord", "a")) \
-        .where("a is not null").select(*keys, F.lit("single").alias("kind"), "ord", "a", F.col("a").alias("b"))
-    return r.unionByName(s)
+    singles = F.transform(T.ref_singles(rest, K.LINK_SINGLE), lambda n, i: F.struct(
+        F.lit("single").alias("kind"), i.alias("ord"), n.cast("long").alias("a"), n.cast("long").alias("b")))
+    return (docs.select(*keys, F.explode_outer(F.concat(ranges, singles)).alias("r")).where("r is not null")
+            .select(*keys, "r.kind", "r.ord", "r.a", "r.b"))
 
 
-def resolve_refs(docs: DataFrame, anchor_map: DataFrame, keys: list[str]) -> DataFrame:
-    """References with the anchor of their first, else their second chapter; null stays plain text."""
-    first = anchor_map.select(*keys, F.col("ch").alias("a"), F.col("anchor").alias("_a"))
-    second = anchor_map.select(*keys, F.col("ch").alias("b"), F.col("anchor").alias("_b"))
-    return (text_refs(docs, keys).join(first, [*keys, "a"], "left").join(second, [*keys, "b"], "left")
+def anchors_at(points: DataFrame, blocks: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
+    """Anchors of the given chapters (keys, ch): the first slice, else the first unit whose range holds it.
+
+    Unit ranges stay intervals, so a heading that claims a million chapters is one row.
+    """
+    points = points.select(*keys, "ch").distinct()
+    by_slice = slice_anchors(blocks, keys).where("k = 1").select(*keys, "ch", F.col("anchor").alias("_s"))
+    spans = units.where("kind = 'unit' and ch_from > 0 and ch_to >= ch_from").select(
+        *keys, "ch_from", "ch_to", F.struct("bucket_no", "anchor").alias("_u"))
+    by_unit = (points.join(spans, keys).where((F.col("ch") >= F.col("ch_from")) & (F.col("ch") <= F.col("ch_to")))
+               .groupBy(*keys, "ch").agg(F.min("_u").alias("_u")))
+    return (points.join(by_slice, [*keys, "ch"], "left").join(by_unit, [*keys, "ch"], "left")
+            .select(*keys, "ch", F.coalesce("_s", "_u.anchor").alias("anchor")).where("anchor is not null"))
+
+
+def resolve_refs(docs: DataFrame, blocks: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
+    """References with the anchor of their first, else their second chapter; null stays plain text.
+
+    The references are written once; only chapters that are referred to are resolved.
+    """
+    refs = cut_lineage(text_refs(docs, keys))
+    asked = refs.select(*keys, F.explode(F.array("a", "b")).alias("ch"))
+    found = cut_lineage(anchors_at(asked, blocks, units, keys))
+    first = found.select(*keys, F.col("ch").alias("a"), F.col("anchor").alias("_a"))
+    second = found.select(*keys, F.col("ch").alias("b"), F.col("anchor").alias("_b"))
+    return (refs.join(first, [*keys, "a"], "left").join(second, [*keys, "b"], "left")
             .select(*keys, "kind", "ord", "a", "b", F.coalesce("_a", "_b").alias("anchor")))
 
 

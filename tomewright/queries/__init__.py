@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def registry() -> dict:
-    from tomewright.queries import audits, digests, people, planning, quoting, shelf, splitting
+    from tomewright.queries import audits, digests, exchange, people, planning, quoting, shelf, splitting
     out: dict = {}
-    for m in (splitting, planning, quoting, digests, people, shelf, audits):
+    for m in (splitting, planning, quoting, digests, people, shelf, audits, exchange):
         overlap = out.keys() & m.QUERIES.keys()
         if overlap:
             raise ValueError(f"duplicate query names: {overlap}")

@@ -94,6 +94,12 @@ def lost_by_cleaning(spark, d):
     return D.lost_lines(D.digest_lines(t, ["doc_id"]), new, ["doc_id"], content=T.urstrip)
 
 
+def lost_by_damage(spark, d):
+    """Every seventh line is taken out of the new version; the check must name each of them."""
+    old = D.digest_lines(documents(spark, d).select("doc_id", "text"), ["doc_id"])
+    return D.lost_lines(old, old.where("line_no % 7 <> 3"), ["doc_id"], content=T.urstrip)
+
+
 def order_audit(spark, d):
     return _long(D.audit_order(digests(spark, d), KEYS), "unit_no")
 
@@ -106,7 +112,7 @@ def chapter_anchors(spark, d):
 def resolved_refs(spark, d):
     docs = digests(spark, d)
     b = _blocks(docs)
-    return _long(A.resolve_refs(docs, A.anchors(b, D.units(b, KEYS), KEYS), KEYS), "ord")
+    return _long(A.resolve_refs(docs, b, D.units(b, KEYS), KEYS), "ord")
 
 
 def nav_chapters(spark, d):
@@ -193,6 +199,8 @@ QUERIES = {
       FROM documents WHERE false"""),
     "lost_by_cleaning": (lost_by_cleaning, f"""WITH {LN} SELECT doc_id, regexp_replace(l, '\\s+$', '') AS line,
       -count(*) AS delta FROM ln WHERE regexp_matches(l, 'https?://|www\\.|(?i:license)') GROUP BY 1, 2"""),
+    "lost_by_damage": (lost_by_damage, f"""WITH {LN} SELECT doc_id, regexp_replace(l, '\\s+$', '') AS line, -count(*) AS delta
+      FROM ln WHERE i % 7 = 3 AND regexp_matches(l, '\\S') GROUP BY 1, 2"""),
     "order_audit": (order_audit, f"""WITH {DG}, u AS (SELECT book_id, doc_id, g, count(CASE WHEN r IN (1, 2) THEN 1 END) AS e,
         count(CASE WHEN r = 2 THEN 1 END) AS t, count(CASE WHEN r = 1 THEN 1 END) AS o FROM dg GROUP BY ALL)
       SELECT book_id, doc_id, g + 1 AS unit_no, e AS entries, t AS descents, CAST(0 AS BIGINT) AS repeated,

@@ -51,9 +51,9 @@ def ingest_stream(spark: SparkSession, landing: str, store: str, index: str, che
     def write(batch: DataFrame, batch_id: int) -> None:
         new = _prepare(batch, depth, trust_utf8)
         new.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        whole = current_text(spark.read.parquet(store).where(F.col("batch") <= batch_id))
         touched = spark.read.parquet(f"{store}/batch={batch_id}").select("book_id").distinct()
-        rows = whole.select("book_id", "name", "text").join(touched, "book_id", "left_semi")
+        mine = spark.read.parquet(store).where(F.col("batch") <= batch_id).join(touched, "book_id", "left_semi")
+        rows = current_text(mine).select("book_id", "name", "text")
         index_files(rows).write.mode("overwrite").parquet(f"{index}/batch={batch_id}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
