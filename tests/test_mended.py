@@ -128,7 +128,11 @@ def test_shared_folder_rule(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(session, "_made", [])
     assert session.new_folder(Fake).startswith("hdfs://x/shared/tomewright-")
     monkeypatch.setattr(session, "_made", [])
+    Fake.conf.get, Fake.sparkContext.master = staticmethod(lambda key, default=None: default), "local[4]"
     monkeypatch.setattr(session, "_local_folder", lambda: str(tmp_path))
+    assert session.new_folder(Fake).startswith(str(tmp_path))
+    monkeypatch.setattr(session, "_made", [])
     df = session.cut_lineage(spark.range(3))
-    assert df.count() == 3 and len(os.listdir(tmp_path)) == 1
-    assert session.release(spark) == 1 and os.listdir(tmp_path) == []
+    path = session._made[0].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    assert session.release(spark) == 1 and not os.path.exists(path)
