@@ -136,3 +136,22 @@ def test_shared_folder_rule(spark, monkeypatch, tmp_path):
     path = session._made[0].removeprefix("file://")
     assert df.count() == 3 and os.path.isdir(path)
     assert session.release(spark) == 1 and not os.path.exists(path)
+
+
+def test_gaps_equal_brute_force(spark):
+    import random
+
+    from tomewright.operators import coverage as V
+    rng = random.Random(9)
+    books = {"a": range(1, 40), "b": [i for i in range(3, 60) if i % 7], "c": [5], "d": range(1, 4)}
+    refs = {(b, d): sorted({rng.randint(1, 62) for _ in range(rng.choice([0, 3, 30]))}) for b in "abcx" for d in range(4)}
+    docs = spark.createDataFrame([(b, str(d), "".join(f"第{n}章 " for n in r)) for (b, d), r in refs.items()],
+                                 "book_id string, doc_id string, text string")
+    want, runs_ = set(), set()
+    for (b, d), r in refs.items():
+        miss = [i for i in books.get(b, ()) if i not in r and 4 <= i <= 50]
+        want |= {(b, str(d), i) for i in miss}
+        runs_ |= {(b, str(d), i) for i in miss if i - 1 not in miss}
+    ix = index(spark, books)
+    assert {tuple(r) for r in V.missing_chapters(docs, ix, 4, 50).collect()} == want
+    assert {(r.book_id, r.doc_id, r.first) for r in V.missing_runs(docs, ix, 4, 50, bits=3).collect()} == runs_

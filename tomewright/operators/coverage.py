@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tomewright import fixed as K
 from tomewright.functions import text as T
-from tomewright.operators.ordered import runs
+from tomewright.operators.ordered import ordered_scan
 from tomewright.operators.segment import in_scope
+from tomewright.session import cut_lineage
 
 
 def extract_ranges(docs: DataFrame, keys: list[str], pattern: str = K.COVER_RANGE) -> DataFrame:
@@ -41,18 +42,34 @@ def extract_refs(docs: DataFrame, chapters: DataFrame) -> DataFrame:
     return wide.union(extract_singles(docs, keys)).distinct()
 
 
-def scope_rows(docs: DataFrame, chapters: DataFrame, lo: int | None = None,
-               hi: int | None = None) -> DataFrame:
-    """Every index row a document of that book answers for: book_id, doc_id, ch."""
-    index = in_scope(chapters, lo, hi).select("book_id", F.col("idx").cast("long").alias("ch"))
-    return docs.select("book_id", "doc_id").distinct().join(index, "book_id")
+def gaps(docs: DataFrame, chapters: DataFrame, lo: int | None = None, hi: int | None = None, bits: int = 16) -> DataFrame:
+    """Maximal runs (book_id, doc_id, first, last) of index rows in scope that the document never mentions.
+
+    Found between neighbouring covered rows, so the (document x chapter) scope
+    is never built.  Rows are compared by their rank in the index; where its
+    numbers jump, a run ends.
+    """
+    keys = ["book_id", "doc_id"]
+    index = in_scope(chapters, lo, hi).select("book_id", F.col("idx").cast("long").alias("ch")).distinct()
+    ranked = cut_lineage(ordered_scan(index, ["book_id"], "ch", total={"rank": F.lit(1)}, bits=bits)
+                         .withColumn("rank", F.col("rank").cast("long")))
+    pieces = ranked.groupBy("book_id", (F.col("ch") - F.col("rank")).alias("_jump")).agg(
+        F.min("rank").alias("r0"), F.max("rank").alias("r1"), F.min("ch").alias("i0"))
+    total = ranked.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    ends = docs.select(*keys).distinct().join(total, "book_id").select(
+        *keys, F.explode(F.array(F.lit(-1).cast("long"), F.col("n"))).alias("rank"))
+    covered = extract_refs(docs, chapters).join(ranked, ["book_id", "ch"]).select(*keys, "rank")
+    near = ordered_scan(cut_lineage(covered.unionByName(ends)), keys, "rank", ahead={"_next": F.col("rank")}, bits=bits)
+    holes = near.where("_next > rank + 1").select(*keys, (F.col("rank") + 1).alias("_a"), (F.col("_next") - 1).alias("_b"))
+    cut = holes.join(pieces, "book_id").where("r0 <= _b AND r1 >= _a")
+    return cut.select(*keys, (F.col("i0") + F.greatest("_a", "r0") - F.col("r0")).alias("first"),
+                      (F.col("i0") + F.least("_b", "r1") - F.col("r0")).alias("last"))
 
 
 def missing_chapters(docs: DataFrame, chapters: DataFrame, lo: int | None = None,
                      hi: int | None = None) -> DataFrame:
-    """Index rows in scope that the document never mentions (left anti join)."""
-    return (scope_rows(docs, chapters, lo, hi)
-            .join(extract_refs(docs, chapters), ["book_id", "doc_id", "ch"], "left_anti"))
+    """Index rows in scope that the document never mentions: book_id, doc_id, ch."""
+    return gaps(docs, chapters, lo, hi).select("book_id", "doc_id", F.explode(F.sequence("first", "last")).alias("ch"))
 
 
 def covered_chapters(docs: DataFrame, chapters: DataFrame, lo: int | None = None,
@@ -89,9 +106,9 @@ def run_label(first: Column, last: Column) -> Column:
 def missing_runs(docs: DataFrame, chapters: DataFrame, lo: int | None = None,
                  hi: int | None = None, bits: int = 16) -> DataFrame:
     """Missing chapters as maximal runs, each with the label and size of its first chapter."""
-    gaps = runs(missing_chapters(docs, chapters, lo, hi), ["book_id", "doc_id"], "ch", bits)
+    found = gaps(docs, chapters, lo, hi, bits)
     head = chapters.select("book_id", F.col("idx").cast("long").alias("first"), "title", "chars")
-    return (gaps.join(head, ["book_id", "first"])
+    return (found.join(head, ["book_id", "first"])
             .select("book_id", "doc_id", "first", "last", run_label(F.col("first"), F.col("last")).alias("run"),
                     (F.col("last") - F.col("first") + 1).alias("chapters"),
                     T.chapter_label(F.col("first"), F.col("title")).alias("sample"),
