@@ -17,7 +17,8 @@ HEADLINE = ["line_offsets", "chapters_from_headings", "chapter_bodies", "compari
             "segments_budget", "batches_grid", "coverage_summary", "missing_runs", "passages_exact",
             "passages_located", "slice_status", "digest_blocks", "reordered_digest", "chapter_anchors",
             "resolved_refs", "first_mentions", "page_metadata", "shelf_groups", "asof_state", "asof_states",
-            "duplicate_chapters", "latest_progress"]
+            "duplicate_chapters", "latest_progress", "order_audit", "mentions", "lint_digest", "quality_gate", "plan_continuity",
+            "nav_chapters", "refreshed_text"]
 
 
 def main() -> None:

@@ -52,10 +52,7 @@ def test_extraction(spark):
     assert kept.raw == "独一无二\n\n的句子在此"
 
 
-@pytest.mark.parametrize("limit", [Q.FOLD_LIMIT, 0])
-def test_statuses(spark, limit, monkeypatch):
-    locate = Q.locate_in_order
-    monkeypatch.setattr(Q, "locate_in_order", lambda o, s, k: locate(o, s, k, limit))
+def test_statuses(spark):
     sl = Q.extract_slices(docs(spark), ["book_id", "doc_id"])
     rows = Q.verify_slices(sl, corpus(spark)).orderBy("slice_no").collect()
     assert [r.status for r in rows] == ["PASS", "WARN", "WARN", "FAIL", "FAIL", "PASS", "PASS"]
@@ -79,8 +76,9 @@ def greedy(flat, segs):
     return out
 
 
-@pytest.mark.parametrize("limit", [Q.FOLD_LIMIT, 3])
-def test_ordered_search_equals_greedy(spark, limit):
+@pytest.mark.parametrize("batch", [10_000, 7, 1])
+def test_ordered_search_equals_greedy(spark, batch):
+    """Small batches cut the occurrences of a piece anywhere."""
     rnd = random.Random(5)
     flat = "".join(rnd.choice("ab") for _ in range(600))
     slices = [[flat[p:p + rnd.randint(4, 9)] for p in (rnd.randrange(590) for _ in range(rnd.randint(1, 5)))] for _ in range(30)]
@@ -94,7 +92,11 @@ def test_ordered_search_equals_greedy(spark, limit):
     keys = ["book_id", "n"]
     spans = P.flat_spans(ct, bits=1)
     occ = P.find_segments(P.flat_blocks(ct, spans), segs, [*keys, "seg_no"], ["book_id"], ["book_id"])
-    got = {(r.n, r.seg_no): (r.pos, r.out_of_order) for r in Q.locate_in_order(occ, segs, keys, limit).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.n, r.seg_no): (r.pos, r.out_of_order) for r in Q.locate_in_order(occ, segs, keys).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for i, sl in enumerate(slices):
         for j, w in enumerate(greedy(flat, sl)):
             assert got.get((i, j), (None, None)) == w

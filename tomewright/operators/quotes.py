@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,6 @@ from tomewright.operators.ordered import locate_in_spans
 from tomewright.operators.passages import BROADCAST_PROBES, find_segments, flat_blocks, flat_spans
 from tomewright.session import cut_lineage
 
-FOLD_LIMIT = 262_144     # occurrences of one slice that may meet in one task (a few MB)
-
 _IN = K.WS_INLINE
 _MARK_AHEAD = "(?Udm)" + rf"^(?={_IN}*(?:\*\*)?{_IN}*【原文{_IN}*[·・:：]?{_IN}*[^】\n]*】)"
 _QUOTE_LINE = rf"{_IN}*>[^\n]*(?:\n|\z)"
@@ -56,69 +56,68 @@ def slice_segments(slices: DataFrame, keys: list[str]) -> DataFrame:
             .where("seg_no is not null"))
 
 
-def _in_memory_order(occ: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """The ordered search as a fold over one slice; only for slices of bounded size."""
-    per_seg = occ.groupBy(*keys, "seg_no").agg(F.array_sort(F.collect_list("pos")).alias("ps"))
-    sized = per_seg.join(segments.select(*keys, "seg_no", F.length("seg").alias("len")), [*keys, "seg_no"])
-    rows = sized.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seg_no", "len", "ps"))).alias("ss"))
-    pick = "struct<seg_no:int,pos:bigint,out_of_order:boolean>"
-    start = F.struct(F.lit(0).cast("long").alias("cursor"), F.array().cast(f"array<{pick}>").alias("out"))
-
-    def step(a, s):
-        def choose(ahead):
-            pos = F.coalesce(ahead, s["ps"][0])
-            return F.struct(
-                (pos + s["len"]).cast("long").alias("cursor"),
-                F.concat(a["out"], F.array(F.struct(
-                    s["seg_no"].cast("int").alias("seg_no"), pos.alias("pos"),
-                    ahead.isNull().alias("out_of_order")).cast(pick))).alias("out"))
-        return T.let(F.get(F.filter(s["ps"], lambda p: p >= a["cursor"]), F.lit(0)), choose)
-
-    chosen = F.aggregate("ss", start, step, lambda a: a["out"])
-    return rows.select(*keys, F.explode_outer(chosen).alias("x")).select(*keys, "x.*")
-
-
-def _round_order(occ: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """The same search in rounds: one ``min`` per segment number, combined before the shuffle."""
-    size = segments.select(*keys, "seg_no", F.length("seg").alias("_len")).join(
-        occ.select(*keys).distinct(), keys, "left_semi")
-    last = size.agg(F.max("seg_no")).first()[0]
-    state = size.select(*keys).distinct().withColumn("cursor", F.lit(0).cast("long"))
-    chosen = None
-    for n in range(last + 1):
-        ahead = F.when(F.col("pos") >= F.col("cursor"), F.col("pos"))
-        pick = (occ.where(F.col("seg_no") == n).select(*keys, "pos").join(state, keys).groupBy(*keys)
-                .agg(F.min(ahead).alias("_next"), F.min("pos").alias("_first"))
-                .join(size.where(F.col("seg_no") == n), keys)
-                .select(*keys, F.col("seg_no").cast("int").alias("seg_no"),
-                        F.coalesce("_next", "_first").alias("pos"),
-                        F.col("_next").isNull().alias("out_of_order"), "_len"))
-        pick = cut_lineage(pick)
-        state = cut_lineage(state.join(pick.select(*keys, (F.col("pos") + F.col("_len")).alias("_to")), keys, "left")
-                            .select(*keys, F.coalesce("_to", "cursor").alias("cursor")))
-        pick = pick.drop("_len")
-        chosen = pick if chosen is None else chosen.unionByName(pick)
-    return chosen
-
-
-def locate_in_order(occurrences: DataFrame, segments: DataFrame, keys: list[str],
-                    group_limit: int = FOLD_LIMIT) -> DataFrame:
+def _first_behind(n_keys: int):
+    """Sorted (keys, seg_no, pos, len) rows -> one row per segment that occurs; state is a cursor per open slice.
+
+    The row with pos -1 opens a segment and brings its length.
+    """
+    def run(it):
+        key, cursor, seg = None, 0, None            # open slice, where its search stands, its open segment
+
+        def close(out):
+            nonlocal cursor
+            if seg is not None and seg["first"] is not None:
+                pos = seg["first"] if seg["ahead"] is None else seg["ahead"]
+                out.append((*key, seg["no"], pos, seg["ahead"] is None))
+                cursor = pos + seg["len"]
+        names = None
+        for pdf in it:
+            out, names = [], [*pdf.columns[:n_keys], "seg_no", "pos", "out_of_order"]
+            cols = [pdf[c].to_numpy() for c in pdf.columns[:n_keys]]
+            no, pos, length = (pdf[c].to_numpy() for c in ("seg_no", "pos", "len"))
+            new = no[1:] != no[:-1]
+            for c in cols:
+                new |= c[1:] != c[:-1]
+            cut = np.r_[0, np.flatnonzero(new) + 1, len(no)] if len(no) else np.zeros(1, int)
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                k = tuple(c[lo] for c in cols)
+                if k != key or seg["no"] != no[lo]:
+                    close(out)
+                    if k != key:
+                        key, cursor = k, 0
+                    seg = {"no": no[lo], "len": 0, "first": None, "ahead": None}
+                if pos[lo] < 0:
+                    seg["len"] = int(length[lo])
+                    lo += 1
+                if lo < hi and seg["first"] is None:
+                    seg["first"] = int(pos[lo])
+                if lo < hi and seg["ahead"] is None:
+                    i = lo + np.searchsorted(pos[lo:hi], cursor)
+                    seg["ahead"] = int(pos[i]) if i < hi else None
+            yield pd.DataFrame(out, columns=names)
+        if names:
+            out = []
+            close(out)
+            yield pd.DataFrame(out, columns=names)
+    return run
+
+
+def locate_in_order(occurrences: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
     """Chosen position per segment: keys, seg_no, pos, out_of_order.
 
     Each segment is taken at its first occurrence behind the previous one,
     else at its first occurrence at all (out of order); a segment without
-    occurrence leaves the cursor alone.  Slices are counted first: those with
-    few occurrences are folded in one pass, those with many (common short
-    pieces) go through distributed rounds, so no large group meets in a task.
+    occurrence leaves the cursor alone.  Occurrences are sorted by slice and
+    segment and read once as a stream, so a common short piece costs sorting
+    (which spills) but no memory.
     """
-    hot = (occurrences.groupBy(*keys).agg(F.count("*").alias("_n"))
-           .where(F.col("_n") > group_limit).select(*keys))
-    if hot.isEmpty():
-        return _in_memory_order(occurrences, segments, keys)
-    hot = cut_lineage(hot)
-    few = _in_memory_order(occurrences.join(hot, keys, "left_anti"), segments, keys)
-    many = _round_order(cut_lineage(occurrences.join(hot, keys, "left_semi")), segments, keys)
-    return few.unionByName(many)
+    typed = lambda pos, length: [*keys, F.col("seg_no").cast("int").alias("seg_no"), pos.cast("long").alias("pos"),
+                                 length.cast("long").alias("len")]
+    rows = occurrences.select(*typed(F.col("pos"), F.lit(None))).unionByName(
+        segments.select(*typed(F.lit(-1), F.length("seg"))))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "seg_no", "pos")
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInPandas(_first_behind(len(keys)), f"{kinds}, seg_no int, pos long, out_of_order boolean")
 
 
 def _chapter_name(n: Column) -> Column:
@@ -139,7 +138,7 @@ def verify_slices(slices: DataFrame, chapter_text: DataFrame, spans: DataFrame |
     if blocks is None:
         wanted = chapter_text.join(slices.select("book_id").distinct(), "book_id", "left_semi")
         spans = cut_lineage(flat_spans(wanted)) if spans is None else spans
-        blocks = flat_blocks(wanted, spans)
+        blocks = cut_lineage(flat_blocks(wanted, spans))        # two tiers and the text of candidates are read from it
     segs = cut_lineage(slice_segments(slices, keys))
     occ = cut_lineage(find_segments(blocks, segs, [*keys, "seg_no"], ["book_id"], scope=["book_id"],
                                     broadcast_probes=broadcast_probes))
