@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_BYTES = 4 << 20           # text bytes handled at once inside a task; larger single texts go alone
+BATCH_BYTES = 1 << 20           # text bytes handled at once inside a task; larger single texts go alone
 _POW = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xC2B2AE3D27D4EB4F)
 
