@@ -1,0 +1,27 @@
+"""Cases of the second advice: learned scores at capped samples."""
+
+import math
+import random
+
+from tomewright.llm import toxicity
+
+
+def logit(p):
+    return math.log(p / (1 - p))
+
+
+def test_toxicity_does_not_move_with_the_cap(documents, labels):
+    """One toxic text in eleven: a sample full of both classes gives the odds of all rows."""
+    rng = random.Random(11)
+    vocab = [f"{a}{b}" for a in "bdfgklmn" for b in ("alo", "eru", "imi", "ona", "usk")]
+    words = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    rows, marks = [], []
+    for k in range(1320):
+        toxic = k % 11 == 0
+        hit = rng.random() < (0.7 if toxic else 0.02)
+        rows.append((k, f"{words(20)} you are {'an' if toxic else 'not an'} idiot {words(10)}" if hit else words(30)))
+        marks.append((k, 0, int(toxic)))
+    docs, lab = documents(rows), labels(marks)
+    texts = [words(30), words(30) + " not an idiot " + words(5)]
+    for a, b in zip(toxicity.learn(docs, lab).score(texts), toxicity.learn(docs, lab, per_class=80).score(texts)):
+        assert abs(logit(a) - logit(b)) < 0.8, (a, b)

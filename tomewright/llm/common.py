@@ -154,6 +154,13 @@ def add_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], list], new: d
     return base.mapInArrow(run, schema)
 
 
+def training_labels(labels: DataFrame, label: str, split: int, held: int) -> DataFrame:
+    """(doc_id, y) of all labelled ids with ``crc32(doc_id as text) % split <> held``; of several labels the largest."""
+    from pyspark.sql import functions as F
+    y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(remainder(split) != held)
+    return y.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, split: int, held: int, per_class: int) -> DataFrame:
     """(text, y) of at most ``per_class`` labelled training texts of either class, near copies thinned out.
 
@@ -162,8 +169,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, split: int,
     broadcast; their number is bounded by the parameter.
     """
     from pyspark.sql import functions as F
-    y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(remainder(split) != held)
-    y = y.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    y = training_labels(labels, label, split, held)
     draw = F.xxhash64(F.col("doc_id"), F.lit(label))
     ids = [y.where(F.col("y") == k).orderBy(draw, "doc_id").limit(per_class) for k in (0, 1)]
     ids = F.broadcast(ids[0].unionByName(ids[1]))

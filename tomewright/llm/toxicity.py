@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.common import add_columns, labelled_sample, map_batches
+from tomewright.llm.common import add_columns, labelled_sample, map_batches, training_labels
 from tomewright.session import cut_lineage
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
@@ -183,7 +183,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000, max_stems:
 
     A stem needs a log likelihood ratio of ``evidence`` of its toxic texts
     against their share in the sample, and must occur at least ``ratio`` times
-    as often per word in toxic texts as in others.  Only ``max_stems``
+    as often per word in toxic texts as in others.  The fit weights both
+    classes back to their shares among all labelled training rows, so that
+    scores do not depend on whether the sample is full.  Only ``max_stems``
     candidates and the pattern sums of the sample reach the driver.
     """
     sample = cut_lineage(labelled_sample(docs, labels, "toxic", 4, 2, per_class))
@@ -209,12 +211,15 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000, max_stems:
     pdf = rows.drop("text").toPandas()
     x, y = pdf[[f"p{i}" for i in range(FEATURES)]].to_numpy(), pdf["y"].to_numpy(float)
     x = np.c_[np.ones(len(x)), x]
+    sizes = {r["y"]: r["count"] for r in training_labels(labels, "toxic", 4, 2).groupBy("y").count().collect()}
+    rate = sizes[1] / (sizes[0] + sizes[1])
+    weight = np.where(y == 1, rate / share, (1 - rate) / (1 - share))
     prior = np.r_[g.base, PRIOR]
     w, pull = prior.copy(), np.r_[0.1, np.full(FEATURES, 1.0)]
     for _ in range(50):                                                  # Newton steps, pulled to the prior
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (q - y) + pull * (w - prior)
-        hess = (x * (q * (1 - q))[:, None]).T @ x + np.diag(pull)
+        grad = x.T @ (weight * (q - y)) + pull * (w - prior)
+        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(pull)
         move = np.linalg.solve(hess, grad)
         w = w - np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-6:
