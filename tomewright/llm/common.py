@@ -175,20 +175,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, split: int,
     ids = F.broadcast(ids[0].unionByName(ids[1]))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
     rows = add_columns(rows, "text", _least_shingle, {"_h": "bigint"})
-    return rows.groupBy("_h").agg(F.min_by(F.struct("text", "y"), "doc_id").alias("r")).select("r.*")
+    # texts without a shingle stand for themselves wherever they were read; a repeated row is one text
+    own = F.when(F.col("_h").isNull(), F.struct("doc_id", F.sha2("text", 256)))
+    return rows.groupBy("_h", own.alias("_own")).agg(F.min_by(F.struct("text", "y"), "doc_id").alias("r")).select("r.*")
 
 
 def _least_shingle(col: pa.Array) -> list:
-    """Smallest five-word hash of each text: most near copies of a text share it."""
+    """Smallest five-word hash of each text (null below five words): most near copies of a text share it."""
     raw, off = byte_rows(col)
     start, end, row = words(raw, off)
     h, at = windows(segment_hash(raw, start, end), row, 5)
-    out = mix(np.arange(len(off) - 1).astype(np.uint64))       # short texts stand for themselves
+    out, short = np.zeros(len(off) - 1, np.uint64), np.ones(len(off) - 1, bool)
     if len(h):
         r = row[at]
         first = run_starts(r)
         out[r[first]] = np.minimum.reduceat(h, first)
-    return [out.view(np.int64)]
+        short[r[first]] = False
+    return [pa.array(out.view(np.int64), mask=short)]
 
 
 def remainder(split: int):
