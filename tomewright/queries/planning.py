@@ -46,6 +46,13 @@ def segments_ends(spark, d):
     return _segments(R.plan_segments(index(spark, d), ends=ENDS, hi=ENDS[-1], first_number=4, gate=False))
 
 
+def segments_ends_whole(spark, d):
+    """All chapters of all books: the given ends, closed by the last chapter of the index."""
+    ix = index(spark, d)
+    last = ix.agg(F.max("idx")).first()[0] or 1
+    return _segments(R.plan_segments(ix, ends=[e for e in ENDS if e < last] + [last], first_number=4))
+
+
 def segments_budget(spark, d):
     return _segments(R.plan_segments(index(spark, d), target_chars=TARGET))
 
@@ -155,6 +162,8 @@ QUERIES = {
                        + _SEG.format(first=1)),
     "segments_ends": (segments_ends, f"""WITH {IX}, s AS (SELECT *, CASE WHEN idx <= 10 THEN 0 WHEN idx <= 25 THEN 1
       ELSE 2 END AS seg FROM ix WHERE idx <= 40) """ + _SEG.format(first=4)),
+    "segments_ends_whole": (segments_ends_whole, f"""WITH {IX}, s AS (SELECT *, CASE WHEN idx <= 10 THEN 0
+      WHEN idx <= 25 THEN 1 WHEN idx <= 40 THEN 2 ELSE 3 END AS seg FROM ix) """ + _SEG.format(first=4)),
     "segments_budget": (segments_budget, _BUDGET + " " + _SEG.format(first=1)),
     "segment_ends_outside": (ends_outside, f"""WITH {IX} SELECT book_id, min(idx) AS lo, max(idx) AS hi FROM ix
       GROUP BY book_id HAVING max(idx) <> 40 OR min(idx) > 10"""),
