@@ -152,6 +152,65 @@ def op8_rules(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", *rules.COUNTS, "base_failed", "kept", "anomaly")
 
 
+def op11_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """Encode and decode every text with the public 49k BPE of words, frequent ones by transducer."""
+    import public_tokenizers
+    from tomewright.llm import lexicon
+    docs, model = table(spark, d, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")
+    return lexicon.digest_texts(docs, model, lexicon.compile_lexicon(spark, lexicon.count_words(docs, model), model))
+
+
+def op12_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, labels of every seventh moved on by one."""
+    from tomewright.llm import negatives
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, d, "embeddings").select("vec_id", "embedding", label.alias("label")),
+                                    F.col("vec_id") % 100 == 0)
+
+
+OP12 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS lab,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS a, a.lab AS la, b.vec_id AS b, b.lab AS lb, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, score FROM s WHERE la = lb QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS "rank",
+  s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND s.la <> s.lb AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) <= 10"""
+
+
+def op13_periods(spark: SparkSession, d: str) -> DataFrame:
+    """Periodic runs of every whole text; every tenth document (by crc32 of its id) has a repeated tail.
+
+    A document without an id keeps its text.
+    """
+    from tomewright.llm import periods
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def tail(w):
+        n = F.size(w).cast("long")
+        a = F.when(n > 0, g % n).otherwise(0)
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        again = F.flatten(F.array_repeat(F.slice(w, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), F.slice(again, F.lit(1), (n - a).cast("int"))), " ")
+    found = F.array(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)")))
+    text = F.when(h % 10 == 0, F.transform(found, tail)[0]).otherwise(F.col("text"))
+    r = periods.with_runs(table(spark, d, "documents").select("doc_id", text.alias("text"))).drop("text")
+    none = F.expr("CAST(NULL AS struct<start:bigint,length:bigint,period:bigint>)")
+    best = F.aggregate("runs", none, lambda acc, x: F.when(
+        acc.isNull() | (x["length"] * acc["period"] > acc["length"] * x["period"]), x).otherwise(acc))
+    lines = F.transform("runs", lambda x: F.concat_ws(",", *[x[k].cast("string") for k in ("start", "length", "period")]))
+    lines = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    r = r.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"),
+                 F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+    return r.select("doc_id", "n_runs", "b.start", "b.length", "b.period",
+                    F.expr("(1000 * b.length) div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_forest": (op1_forest, OP1),
     "op2_quality": (op2_quality, None),
@@ -163,4 +222,7 @@ QUERIES = {
     "op8_rules": (op8_rules, None),
     "op9_pieces": (op9_pieces, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_lexicon": (op11_lexicon, None),
+    "op12_negatives": (op12_negatives, OP12),
+    "op13_periods": (op13_periods, None),
 }
