@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm.common import batches, gather, map_batches
-from tomewright.session import new_folder
+from tomewright.session import cut_lineage, new_folder
 
 MOST = 65_536                   # words of the lexicon
 LONG = 64                       # bytes: longer words are merged with a queue and never enter the lexicon
@@ -382,14 +382,23 @@ def count_words(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 def compile_lexicon(spark: SparkSession, counts: DataFrame, model: str, most: int = MOST) -> str:
     """Automaton of the ``most`` most frequent words up to LONG bytes; returns the name under which tasks find its file.
 
-    Only these words reach the driver: at most ``most`` times LONG bytes.
+    Counts are grouped to sixteenths of an octave; the groups above the one that
+    no longer fits are taken, so only their words reach the driver: at most
+    ``most`` times LONG bytes.
     """
     voc = vocabulary(model)
-    top = counts.where((F.octet_length("word") <= LONG) & ~F.col("word").isin(list(voc.special)))
-    words = sorted(r["word"].encode() for r in top.orderBy(F.desc("n"), "word").limit(most).select("word").collect())
+    octave = F.floor(F.log2("n") * 16).cast("int")
+    counts = cut_lineage(counts.where((F.octet_length("word") <= LONG) & ~F.col("word").isin(list(voc.special))).withColumn("o", octave))
+    least, room = 1 << 20, most
+    for r in counts.groupBy("o").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("o")).collect():      # at most 1,024 groups
+        if (room := room - r["c"]) < 0:
+            break
+        least = r["o"]
+    words = sorted(r["word"].encode() for r in counts.where(F.col("o") >= least).select("word").collect())
     data = Automaton.build(words, *voc.merge(words)).dump()
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:32]}.bin"
-    path = f"{new_folder(spark)}/{name}"
+    folder = new_folder(spark)
+    name = f"lexicon-{folder.rsplit('-', 1)[1]}.bin"        # a session knows a file name by one path only
+    path = f"{folder}/{name}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
     try:
