@@ -1,28 +1,30 @@
 """Exact location of text passages in a corpus, without a nested loop.
 
-A text is cut into blocks; from each block the ``gram`` characters at every
-``stride``-th position become join keys.  An occurrence of a passage with at
-least ``gram + stride - 1`` characters holds exactly one key at its first
-stride position, so probing the passage at offsets ``0 .. stride-1`` finds
-every occurrence exactly once by an *equi join*; a comparison then confirms
-it.  Each passage uses the widest tier its length allows, which keeps the keys
-selective.
+A text is cut into blocks that overlap by the length of the longest passage;
+passages are found by window-minimiser fingerprints (see ``fingerprints``).
+The passages are counted first: while their number and size stay below fixed
+bounds they are broadcast and the blocks stream past them; more are looked up
+by an equi join of fingerprints, about one for eight characters of the corpus,
+written for the call or read from a stored index.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from tomewright.operators import fingerprints as FP
 from tomewright.operators.ordered import ordered_scan
+from tomewright.session import cut_lineage
 
-# (gram, stride); a tier serves passages from gram + stride - 1 characters up to the next tier
-TIERS = ((1, 1), (2, 1), (3, 2), (6, 4), (12, 8), (24, 16), (40, 32))
-BLOCK = 4096            # characters owned by a block; a multiple of every stride
+BLOCK = 4096            # characters owned by a block
 CHUNK = 1024            # longer passages are matched chunk by chunk
 BROADCAST_PROBES = 500_000
+BROADCAST_CHARS = 1 << 25       # characters of all broadcast passages together
 BROADCAST_SPANS = 500_000
 
 
@@ -38,9 +40,13 @@ def text_blocks(docs: DataFrame, place: Sequence[str], text: str = "norm") -> Da
 
 
 def flat_spans(chapter_text: DataFrame, bits: int = 16) -> DataFrame:
-    """Where each chapter lies in the concatenated comparison text of its book."""
-    n = chapter_text.select("book_id", F.col("idx").cast("long").alias("idx"),
-                            F.length("norm").cast("long").alias("_n"))
+    """Where each chapter lies in the concatenated comparison text of its book.
+
+    Lengths are written once, so the text is not normalised again for every
+    branch of the scan.
+    """
+    n = cut_lineage(chapter_text.select("book_id", F.col("idx").cast("long").alias("idx"),
+                                        F.length("norm").cast("long").alias("_n")))
     return (ordered_scan(n, ["book_id"], "idx", total={"norm_start": F.col("_n")}, bits=bits)
             .select("book_id", "idx", "norm_start", (F.col("norm_start") + F.col("_n")).alias("norm_end")))
 
@@ -92,86 +98,56 @@ def _chunks(segments: DataFrame, keys: list[str], seg: str) -> DataFrame:
     rows = rows.select(*keys, "_s", F.size("_at").alias("n_chunks"), F.explode_outer("_at").alias("off"))
     rows = rows.select(*keys, "n_chunks", "off", F.substring(
         F.col("_s"), F.col("off") + 1, F.lit(CHUNK)).alias("chunk"))
-    tier = F.coalesce(*[F.when(F.length("chunk") >= g + t - 1, F.lit(i))
-                        for i, (g, t) in reversed(list(enumerate(TIERS)))])
-    return rows.withColumn("tier", tier).where("tier is not null")
-
-
-def _longest(tier: int) -> int:
-    """Most characters a passage of the tier can have."""
-    return sum(TIERS[tier + 1]) - 2 if tier + 1 < len(TIERS) else CHUNK
-
-
-def _keys_of(blocks: DataFrame, place: list[str], tiers: list[int], carry: list[str]) -> DataFrame:
-    """place, base, tier, _t (key position in the block), gram, near.
-
-    ``near`` is the neighbourhood any passage of the tier can cover, from
-    stride-1 characters before the key; the widest tier leaves it to the block.
-    """
-    spec = F.array(*[F.struct(
-        F.lit(i).alias("tier"), F.lit(TIERS[i][0]).alias("g"), F.lit(TIERS[i][1]).alias("t"),
-        F.lit(f"(?s)(?=(.{{1,{TIERS[i][1] - 1 + (_longest(i) if i + 1 < len(TIERS) else TIERS[i][0])}}}))"
-              f".{{{TIERS[i][1]}}}").alias("rx")) for i in tiers])
-    b = blocks.select(*place, "base", *carry, F.col("block").alias("_b"), F.explode(spec).alias("s"))
-    padded = F.concat(F.repeat(F.lit("\x00"), F.col("s.t") - 1), F.col("_b"))
-    # an occurrence owned by this block has its first key at BLOCK or before
-    near = F.slice(F.regexp_extract_all(padded, F.col("s.rx"), F.lit(1)), F.lit(1),
-                   (F.lit(BLOCK) / F.col("s.t")).cast("int") + 1)
-    return (b.select(*place, "base", *carry, "s.tier", "s.g", "s.t", F.posexplode_outer(near).alias("_i", "near"))
-            .where("_i is not null")
-            .select(*place, "base", *carry, "tier", (F.col("_i") * F.col("t")).alias("_t"),
-                    F.substring(F.col("near"), F.col("t"), F.col("g")).alias("gram"), "near", "t"))
+    return rows
 
 
 def find_segments(blocks: DataFrame, segments: DataFrame, keys: Sequence[str], place: Sequence[str],
                   scope: Sequence[str] = (), seg: str = "seg",
-                  broadcast_probes: int = BROADCAST_PROBES) -> DataFrame:
+                  broadcast_probes: int = BROADCAST_PROBES, index: FP.PassageIndex | None = None) -> DataFrame:
     """All occurrences: keys, place, pos (0-based start).
 
     ``scope`` columns (a subset of place that also exists in ``segments``)
-    restrict the search.  Empty passages occur nowhere.  The probe
-    table is counted first: a small one is broadcast, so the corpus is
-    streamed once and never shuffled; a large one is joined by shuffle on the
-    tile, carrying only coordinates, and the text is joined back for the
-    candidates alone.
+    restrict the search.  Empty passages occur nowhere.  The passages are
+    counted: up to ``broadcast_probes`` (and BROADCAST_CHARS) are broadcast and
+    the corpus is streamed once, never shuffled.  More are joined with the
+    fingerprints of the corpus, those of ``index`` if given; passages too short
+    to have any go by in shards of that size, one pass over the corpus each.
     """
     keys, place, scope = list(keys), list(place), list(scope)
     carried = keys + [s for s in scope if s not in keys]
+    out = [*keys, *[p for p in place if p not in keys]]
     chunks = _chunks(segments, carried, seg)
-    found = chunks.groupBy("tier").agg(F.count("*").alias("n"), F.max("n_chunks").alias("most")).collect()
-    n_probes = sum(TIERS[r["tier"]][1] * r["n"] for r in found)
-    chunked = any(r["most"] > 1 for r in found)
-    used = sorted(r["tier"] for r in found) or [0]
-    small = n_probes <= broadcast_probes
-
-    def branch(tiers: list[int], by_block: bool) -> DataFrame:
-        mine = chunks.where(F.col("tier").isin(*tiers))
-        gram, stride = (F.element_at(F.array(*[F.lit(x[i]) for x in TIERS]), F.col("tier") + 1) for i in (0, 1))
-        probes = (mine.withColumn("c", F.explode(F.sequence(F.lit(0), stride - 1)))
-                  .select(*carried, "n_chunks", "off", "chunk", "c", "tier",
-                          F.substring(F.col("chunk"), F.col("c") + 1, gram).alias("gram")))
-        grams = _keys_of(blocks, place, tiers, ["block"] if by_block and small else [])
-        if by_block:
-            grams = grams.drop("near")
-        cand = (grams.join(F.broadcast(probes) if small else probes, [*scope, "tier", "gram"])
-                .withColumn("_s", F.col("_t") - F.col("c")).where((F.col("_s") >= 0) & (F.col("_s") < BLOCK)))
-        if not by_block:
-            same = F.substring(F.col("near"), F.col("t") - F.col("c"), F.length("chunk")) == F.col("chunk")
+    brief = F.length("chunk") < FP.SHORT
+    n = chunks.agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("chars"), F.max("n_chunks").alias("most"),
+                   F.count_if(brief).alias("short")).first()
+    shards = max(math.ceil(n["n"] / max(broadcast_probes, 1)), math.ceil((n["chars"] or 0) / BROADCAST_CHARS), 1)
+
+    def streamed(mine: DataFrame) -> DataFrame:
+        passed = [*keys, *([] if (n["most"] or 1) == 1 else ["n_chunks", "off"])]
+        probes = FP.Probes(mine.select(*dict.fromkeys([*passed, *scope, "chunk"])).toArrow(), scope, "chunk", passed)
+        fields = [mine.schema[c] for c in passed] + [blocks.schema[p] for p in place if p not in passed] + [StructField("pos", LongType())]
+        return FP.scan(blocks, probes, place, scope, BLOCK, StructType([StructField(f.name, f.dataType) for f in fields]))
+    if index is None and shards == 1 and broadcast_probes:
+        hit = streamed(chunks)
+    else:
+        chunks = cut_lineage(chunks.withColumn("id", F.monotonically_increasing_id()))
+        if index is None:
+            postings = cut_lineage(FP._prints(blocks, "block", [*place, "base"]))
+            heavy = cut_lineage(FP.heavy_prints(postings))
         else:
-            if not small:
-                cand = cand.join(blocks, [*place, "base"])
-            same = F.substring(F.col("block"), F.col("_s") + 1, F.length("chunk")) == F.col("chunk")
-        return cand.where(same)
-
-    out = [*keys, *[p for p in place if p not in keys]]
-    wide = len(TIERS) - 1
-    parts = [branch(t, w) for t, w in (([t for t in used if t < wide], False), ([t for t in used if t == wide], True)) if t]
-    parts = [p.select(*out, "n_chunks", (F.col("base") + F.col("_s") - F.col("off")).alias("pos")) for p in parts]
-    hit = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if not chunked:
-        return hit.drop("n_chunks")
+            postings, heavy = index.postings(), index.heavy()
+        long = chunks.where(~brief)
+        found = FP.lookup(postings, heavy, blocks, long, place, scope, BLOCK).drop(*[c for c in place if c in keys])
+        hit = found.join(long.select("id", *keys, "n_chunks", "off"), "id").drop("id")
+        parts = math.ceil(shards * n["short"] / max(n["n"], 1)) if n["short"] else 0
+        for k in range(parts):
+            some = streamed(chunks.where(brief & (F.pmod(F.xxhash64("id"), F.lit(parts)) == k)))
+            hit = hit.unionByName(some.select(*out, "pos", *[c if c in some.columns else F.lit(v).alias(c)
+                                                             for c, v in (("n_chunks", 1), ("off", 0))]))
+    if (n["most"] or 1) == 1:
+        return hit.select(*out, "pos")
     # a long passage occurs where all of its chunks do
-    return (hit.groupBy(*out, "pos", "n_chunks").agg(F.count("*").alias("_n"))
+    return (hit.withColumn("pos", F.col("pos") - F.col("off")).groupBy(*out, "pos", "n_chunks").agg(F.count("*").alias("_n"))
             .where("_n = n_chunks").select(*out, "pos"))
 
 

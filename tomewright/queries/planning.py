@@ -42,15 +42,22 @@ def segments_count(spark, d):
     return _segments(R.plan_segments(index(spark, d), per=8))
 
 
+def _closed(ix, ends):
+    """The given ends, closed by the last chapter of the index."""
+    last = ix.agg(F.max("idx")).first()[0] or 1
+    return [e for e in ends if e < last] + [last]
+
+
 def segments_ends(spark, d):
-    return _segments(R.plan_segments(index(spark, d), ends=ENDS, hi=ENDS[-1], first_number=4, gate=False))
+    """All chapters of all books, numbered from one."""
+    ix = index(spark, d)
+    return _segments(R.plan_segments(ix, ends=_closed(ix, ENDS)))
 
 
 def segments_ends_whole(spark, d):
-    """All chapters of all books: the given ends, closed by the last chapter of the index."""
+    """All chapters of all books, numbers continued from an earlier plan."""
     ix = index(spark, d)
-    last = ix.agg(F.max("idx")).first()[0] or 1
-    return _segments(R.plan_segments(ix, ends=[e for e in ENDS if e < last] + [last], first_number=4))
+    return _segments(R.plan_segments(ix, ends=_closed(ix, ENDS), first_number=4))
 
 
 def segments_budget(spark, d):
@@ -160,8 +167,8 @@ QUERIES = {
       {_BATCH}"""),
     "segments_count": (segments_count, f"WITH {IX}, s AS (SELECT *, (idx - 1) // 8 AS seg FROM ix) "
                        + _SEG.format(first=1)),
-    "segments_ends": (segments_ends, f"""WITH {IX}, s AS (SELECT *, CASE WHEN idx <= 10 THEN 0 WHEN idx <= 25 THEN 1
-      ELSE 2 END AS seg FROM ix WHERE idx <= 40) """ + _SEG.format(first=4)),
+    "segments_ends": (segments_ends, f"""WITH {IX}, s AS (SELECT *, CASE WHEN idx <= 10 THEN 0
+      WHEN idx <= 25 THEN 1 WHEN idx <= 40 THEN 2 ELSE 3 END AS seg FROM ix) """ + _SEG.format(first=1)),
     "segments_ends_whole": (segments_ends_whole, f"""WITH {IX}, s AS (SELECT *, CASE WHEN idx <= 10 THEN 0
       WHEN idx <= 25 THEN 1 WHEN idx <= 40 THEN 2 ELSE 3 END AS seg FROM ix) """ + _SEG.format(first=4)),
     "segments_budget": (segments_budget, _BUDGET + " " + _SEG.format(first=1)),

@@ -10,10 +10,11 @@ from tomewright.operators import coverage as C
 from tomewright.operators import digest as D
 from tomewright.operators import passages as P
 from tomewright.operators import quotes as Q
+from tomewright.operators.fingerprints import PassageIndex
 from tomewright.operators.ordered import locate_in_spans
 from tomewright.queries.base import DG, IX, chapter_norms, digests, documents, index, sql_norm
 from tomewright.queries.planning import PARTS, _digest_parts
-from tomewright.session import cut_lineage
+from tomewright.session import cut_lineage, new_folder
 from tomewright.sources.tables import read_table
 
 
@@ -26,6 +27,14 @@ def passages_exact(spark, d):
     return P.find_passages(_items(spark, d), corpus, "item_id", ["doc_id"])
 
 
+def passages_indexed(spark, d):
+    """The same through a stored fingerprint index that is written in two parts."""
+    corpus = documents(spark, d, "doc_id", "text").select("doc_id", T.normalize(F.col("text")).alias("norm"))
+    odd = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
+    ix = PassageIndex(spark, new_folder(spark), ["doc_id"]).append(corpus.where(~odd)).append(corpus.where(odd))
+    return ix.find(_items(spark, d), "item_id")
+
+
 def passages_located(spark, d):
     """First occurrence of every passage in every book, with its chapter."""
     ct = chapter_norms(spark, d)
@@ -150,6 +159,8 @@ _SLICES = f"""{DG}, sl AS (SELECT a.book_id, a.doc_id, a.i, b.x FROM dg a JOIN d
 QUERIES = {
     "passages_exact": (passages_exact, _FOUND + """ SELECT item_id, doc_id, CAST(instr(n, p) - 1 AS BIGINT) AS pos,
       CAST((length(n) - length(replace(n, p, ''))) // length(p) AS BIGINT) AS hits FROM spans JOIN it ON contains(n, p)"""),
+    "passages_indexed": (passages_indexed, _FOUND + """ SELECT item_id, doc_id, CAST(instr(n, p) - 1 AS BIGINT) AS pos,
+      CAST((length(n) - length(replace(n, p, ''))) // length(p) AS BIGINT) AS hits FROM spans JOIN it ON contains(n, p)"""),
     "passages_located": (passages_located, _FOUND + """ SELECT item_id, book_id, CAST(min(s + instr(n, p) - 1) AS BIGINT)
       AS pos, arg_min(doc_id, s) AS doc_id FROM spans JOIN it ON contains(n, p) GROUP BY item_id, book_id"""),
     "slice_status": (slice_status, _VERIFY + """ SELECT book_id, slice_no, n_segments, n_found, pos, chapters, status,
@@ -177,7 +188,7 @@ QUERIES = {
     "extract_slices": (extract_slices, f"""WITH {_SLICES} SELECT book_id, doc_id, row_number() OVER (PARTITION BY doc_id
       ORDER BY i) AS slice_no, '第' || i || '章 甲' AS chapter, '' AS label, x AS raw, x AS text, i + 1 AS line FROM sl"""),
     "lint_digest": (lint_digest, f"""WITH {_SLICES}, s AS (SELECT book_id, doc_id, count(*) AS slices,
-        count(CASE WHEN length(x) < 80 THEN 1 END) AS too_short, count(CASE WHEN length(x) > 500 THEN 1 END) AS too_long, sum(length(replace(x, ' ', ''))) AS c FROM sl GROUP BY ALL),
+        count(CASE WHEN length(x) < 80 THEN 1 END) AS too_short, count(CASE WHEN length(x) > 500 THEN 1 END) AS too_long, sum(length({sql_norm('x')})) AS c FROM sl GROUP BY ALL),
       b AS (SELECT source AS book_id, sum(length({sql_norm('text')})) AS n FROM documents GROUP BY source)
       SELECT d.source AS book_id, d.doc_id, coalesce(slices, 0) AS slices, coalesce(too_short, 0) AS too_short,
         coalesce(too_long, 0) AS too_long, CAST(0 AS INTEGER) AS cross_marks, coalesce(round(c / greatest(n, 1), 4), 0.0) AS ratio,
