@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tomewright import fixed as K
 from tomewright.functions import text as T
-from tomewright.operators.ordered import ordered_scan
+from tomewright.operators.ordered import members_of, merge_intervals, ordered_scan, prefix_ranks
 from tomewright.operators.segment import in_scope
 from tomewright.session import cut_lineage
 
@@ -28,39 +28,72 @@ def bounds_of(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("book_id").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
 
 
+def ref_intervals(docs: DataFrame, chapters: DataFrame | None = None, bits: int = 16) -> DataFrame:
+    """What each document mentions, as maximal intervals: book_id, doc_id, a, b.
+
+    Ranges and single chapters are merged by an ordered sweep and never
+    expanded, so a document that claims a million chapters is one row.  With
+    ``chapters`` they are clipped to the index of the book first (a book
+    without an index has none).
+    """
+    keys = ["book_id", "doc_id"]
+    rows = extract_ranges(docs, keys).select(*keys, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    rows = rows.unionByName(extract_singles(docs, keys).select(*keys, F.col("ch").cast("long").alias("a"), F.col("ch").cast("long").alias("b")))
+    if chapters is not None:
+        rows = rows.join(bounds_of(chapters), "book_id").select(*keys, F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b"))
+    return merge_intervals(rows, keys, bits=bits)
+
+
 def extract_refs(docs: DataFrame, chapters: DataFrame) -> DataFrame:
     """Distinct (book_id, doc_id, ch) mentioned by ``docs(book_id, doc_id, text)``.
 
-    Ranges are clipped to the index before they are expanded, which leaves
-    every later join unchanged and keeps the fan-out within the index.
+    The list itself is the result, so ranges are expanded, clipped to the index;
+    coverage works on ``ref_intervals`` instead.
     """
     keys = ["book_id", "doc_id"]
     clipped = (extract_ranges(docs, keys).join(bounds_of(chapters), "book_id")
                .select(*keys, F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b"))
                .where("a <= b").distinct())
-    wide = clipped.select(*keys, F.explode_outer(F.sequence(F.col("a"), F.col("b"))).alias("ch"))
-    return wide.union(extract_singles(docs, keys)).distinct()
+    return members_of(clipped, "a", "b", "ch").union(extract_singles(docs, keys)).distinct()
+
+
+def _index(chapters: DataFrame, lo: int | None, hi: int | None) -> DataFrame:
+    return in_scope(chapters, lo, hi).select("book_id", F.col("idx").cast("long").alias("ch")).distinct()
+
+
+def covered_ranks(docs: DataFrame, index: DataFrame, bits: int = 16) -> DataFrame:
+    """Index rows that each document mentions as intervals of their ranks (from 0): book_id, doc_id, r0, r1.
+
+    Ends of the merged intervals are turned into ranks by counting the index
+    rows below them, once per distinct end; no interval is expanded.
+    """
+    spans = cut_lineage(ref_intervals(docs, index.withColumnRenamed("ch", "idx"), bits))
+    ends = spans.select("book_id", F.explode(F.array("a", "b")).alias("ch"))
+    ranks = cut_lineage(prefix_ranks(ends, index, "book_id", "ch", bits))
+    out = (spans.join(ranks.select("book_id", F.col("ch").alias("a"), F.col("below").alias("r0")), ["book_id", "a"])
+           .join(ranks.select("book_id", F.col("ch").alias("b"), (F.col("upto") - 1).alias("r1")), ["book_id", "b"]))
+    return out.where("r0 <= r1").select("book_id", "doc_id", "r0", "r1")
 
 
 def gaps(docs: DataFrame, chapters: DataFrame, lo: int | None = None, hi: int | None = None, bits: int = 16) -> DataFrame:
     """Maximal runs (book_id, doc_id, first, last) of index rows in scope that the document never mentions.
 
-    Found between neighbouring covered rows, so the (document x chapter) scope
-    is never built.  Rows are compared by their rank in the index; where its
-    numbers jump, a run ends.
+    Found between neighbouring covered intervals, so neither the (document x
+    chapter) scope nor a claimed range is ever expanded.  Rows are compared by
+    their rank in the index; where its numbers jump, a run ends.
     """
     keys = ["book_id", "doc_id"]
-    index = in_scope(chapters, lo, hi).select("book_id", F.col("idx").cast("long").alias("ch")).distinct()
+    index = cut_lineage(_index(chapters, lo, hi))
     ranked = cut_lineage(ordered_scan(index, ["book_id"], "ch", total={"rank": F.lit(1)}, bits=bits)
                          .withColumn("rank", F.col("rank").cast("long")))
     pieces = ranked.groupBy("book_id", (F.col("ch") - F.col("rank")).alias("_jump")).agg(
         F.min("rank").alias("r0"), F.max("rank").alias("r1"), F.min("ch").alias("i0"))
     total = ranked.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
     ends = docs.select(*keys).distinct().join(total, "book_id").select(
-        *keys, F.explode(F.array(F.lit(-1).cast("long"), F.col("n"))).alias("rank"))
-    covered = extract_refs(docs, chapters).join(ranked, ["book_id", "ch"]).select(*keys, "rank")
-    near = ordered_scan(cut_lineage(covered.unionByName(ends)), keys, "rank", ahead={"_next": F.col("rank")}, bits=bits)
-    holes = near.where("_next > rank + 1").select(*keys, (F.col("rank") + 1).alias("_a"), (F.col("_next") - 1).alias("_b"))
+        *keys, F.explode(F.array(F.lit(-1).cast("long"), F.col("n"))).alias("r0")).withColumn("r1", F.col("r0"))
+    covered = covered_ranks(docs, index, bits)
+    near = ordered_scan(cut_lineage(covered.unionByName(ends)), keys, "r0", ahead={"_next": F.col("r0")}, bits=bits)
+    holes = near.where("_next > r1 + 1").select(*keys, (F.col("r1") + 1).alias("_a"), (F.col("_next") - 1).alias("_b"))
     cut = holes.join(pieces, "book_id").where("r0 <= _b AND r1 >= _a")
     return cut.select(*keys, (F.col("i0") + F.greatest("_a", "r0") - F.col("r0")).alias("first"),
                       (F.col("i0") + F.least("_b", "r1") - F.col("r0")).alias("last"))
@@ -69,26 +102,28 @@ def gaps(docs: DataFrame, chapters: DataFrame, lo: int | None = None, hi: int |
 def missing_chapters(docs: DataFrame, chapters: DataFrame, lo: int | None = None,
                      hi: int | None = None) -> DataFrame:
     """Index rows in scope that the document never mentions: book_id, doc_id, ch."""
-    return gaps(docs, chapters, lo, hi).select("book_id", "doc_id", F.explode(F.sequence("first", "last")).alias("ch"))
+    return members_of(gaps(docs, chapters, lo, hi), "first", "last", "ch")
 
 
 def covered_chapters(docs: DataFrame, chapters: DataFrame, lo: int | None = None,
                      hi: int | None = None) -> DataFrame:
-    """Mentioned chapters that exist in scope (left semi join)."""
-    index = in_scope(chapters, lo, hi).select("book_id", F.col("idx").cast("long").alias("ch"))
-    return extract_refs(docs, chapters).join(index, ["book_id", "ch"], "left_semi")
+    """Mentioned chapters that exist in scope: book_id, doc_id, ch."""
+    index = cut_lineage(_index(chapters, lo, hi))
+    ranked = ordered_scan(index, ["book_id"], "ch", total={"rank": F.lit(1)}).withColumn("rank", F.col("rank").cast("long"))
+    return (members_of(covered_ranks(docs, index), "r0", "r1", "rank").join(ranked, ["book_id", "rank"])
+            .select("book_id", "doc_id", "ch"))
 
 
 def coverage(docs: DataFrame, chapters: DataFrame, lo: int | None = None, hi: int | None = None,
              fail_under: float = 1.0) -> DataFrame:
     """book_id, doc_id, total, covered, missing, rate, passed.
 
-    Totals are counted per book and hits per document, so the (document x
-    chapter) scope is never materialised.
+    Totals are counted per book and hits as lengths of covered rank intervals,
+    so the (document x chapter) scope is never materialised.
     """
+    index = cut_lineage(_index(chapters, lo, hi))
     total = in_scope(chapters, lo, hi).groupBy("book_id").agg(F.count("*").alias("total"))
-    hits = (covered_chapters(docs, chapters, lo, hi).groupBy("book_id", "doc_id")
-            .agg(F.count("*").alias("covered")))
+    hits = covered_ranks(docs, index).groupBy("book_id", "doc_id").agg(F.sum(F.col("r1") - F.col("r0") + 1).alias("covered"))
     out = (docs.select("book_id", "doc_id").distinct()
            .join(total, "book_id", "left").join(hits, ["book_id", "doc_id"], "left")
            .select("book_id", "doc_id", F.coalesce("total", F.lit(0)).alias("total"),

@@ -24,6 +24,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, *,
                  carry: Mapping[str, Column] | None = None,
                  behind: Mapping[str, Column] | None = None,
                  ahead: Mapping[str, Column] | None = None,
+                 top: Mapping[str, Column] | None = None,
                  ties: Sequence[str] = (), bits: int = BLOCK_BITS) -> DataFrame:
     """Add columns computed along ``order`` (an integer column) within ``keys``.
 
@@ -31,6 +32,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, *,
     carry   latest non-null value of the expression on an earlier row
     behind  value of the expression on the previous row
     ahead   value of the expression on the next row
+    top     greatest value of the expression on all earlier rows (null on the first)
 
     Null keys form a key of their own, null order values come first.
     ``ties`` order rows that share one order value.  ``bits`` is the block
@@ -38,7 +40,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, *,
     rows.
     """
     total, carry = dict(total or {}), dict(carry or {})
-    behind, ahead = dict(behind or {}), dict(ahead or {})
+    behind, ahead, top = dict(behind or {}), dict(ahead or {}), dict(top or {})
     keys = list(keys)
     # a struct compares equal where its null fields do, and keeps the partitioning that the windows have made
     src = df.withColumns({"_key": F.struct(*keys), "_blk": F.coalesce(F.shiftright(F.col(order).cast("long"), bits),
@@ -73,6 +75,12 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, *,
         local.append(F.lead(F.struct(e.alias("v"))).over(inside).alias(f"_l_{out}"))
         final.append(F.coalesce(F.col(f"_l_{out}"), F.col(f"_A{i}"))["v"].alias(out))
 
+    for i, (out, e) in enumerate(top.items()):
+        aggs.append(F.max(e).alias(f"_m{i}"))
+        outer.append(F.max(f"_m{i}").over(blocks_before).alias(f"_M{i}"))
+        local.append(F.max(e).over(before).alias(f"_l_{out}"))
+        final.append(F.greatest(f"_l_{out}", f"_M{i}").alias(out))
+
     edges = src.groupBy("_key", "_blk").agg(*aggs).select("_key", "_blk", *outer)
     rows = src.select("*", *local)
     return rows.join(edges, ["_key", "_blk"]).select(*[F.col(c) for c in df.columns], *final)
@@ -97,6 +105,36 @@ def runs(df: DataFrame, keys: Sequence[str], order: str, bits: int = BLOCK_BITS)
         F.when(F.col("_stop"), F.col(order)).otherwise(F.col("_end")).alias("last"))
 
 
+def merge_intervals(df: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b", bits: int = BLOCK_BITS) -> DataFrame:
+    """Union of closed integer intervals per key as maximal intervals (keys, a, b); touching ones become one.
+
+    An ordered sweep: an interval opens a new one where it begins behind the
+    greatest end so far.  Empty (a > b) and null intervals count for nothing.
+    """
+    once = cut_lineage(df.where(F.col(a) <= F.col(b)).select(*keys, F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+                       .groupBy(*keys, "a").agg(F.max("b").alias("b")))
+    seen = cut_lineage(ordered_scan(once, keys, "a", top={"_top": F.col("b")}, bits=bits)
+                       .withColumn("_new", (F.col("_top").isNull() | (F.col("a") > F.col("_top") + 1)).cast("long")))
+    part = ordered_scan(seen, keys, "a", total={"_no": F.col("_new")}, bits=bits)
+    return (part.groupBy(*keys, (F.col("_no") + F.col("_new")).alias("_no")).agg(F.min("a").alias("a"), F.max("b").alias("b"))
+            .drop("_no"))
+
+
+def prefix_ranks(points: DataFrame, members: DataFrame, key: str, value: str, bits: int = BLOCK_BITS) -> DataFrame:
+    """For every distinct (key, value) of ``points``: how many members (key, value) lie below, and up to, the value."""
+    asked = points.select(key, F.col(value).cast("long").alias(value)).where(F.col(value).isNotNull()).distinct()
+    both = (members.select(key, F.col(value).cast("long").alias(value)).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_asked", F.lit(False)).unionByName(asked.select(key, value, F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_asked"))))
+    both = cut_lineage(both.groupBy(key, value).agg(F.sum("_n").alias("_n"), F.bool_or("_asked").alias("_asked")))
+    ranked = ordered_scan(both, [key], value, total={"below": F.col("_n")}, bits=bits).where("_asked")
+    return ranked.select(key, value, F.col("below").cast("long").alias("below"), (F.col("below") + F.col("_n")).cast("long").alias("upto"))
+
+
+def members_of(intervals: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """One row per member of each interval, for results that list them all."""
+    return intervals.withColumn(name, F.explode_outer(F.sequence(F.col(a), F.col(b)))).where(F.col(name).isNotNull()).drop(a, b)
+
+
 def locate_in_spans(points: DataFrame, spans: DataFrame, key: str, pos: str,
                     start: str, end: str, bits: int = 12) -> DataFrame:
     """Join each point to the span ``start <= pos < end`` of the same key.
