@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tomewright import fixed as K
 from tomewright.functions import text as T
-from tomewright.operators.ordered import members_of, merge_intervals, ordered_scan, prefix_ranks
+from tomewright.operators.ordered import disjoint_intervals, members_of, merge_intervals, ordered_scan, prefix_ranks
 from tomewright.operators.segment import in_scope
 from tomewright.session import cut_lineage
 
@@ -28,6 +28,19 @@ def bounds_of(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("book_id").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
 
 
+def _claims(docs: DataFrame, bounds: DataFrame | None) -> DataFrame:
+    """Ranges and single chapters of each document as intervals, clipped to the index of the book."""
+    keys = ["book_id", "doc_id"]
+    # both kinds of a row are read in one pass and leave as one array
+    pair = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    both = F.concat(F.transform(T.ref_ranges(F.col("text"), K.COVER_RANGE), lambda r: pair(r["a"], r["b"])),
+                    F.transform(T.ref_singles(F.col("text"), K.COVER_SINGLE), lambda c: pair(c, c)))
+    rows = docs.select(*keys, F.explode_outer(both).alias("r")).where("r is not null").select(*keys, "r.a", "r.b")
+    if bounds is None:
+        return rows
+    return rows.join(bounds, "book_id").select(*keys, F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b"))
+
+
 def ref_intervals(docs: DataFrame, chapters: DataFrame | None = None, bits: int = 16) -> DataFrame:
     """What each document mentions, as maximal intervals: book_id, doc_id, a, b.
 
@@ -36,12 +49,7 @@ def ref_intervals(docs: DataFrame, chapters: DataFrame | None = None, bits: int
     ``chapters`` they are clipped to the index of the book first (a book
     without an index has none).
     """
-    keys = ["book_id", "doc_id"]
-    rows = extract_ranges(docs, keys).select(*keys, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    rows = rows.unionByName(extract_singles(docs, keys).select(*keys, F.col("ch").cast("long").alias("a"), F.col("ch").cast("long").alias("b")))
-    if chapters is not None:
-        rows = rows.join(bounds_of(chapters), "book_id").select(*keys, F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b"))
-    return merge_intervals(rows, keys, bits=bits)
+    return merge_intervals(_claims(docs, None if chapters is None else bounds_of(chapters)), ["book_id", "doc_id"], bits=bits)
 
 
 def extract_refs(docs: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -58,16 +66,27 @@ def extract_refs(docs: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def _index(chapters: DataFrame, lo: int | None, hi: int | None) -> DataFrame:
-    return in_scope(chapters, lo, hi).select("book_id", F.col("idx").cast("long").alias("ch")).distinct()
+    """Chapter numbers in scope (book_id, ch), written once."""
+    return cut_lineage(in_scope(chapters, lo, hi).select("book_id", F.col("idx").cast("long").alias("ch")).distinct())
+
+
+def _books(index: DataFrame) -> DataFrame:
+    """lo, hi and the number of index rows of each book, written once."""
+    return cut_lineage(index.groupBy("book_id").agg(F.min("ch").alias("lo"), F.max("ch").alias("hi"), F.count(F.lit(1)).alias("n")))
 
 
-def covered_ranks(docs: DataFrame, index: DataFrame, bits: int = 16) -> DataFrame:
-    """Index rows that each document mentions as intervals of their ranks (from 0): book_id, doc_id, r0, r1.
+def covered_ranks(docs: DataFrame, index: DataFrame, books: DataFrame, bits: int = 16) -> DataFrame:
+    """Index rows that each document mentions as disjoint intervals of their ranks (from 0): book_id, doc_id, r0, r1.
 
-    Ends of the merged intervals are turned into ranks by counting the index
-    rows below them, once per distinct end; no interval is expanded.
+    No interval is expanded.  Where the numbers of all books are contiguous the
+    rank of a chapter is its distance from the first; else the index rows below
+    an end are counted, once per distinct end.
     """
-    spans = cut_lineage(ref_intervals(docs, index.withColumnRenamed("ch", "idx"), bits))
+    spans = disjoint_intervals(_claims(docs, books.select("book_id", "lo", "hi")), ["book_id", "doc_id"], bits=bits)
+    if books.where("n <> hi - lo + 1").isEmpty():
+        return spans.join(books.select("book_id", "lo"), "book_id").select(
+            "book_id", "doc_id", (F.col("a") - F.col("lo")).alias("r0"), (F.col("b") - F.col("lo")).alias("r1"))
+    spans = cut_lineage(spans)
     ends = spans.select("book_id", F.explode(F.array("a", "b")).alias("ch"))
     ranks = cut_lineage(prefix_ranks(ends, index, "book_id", "ch", bits))
     out = (spans.join(ranks.select("book_id", F.col("ch").alias("a"), F.col("below").alias("r0")), ["book_id", "a"])
@@ -83,15 +102,15 @@ def gaps(docs: DataFrame, chapters: DataFrame, lo: int | None = None, hi: int |
     their rank in the index; where its numbers jump, a run ends.
     """
     keys = ["book_id", "doc_id"]
-    index = cut_lineage(_index(chapters, lo, hi))
+    index = _index(chapters, lo, hi)
+    books = _books(index)
     ranked = cut_lineage(ordered_scan(index, ["book_id"], "ch", total={"rank": F.lit(1)}, bits=bits)
                          .withColumn("rank", F.col("rank").cast("long")))
     pieces = ranked.groupBy("book_id", (F.col("ch") - F.col("rank")).alias("_jump")).agg(
         F.min("rank").alias("r0"), F.max("rank").alias("r1"), F.min("ch").alias("i0"))
-    total = ranked.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
-    ends = docs.select(*keys).distinct().join(total, "book_id").select(
+    ends = docs.select(*keys).distinct().join(books, "book_id").select(
         *keys, F.explode(F.array(F.lit(-1).cast("long"), F.col("n"))).alias("r0")).withColumn("r1", F.col("r0"))
-    covered = covered_ranks(docs, index, bits)
+    covered = covered_ranks(docs, index, books, bits)
     near = ordered_scan(cut_lineage(covered.unionByName(ends)), keys, "r0", ahead={"_next": F.col("r0")}, bits=bits)
     holes = near.where("_next > r1 + 1").select(*keys, (F.col("r1") + 1).alias("_a"), (F.col("_next") - 1).alias("_b"))
     cut = holes.join(pieces, "book_id").where("r0 <= _b AND r1 >= _a")
@@ -108,9 +127,9 @@ def missing_chapters(docs: DataFrame, chapters: DataFrame, lo: int | None = None
 def covered_chapters(docs: DataFrame, chapters: DataFrame, lo: int | None = None,
                      hi: int | None = None) -> DataFrame:
     """Mentioned chapters that exist in scope: book_id, doc_id, ch."""
-    index = cut_lineage(_index(chapters, lo, hi))
+    index = _index(chapters, lo, hi)
     ranked = ordered_scan(index, ["book_id"], "ch", total={"rank": F.lit(1)}).withColumn("rank", F.col("rank").cast("long"))
-    return (members_of(covered_ranks(docs, index), "r0", "r1", "rank").join(ranked, ["book_id", "rank"])
+    return (members_of(covered_ranks(docs, index, _books(index)), "r0", "r1", "rank").join(ranked, ["book_id", "rank"])
             .select("book_id", "doc_id", "ch"))
 
 
@@ -118,12 +137,13 @@ def coverage(docs: DataFrame, chapters: DataFrame, lo: int | None = None, hi: in
              fail_under: float = 1.0) -> DataFrame:
     """book_id, doc_id, total, covered, missing, rate, passed.
 
-    Totals are counted per book and hits as lengths of covered rank intervals,
+    Totals are the distinct chapters per book and hits lengths of covered rank intervals,
     so the (document x chapter) scope is never materialised.
     """
-    index = cut_lineage(_index(chapters, lo, hi))
-    total = in_scope(chapters, lo, hi).groupBy("book_id").agg(F.count("*").alias("total"))
-    hits = covered_ranks(docs, index).groupBy("book_id", "doc_id").agg(F.sum(F.col("r1") - F.col("r0") + 1).alias("covered"))
+    index = _index(chapters, lo, hi)
+    books = _books(index)
+    total = books.select("book_id", F.col("n").alias("total"))
+    hits = covered_ranks(docs, index, books).groupBy("book_id", "doc_id").agg(F.sum(F.col("r1") - F.col("r0") + 1).alias("covered"))
     out = (docs.select("book_id", "doc_id").distinct()
            .join(total, "book_id", "left").join(hits, ["book_id", "doc_id"], "left")
            .select("book_id", "doc_id", F.coalesce("total", F.lit(0)).alias("total"),

@@ -105,17 +105,24 @@ def runs(df: DataFrame, keys: Sequence[str], order: str, bits: int = BLOCK_BITS)
         F.when(F.col("_stop"), F.col(order)).otherwise(F.col("_end")).alias("last"))
 
 
-def merge_intervals(df: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b", bits: int = BLOCK_BITS) -> DataFrame:
-    """Union of closed integer intervals per key as maximal intervals (keys, a, b); touching ones become one.
+def disjoint_intervals(df: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b", bits: int = BLOCK_BITS) -> DataFrame:
+    """Closed integer intervals per key cut to disjoint ones with the same union (keys, a, b).
 
-    An ordered sweep: an interval opens a new one where it begins behind the
-    greatest end so far.  Empty (a > b) and null intervals count for nothing.
+    An ordered sweep: of each interval only what lies behind the greatest end
+    so far stays.  Empty (a > b) and null intervals count for nothing.
     """
     once = cut_lineage(df.where(F.col(a) <= F.col(b)).select(*keys, F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
                        .groupBy(*keys, "a").agg(F.max("b").alias("b")))
-    seen = cut_lineage(ordered_scan(once, keys, "a", top={"_top": F.col("b")}, bits=bits)
-                       .withColumn("_new", (F.col("_top").isNull() | (F.col("a") > F.col("_top") + 1)).cast("long")))
-    part = ordered_scan(seen, keys, "a", total={"_no": F.col("_new")}, bits=bits)
+    seen = ordered_scan(once, keys, "a", top={"_top": F.col("b")}, bits=bits)
+    return seen.withColumn("a", F.greatest("a", F.col("_top") + 1)).where("a <= b").drop("_top")
+
+
+def merge_intervals(df: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b", bits: int = BLOCK_BITS) -> DataFrame:
+    """Union of closed integer intervals per key as maximal intervals (keys, a, b); touching ones become one."""
+    parts = cut_lineage(disjoint_intervals(df, keys, a, b, bits))
+    near = cut_lineage(ordered_scan(parts, keys, "a", behind={"_p": F.col("b")}, bits=bits)
+                       .withColumn("_new", (F.col("_p").isNull() | (F.col("a") > F.col("_p") + 1)).cast("long")))
+    part = ordered_scan(near, keys, "a", total={"_no": F.col("_new")}, bits=bits)
     return (part.groupBy(*keys, (F.col("_no") + F.col("_new")).alias("_no")).agg(F.min("a").alias("a"), F.max("b").alias("b"))
             .drop("_no"))
 

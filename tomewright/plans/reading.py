@@ -59,12 +59,24 @@ def validate_index(chapters: DataFrame, lo: int | None = None, hi: int | None =
 
 
 def require_valid(chapters: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
-    """Gate: return the scope, or raise with the first violations before anything is written."""
-    bad = validate_index(chapters, lo, hi).limit(5).collect()
-    if bad:
-        raise ValueError(f"index is not contiguous: {[r.asDict() for r in bad]}")
+    """Gate: return the scope, or raise with the first violations before anything is written.
+
+    One aggregate decides: each book has as many rows as its numbers span, from
+    the scope's first on, none negative.  Only a failed gate lists violations.
+    """
+    _check_scope(lo, hi)
     scope = in_scope(chapters, lo, hi)
-    if scope.isEmpty():
+    n, a, b = F.count("*"), F.min("idx"), F.max("idx")
+    per = scope.groupBy("book_id").agg(
+        (n != b - a + 1).alias("torn"), (F.count_distinct("idx") != n).alias("twice"), (F.coalesce(F.min("chars"), F.lit(0)) < 0).alias("neg"),
+        ((a < 1) if lo is None else (a != lo)).alias("head"), (F.lit(False) if hi is None else (b != hi)).alias("tail"))
+    books = per.agg(F.count("*").alias("n"), F.count_if(F.col("torn") | F.col("twice") | F.col("neg") | F.col("head") | F.col("tail")).alias("bad")).first()
+    absent = hi is not None and not books["bad"] and chapters.agg(F.count_distinct("book_id")).first()[0] != books["n"]
+    if books["bad"] or absent:
+        bad = validate_index(chapters, lo, hi).limit(5).collect()
+        if bad:
+            raise ValueError(f"index is not contiguous: {[r.asDict() for r in bad]}")
+    if not books["n"]:
         raise ValueError("the index has no chapter in scope")
     return scope
 
