@@ -49,8 +49,8 @@ def test_mentions(spark):
     al, _ = people(spark)
     al = al.unionByName(spark.createDataFrame([("b", "韩", "韩立"), ("b", "张.铁", "张铁")], "book_id string, alias string, canonical string"))
     t = spark.createDataFrame([("b", 1, "韩天尊与韩立，厉飞羽见南宫仙子，张铁柱在张x铁张.铁")], "book_id string, u int, text string")
-    for limit in (E.BROADCAST_PATTERN_CHARS, 0):
-        m = E.mentions(t, al, "book_id", ["book_id", "u"], broadcast_chars=limit)
+    for names in (E.SHARD_NAMES, 2):
+        m = E.mentions(t, al, "book_id", ["book_id", "u"], shard_names=names)
         assert [r.alias for r in m.orderBy("ord").collect()] == ["韩天尊", "韩立", "厉飞羽", "南宫仙子", "张铁", "张.铁"]
     first = {r.canonical: r.alias for r in E.first_mentions(m, ["book_id", "u"], ["ord"]).collect()}
     assert first == {"韩立": "韩天尊", "南宫婉": "南宫仙子", "张铁": "张铁"}

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from tomewright import fixed as K
 from tomewright.functions import text as T
+from tomewright.operators.automaton import SHARD_NAMES, find_names
 from tomewright.session import cut_lineage
 
-BROADCAST_PATTERN_CHARS = 16_000_000
-
 
 def _has_any(c: Column, words) -> Column:
     return c.rlike("|".join(words))
@@ -149,47 +148,18 @@ def people_index(aliases: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("n_aliases"))
 
 
-def _quote(c: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-
-
-def mention_patterns(aliases: DataFrame, key: str) -> DataFrame:
-    """One pattern per dictionary: a tree over the first two characters, then the rests, longest first.
-
-    At a position the matcher descends to the few names that share its two
-    characters instead of trying the whole dictionary.
-    """
-    a = aliases.where(F.length("alias") >= K.MENTION_MIN_CHARS).select(key, "alias", "canonical").distinct()
-    a = a.select(key, "alias", "canonical", F.substring("alias", 1, 1).alias("c1"),
-                 F.substring("alias", 2, 1).alias("c2"), F.substr(F.col("alias"), F.lit(3)).alias("rest"))
-
-    def either(branches):
-        return F.concat(F.lit("(?:"), F.array_join(branches, "|"), F.lit(")"))
-
-    rests = F.transform(F.array_sort(F.collect_list(F.struct((-F.length("rest")).alias("n"), "rest"))),
-                        lambda x: F.when(x["rest"] == "", "").otherwise(_quote(x["rest"])))
-    two = a.groupBy(key, "c1", "c2").agg(F.concat(_quote(F.col("c2")), either(rests)).alias("p"),
-                                         F.collect_list(F.struct("alias", "canonical")).alias("who"))
-    one = two.groupBy(key, "c1").agg(F.concat(_quote(F.col("c1")), either(F.collect_list("p"))).alias("p"),
-                                     F.flatten(F.collect_list("who")).alias("who"))
-    return one.groupBy(key).agg(either(F.collect_list("p")).alias("pattern"),
-                                F.map_from_entries(F.flatten(F.collect_list("who"))).alias("who"))
-
-
 def mentions(texts: DataFrame, aliases: DataFrame, key: str, place: list[str], text: str = "text",
-             broadcast_chars: int = BROADCAST_PATTERN_CHARS) -> DataFrame:
+             shard_names: int = SHARD_NAMES) -> DataFrame:
     """Mentions in reading order, leftmost-longest and non-overlapping: place, ord, alias, canonical.
 
-    ``place`` starts with ``key``.  The dictionaries are measured before they
-    are broadcast; larger ones are joined by shuffle.
+    ``place`` starts with ``key``.  Texts carry no dictionary: they stream past
+    a broadcast automaton (several where a dictionary exceeds ``shard_names``),
+    and the canonical name is joined to what was found.
     """
-    pats = mention_patterns(aliases, key)
-    size = aliases.agg(F.sum(F.length("alias") + F.length("canonical"))).first()[0] or 0
-    t = texts.select(*place, F.col(text).alias("_t")).join(
-        F.broadcast(pats) if size <= broadcast_chars else pats, key)
-    found = F.regexp_extract_all("_t", F.col("pattern"), F.lit(0))
-    return (t.select(*place, "who", F.posexplode_outer(found).alias("ord", "alias")).where("alias is not null")
-            .select(*place, "ord", "alias", F.col("who")[F.col("alias")].alias("canonical")))
+    names = (aliases.where(F.length("alias") >= K.MENTION_MIN_CHARS).groupBy(key, "alias")
+             .agg(F.min("canonical").alias("canonical")))
+    found = find_names(texts, names, key, place, text, shard_names)
+    return found.join(names, [key, "alias"]).select(*place, "ord", "alias", "canonical")
 
 
 def first_mentions(found: DataFrame, unit: list[str], order: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Aliases and mentions.  The dictionary of a language is the set of words its documents open with."""
+"""Aliases and mentions.  The dictionary of a language are the words, of any script, that stand in several of its texts."""
 
 from __future__ import annotations
 
@@ -8,15 +8,19 @@ from tomewright.functions import text as T
 from tomewright.operators import digest as D
 from tomewright.operators import entities as E
 from tomewright.queries.base import LN, documents
+from tomewright.session import cut_lineage
 from tomewright.sources.tables import read_table
 
 WORD = "^([A-Za-z]{2,8})(?:[^\\p{L}]|$)"
+TEXTS = 5               # documents that hold a word of the dictionary, at least
 
 
 def _aliases(spark, d):
-    t = documents(spark, d, "doc_id", "lang", "text").select(
-        F.col("lang").alias("book_id"), F.regexp_extract("text", WORD, 1).alias("alias")).where("alias <> ''").distinct()
-    return t.withColumn("canonical", F.lower(F.substring("alias", 1, 3)))
+    """Words of two to eight letters of whole texts; written once, as several results are built on it."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}+)")))
+    t = documents(spark, d, "doc_id", "lang", "text").select(F.col("lang").alias("book_id"), F.explode_outer(words).alias("alias"))
+    t = t.where(F.length("alias").between(2, 8)).groupBy("book_id", "alias").agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(t.where(F.col("n") >= TEXTS).select("book_id", "alias", F.lower(F.substring("alias", 1, 3)).alias("canonical")))
 
 
 def _entries(spark, d):
@@ -85,12 +89,12 @@ def person_entries(spark, d):
 def people_warnings(spark, d):
     a, e = _aliases(spark, d), _entries(spark, d)
     books = read_table(spark, d, "documents", "lang").select(F.col("lang").alias("book_id"))
-    none = a.where("false").select("book_id")
-    return E.people_warnings(books, a, e, none)
+    quoted = read_table(spark, d, "documents", "lang", "text").where(F.contains("text", F.lit('"'))).select(F.col("lang").alias("book_id"))
+    return E.people_warnings(books, a, e, quoted)
 
 
-_AL = """al AS (SELECT DISTINCT lang AS book_id, regexp_extract(text, '^([A-Za-z]{2,8})(?:[^\\p{L}]|$)', 1) AS alias FROM documents
-  WHERE regexp_matches(text, '^[A-Za-z]{2,8}(?:[^\\p{L}]|$)')),
+_AL = """wd AS (SELECT lang, unnest(list_distinct(regexp_extract_all(text, '\\p{L}+'))) AS x FROM documents),
+ al AS (SELECT lang AS book_id, x AS alias FROM wd WHERE length(x) BETWEEN 2 AND 8 GROUP BY ALL HAVING count(*) >= 5),
  a AS (SELECT *, lower(left(alias, 3)) AS canonical FROM al),
  e AS (SELECT DISTINCT lang AS book_id, lower(left(regexp_extract(text, '^([A-Za-z]{2,8})(?:[^\\p{L}]|$)', 1), 3)) AS canonical
   FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND regexp_matches(text, '^[A-Za-z]{2,8}(?:[^\\p{L}]|$)'))"""
@@ -124,5 +128,6 @@ QUERIES = {
         ANTI JOIN e USING (book_id, canonical)), b AS (SELECT DISTINCT lang AS book_id FROM documents)
       SELECT book_id, NOT EXISTS (SELECT 1 FROM a WHERE a.book_id = b.book_id) AS no_aliases,
         EXISTS (SELECT 1 FROM a WHERE a.book_id = b.book_id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.book_id = b.book_id)
-        AS no_entries, (SELECT count(*) FROM u WHERE u.book_id = b.book_id) AS unlinked, true AS no_slices FROM b"""),
+        AS no_entries, (SELECT count(*) FROM u WHERE u.book_id = b.book_id) AS unlinked,
+        NOT EXISTS (SELECT 1 FROM documents WHERE lang = b.book_id AND contains(text, '"')) AS no_slices FROM b"""),
 }
