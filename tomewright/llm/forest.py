@@ -16,7 +16,10 @@ least vector of its links' component.  Pairs are never written.
 
 Equal vectors of one label are one vector with a multiplicity.  Vectors that
 are null, zero, or hold null or non-finite components, and null labels, link
-with nothing.  Vectors of different length are not compared.
+with nothing.  Vectors of different length are not compared.  Labels that are
+not whole numbers are told apart by a 64-bit hash of their text.  Rows that
+share a vec_id are vectors of their own: each counts the other as a link if
+they are near.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tomewright.llm.common import mix
 from tomewright.llm.graph import components
@@ -176,7 +180,9 @@ def near_vectors(rows: DataFrame, least: float = 0.98, sample_rows: int = 20_000
             off = np.searchsorted(row[order], np.arange(n + 1))
             col = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(leaf_[order]))
             yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, "leaves"])
-    u = uniq.select("rep", "n", "embedding", F.col("label").cast("long").alias("label"), "dim")
+    whole = isinstance(rows.schema["label"].dataType, T.IntegralType)
+    label = F.col("label").cast("long") if whole else F.xxhash64(F.col("label").cast("string"))
+    u = uniq.select("rep", "n", "embedding", label.alias("label"), "dim")
     placed = cut_lineage(u.mapInArrow(index, "rep long, n long, embedding " + rows.schema["embedding"].dataType.simpleString()
                                       + ", label long, dim int, leaves array<long>"))
     spots = placed.select("*", F.explode("leaves").alias("leaf"))

@@ -49,7 +49,7 @@ def source_targets(docs: DataFrame, volume: float = 1.5, most: float = 2.0, weig
 
 
 def with_copies(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
-    """Add size, source_size, target and copies to the documents (all their columns stay)."""
+    """Add size, source_size, target and copies to the documents (input columns of these names are replaced)."""
     rates = source_targets(docs, **shares)
     small = rates.agg(F.count(F.lit(1))).first()[0] <= BROADCAST_SOURCES
     rates = rates.withColumnRenamed("source", "_src")
@@ -64,6 +64,7 @@ def with_copies(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
 
 
 def emit(docs: DataFrame, **shares) -> DataFrame:
-    """The mix itself: every document as often as it is taken, columns unchanged."""
-    rows = with_copies(docs.select("*"), **shares).where("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: every document as often as it is taken, columns unchanged whatever their names."""
+    rows = docs.select("doc_id", "source", "text", F.struct("*").alias("row"))
+    taken = with_copies(rows, **shares).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -23,7 +23,7 @@ their exact probability Jaccard:
 Tasks return links to the least member of what they have joined, one row per
 member.  So pairs are never written, whatever the size of a bucket, and no
 candidate is dropped.  Words-free texts are only copies of equal texts; a null
-text is its own class.
+text is its own class.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.llm.common import add_columns, byte_rows, map_batches, mix, run_starts, segment_hash, windows, words
@@ -117,12 +117,16 @@ def _bands(col: pa.Array) -> list:
     return [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(keys[some].ravel().view(np.int64)))]
 
 
+def copy_of(key: Column, text: Column) -> Column:
+    """What equal texts share: a digest; a null text is alone with its id."""
+    return F.when(text.isNull(), F.concat(F.lit("null "), key.cast("string"))).otherwise(F.sha2(text, 256))
+
+
 def _sketch(docs: DataFrame) -> DataFrame:
     """(id, text) -> id, copy (digest of the text), bands."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), _bands(b.column(1))[0]], names=["id", "copy", "bands"])
-    rows = docs.select("id", "text", F.when(F.col("text").isNull(), F.concat(F.lit("null "), F.col("id").cast("string")))
-                       .otherwise(F.sha2(F.col("text"), 256)).alias("copy"))
+    rows = docs.select("id", "text", copy_of(F.col("id"), F.col("text")).alias("copy"))
     return map_batches(rows, run, "text", "id long, copy string, bands array<long>")
 
 
@@ -203,22 +207,26 @@ def _compare(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Documents (doc_id, text) -> doc_id, class_id (smallest doc_id of its class), one row per input row.
+def classes(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Documents (doc_id, text) -> doc_id, copy, class_id (smallest doc_id of the class), kept; one row per input row.
 
-    Repeated doc_ids are one document if their texts agree; otherwise their
-    texts are classified together under that id.  Null ids are left out.
+    Classes are made of texts, so rows that share a doc_id but not their text
+    are classified each by its own.  ``kept`` marks the row that stands for its
+    class: smallest doc_id, then smallest digest of the text (``copy``); rows
+    equal in both stand together.  A row without a doc_id is a class of its
+    own, with class_id null, and stays.  Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
     sketch = cut_lineage(_sketch(rows))
-    heads = sketch.groupBy("copy").agg(F.min("id").alias("id"))
-    copies = cut_lineage(sketch.select("id", "copy").join(heads.select("copy", F.col("id").alias("head")), "copy")
-                         .select("id", "head").distinct())
-    texts = sketch.join(heads, ["copy", "id"], "left_semi").dropDuplicates(["copy"])
-    member = texts.select("id", F.explode("bands").alias("band"))
+    # one number per distinct text, written, so that it stays the same
+    heads = cut_lineage(sketch.groupBy("copy").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    texts = sketch.join(heads.withColumnRenamed("least", "id"), ["copy", "id"]).dropDuplicates(["copy"])
+    member = texts.select(F.col("node").alias("id"), F.explode("bands").alias("band"))
     sizes = member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1").drop("n")
     member = cut_lineage(member.join(sizes, "band").distinct())
-    sets = cut_lineage(_packed(rows.join(member.select("id").distinct(), "id", "left_semi")))
+    asked = heads.join(member.select(F.col("id").alias("node")).distinct(), "node", "left_semi").withColumnRenamed("least", "id")
+    sets = rows.withColumn("copy", copy_of(F.col("id"), F.col("text"))).join(asked, ["copy", "id"])
+    sets = cut_lineage(_packed(sets.select(F.col("node").alias("id"), "text")).dropDuplicates(["id"]))
     pairs = member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = cut_lineage(verify(pairs, sets, least))
     label = components(links).select(F.col("node").alias("id"), "root")
@@ -243,8 +251,18 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, block: int = BLO
     m = m.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root")
     more = m.join(sets, "id").groupBy("band", "i", "j").applyInPandas(_compare(least), "a long, b long")
     links = links.unionByName(cut_lineage(more))
-    # copies of one text under several ids, and one id with several texts, are links as well
-    label = components(links.unionByName(copies.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))))
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
-    return ids.join(label.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select(
-        "doc_id", F.coalesce("root", "doc_id").cast("long").alias("class_id"))
+    label = components(links).withColumnRenamed("node", "n")
+    known = sketch.select("id", "copy").join(heads.drop("least"), "copy").join(label, F.col("node") == F.col("n"), "left")
+    known = cut_lineage(known.select("id", "copy", F.coalesce("root", "node").alias("root")))
+    first = known.groupBy("root").agg(F.min(F.struct("id", "copy")).alias("first"))
+    out = known.join(first, "root").select(F.col("id").alias("doc_id"), "copy", F.col("first.id").alias("class_id"),
+                                           (F.struct("id", "copy") == F.col("first")).alias("kept"))
+    none = docs.where(F.col("doc_id").cast("long").isNull()).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("copy"), F.lit(None).cast("long").alias("class_id"),
+        F.lit(True).alias("kept"))
+    return out.unionByName(none)
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Documents (doc_id, text) -> doc_id, class_id, as ``classes``."""
+    return classes(docs, least, block).select("doc_id", "class_id")

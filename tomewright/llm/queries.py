@@ -134,8 +134,7 @@ def op2_quality(spark: SparkSession, d: str) -> DataFrame:
 def op4_probminhash(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate class of every document."""
     from tomewright.llm import probminhash
-    r = probminhash.near_duplicates(table(spark, d, "documents"))
-    return r.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return probminhash.classes(table(spark, d, "documents")).select("doc_id", "class_id", "kept")
 
 
 def op6_suffixes(spark: SparkSession, d: str) -> DataFrame:

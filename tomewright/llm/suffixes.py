@@ -41,6 +41,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tomewright.llm.common import _MUL, _POW, byte_rows, map_batches, mix, run_starts
 from tomewright.session import cut_lineage
@@ -488,24 +489,25 @@ def remove_repeats(docs: DataFrame, **ways) -> DataFrame:
 
     Characters are never split: one of which only some bytes are covered stays.
     """
-    _, runs = repeated_runs(docs, **ways)
+    _, runs = repeated_runs(docs.select("doc_id", "text"), **ways)
     runs = runs.select(F.col("doc").alias("_doc"), F.col("part").alias("_part"), F.col("runs").alias("_runs"))
-    rows = _keyed(docs)[0].join(runs, ["_doc", "_part"], "left").select(*docs.columns, "_runs")
-    names = docs.columns
-    at = names.index("text")
+    # the row travels as one value, so no column of it can clash
+    rows = _keyed(docs.select("doc_id", "text", F.struct("*").alias("row")))[0].join(runs, ["_doc", "_part"], "left")
 
     def run(it):
         for b in it:
             out = []
-            for t, r in zip(b.column(at), b.column(len(names))):
+            for t, r in zip(b.column(0), b.column(1)):
                 data = (t.as_py() or "").encode()
                 if r.is_valid:
                     s = whole_characters(data, spans_of(len(data), r.values.to_numpy()))
                     out.append(_cut(data, s).decode())
                 else:
                     out.append(t.as_py())
-            cols = list(b.columns[:len(names)])
-            cols[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-    kept = rows.mapInArrow(run, docs.schema)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else kept
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out, pa.string())], names=["row", "rest"])
+    row = T.StructField("row", docs.schema)
+    kept = rows.select("text", "_runs", "row").mapInArrow(run, T.StructType([row, T.StructField("rest", T.StringType())]))
+    own = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("rest")}
+    if "n_chars" in own:
+        own["n_chars"] = F.length("rest").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[v.alias(c) for c, v in own.items()])

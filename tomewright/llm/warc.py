@@ -6,12 +6,13 @@ at least ``min_bytes`` bytes) the one with the smallest page_id becomes the
 response, the others become ``revisit`` records that name it.  Rows sharing
 that smallest page_id are all responses; a null page_id counts behind all
 others.  Null HTML is an empty payload, a null url an empty target.  Columns
-other than page_id, url, html are ignored.  The archives are written by
+other than page_id, url, html are ignored.  Payloads of like size share files,
+so many to a file that it stays near FILE_BYTES.  The archives are written by
 Spark's text writer, so a lost or repeated task leaves no trace, on any file
 system Spark knows; an empty table gives an empty archive.
 
-Reader.  Files are read whole by Spark (``records_per_file`` bounds them) and
-may be plain or gzip with one member per record.  A record is taken if its
+Reader.  Files of any name are read whole by Spark (so each must stay below
+2 GB) and may be plain or gzip with one member per record.  A record is taken if its
 version line, headers, Content-Length, closing blank lines and, where it can
 be computed, its payload digest hold.  After a failed check the reader looks
 for the next valid gzip member or version line behind the failed start, goes
@@ -36,6 +37,9 @@ from tomewright.session import cut_lineage
 EOL = "\r\n"
 VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
 MEMBER = b"\x1f\x8b\x08"
+FILE_BYTES = 64 << 20           # about what a file holds
+TIERS = (32 << 10, 256 << 10, 2 << 20)      # payload bytes up to which records share a file size
+MEMBER_BYTES = 1 << 30          # a gzip member that unpacks to more is taken for damaged
 BROADCAST_DIGESTS = 200_000     # repeated digests are broadcast up to this count, about 20 MB
 RECORDS = ("path string, offset long, length long, status string, reason string, record_type string, page_id string, "
            "url string, refers_to string, payload_bytes long, payload_digest string, payload binary")
@@ -72,8 +76,17 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 2000) -> None:
-    """Write the archive of all rows below ``path``."""
+    """Write the archive of all rows below ``path``, at most ``records_per_file`` and about FILE_BYTES to a file."""
+    size = F.octet_length(F.coalesce(F.col("html"), F.lit("")))
+    tier = F.coalesce(*[F.when(size <= t, F.lit(i)) for i, t in enumerate(TIERS)], F.lit(len(TIERS)))
+    most = {r["tier"]: r["most"] for r in pages.groupBy(tier.alias("tier")).agg(F.max(size).alias("most")).collect()}
     rows = plan_records(pages, min_bytes)
+    for k in sorted(most) or [0]:
+        records = max(min(records_per_file, FILE_BYTES // max(TIERS[k] if k < len(TIERS) else most[k], 1)), 1)
+        _write_records(rows.where(tier == k) if len(most) > 1 else rows, path, records)
+
+
+def _write_records(rows: DataFrame, path: str, records_per_file: int) -> None:
     revisit = F.col("refers_to").isNotNull()
     text = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\r\n]", "")
     name = lambda c: F.concat(F.lit("<urn:page:"), text(c), F.lit(">"))
@@ -88,7 +101,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, records_per_f
             f"{EOL}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(""),
         F.lit(f"{EOL}Content-Type: application/http; msgtype=response{EOL}Content-Length: "),
         F.octet_length(block).cast("string"), F.lit(EOL * 2), block)
-    (rows.select(record.alias("value")).write.option("lineSep", EOL * 2)
+    (rows.select(record.alias("value")).write.mode("append").option("lineSep", EOL * 2)
      .option("maxRecordsPerFile", records_per_file).text(path))
 
 
@@ -129,25 +142,36 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
             "payload_digest": digest or payload_digest(payload), "payload": payload}, tail.end()
 
 
+def unzip_member(data: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int]:
+    """The gzip member at ``at`` unpacked, and the offset behind it; only its own bytes are read."""
+    if data[at:at + 3] != MEMBER:
+        raise ValueError("no gzip member")
+    z, view, out, size, end = zlib.decompressobj(31), memoryview(data), [], 0, at
+    while not z.eof and end < len(data):
+        part = view[end:end + step]
+        try:
+            out.append(z.decompress(part))
+        except zlib.error as e:
+            raise ValueError(f"gzip: {e}") from None
+        end += len(part)
+        step = min(2 * step, 1 << 20)
+        if (size := size + len(out[-1])) > MEMBER_BYTES:
+            raise ValueError("member is too large")
+    if not z.eof:
+        raise ValueError("member is cut off")
+    return b"".join(out), end - len(z.unused_data)
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Records and gaps of one file, in order; offsets count bytes of the file."""
     zipped, at, bad, why = MEMBER in data[:3] or (not VERSION.search(data) and MEMBER in data), 0, None, ""
     while at < len(data):
         try:
             if zipped:
-                z = zlib.decompressobj(31)
-                if data[at:at + 3] != MEMBER:
-                    raise ValueError("no gzip member")
-                try:
-                    plain = z.decompress(data[at:])
-                except zlib.error as e:
-                    raise ValueError(f"gzip: {e}") from None
-                if not z.eof:
-                    raise ValueError("member is cut off")
+                plain, end = unzip_member(data, at)
                 rec, used = parse_record(plain, 0)
                 if used != len(plain):
                     raise ValueError("bytes behind the record")
-                end = len(data) - len(z.unused_data)
             else:
                 rec, end = parse_record(data, at)
         except ValueError as e:
@@ -187,5 +211,5 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, RECORDS)
