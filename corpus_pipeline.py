@@ -9,6 +9,8 @@ An empty table passes through; nulls are treated as the operators state.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +24,22 @@ TOXIC = 0.3                 # a document at or above this score goes
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose pattern score stays below TOXIC."""
     grammar = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, grammar, "_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    score = f"score_{uuid.uuid4().hex}"         # no column of the documents is called so
+    return toxicity.with_score(docs, grammar, score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate class; documents without an id stay."""
-    first = probminhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    """The row that stands for each near-duplicate class; rows without an id stay.
+
+    Unequal texts of one id are judged each by its own; of rows equal in id and
+    text one stays.
+    """
+    stay = cut_lineage(probminhash.classes(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("k"), F.col("copy").alias("c")))
+    once = stay.distinct()
+    mine = docs["doc_id"].cast("long")
+    kept = docs.join(once, (mine == once["k"]) & (probminhash.copy_of(mine, docs["text"]) == once["c"]), "left_semi")
+    if not stay.groupBy("k", "c").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
