@@ -137,6 +137,18 @@ def prefix_ranks(points: DataFrame, members: DataFrame, key: str, value: str, bi
     return ranked.select(key, value, F.col("below").cast("long").alias("below"), (F.col("below") + F.col("_n")).cast("long").alias("upto"))
 
 
+def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int, rank: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each key, for reports; ``rank`` names a column for their number.
+
+    Tasks keep at most ``k`` rows of a key before the shuffle (the planner's
+    window group limit), so a key with a third of all rows sends ``k`` rows a task.
+    ``order`` should leave no ties.
+    """
+    no = rank or "_first_of"
+    out = df.withColumn(no, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(no) <= k)
+    return out if rank else out.drop(no)
+
+
 def members_of(intervals: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """One row per member of each interval, for results that list them all."""
     return intervals.withColumn(name, F.explode_outer(F.sequence(F.col(a), F.col(b)))).where(F.col(name).isNotNull()).drop(a, b)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tomewright import fixed as K
 from tomewright.functions import text as T
-from tomewright.operators.ordered import locate_in_spans
+from tomewright.operators.ordered import first_of, locate_in_spans
 from tomewright.operators.passages import BROADCAST_PROBES, find_segments, flat_blocks, flat_spans
 from tomewright.session import cut_lineage
 
@@ -211,10 +211,7 @@ def slice_issues(results: DataFrame, per_doc: int | None = None) -> DataFrame:
     bad = results.where("status <> 'PASS'").select("book_id", "doc_id", "slice_no", "chapter", "status", "reason")
     if per_doc is None:
         return bad
-    from pyspark.sql import Window
-    w = Window.partitionBy("book_id", "doc_id").orderBy("slice_no")
-    # row_number under a limit is pruned before the shuffle by the group limit operator
-    return bad.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_doc).drop("_r")
+    return first_of(bad, ["book_id", "doc_id"], ["slice_no"], per_doc)
 
 
 def quality_gate(docs: DataFrame, coverage: DataFrame, results: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tomewright.operators import coverage as C
+from tomewright.operators.ordered import first_of
 from tomewright.plans import reading as R
 from tomewright.queries.base import IX, index
 from tomewright.sources.tables import read_table
@@ -136,6 +137,16 @@ def missing_runs(spark, d):
     return C.missing_runs(_digest_parts(spark, d), index(spark, d))
 
 
+def missing_runs_first(spark, d):
+    """The first twelve missing runs of each digest."""
+    return first_of(missing_runs(spark, d), ["book_id", "doc_id"], ["first"], 12)
+
+
+def missing_chapters_first(spark, d):
+    """The first twenty missing chapters of each digest, numbered."""
+    return first_of(missing_chapters(spark, d), ["book_id", "doc_id"], ["ch"], 20, "no")
+
+
 _SEG = """SELECT book_id, '段' || CASE WHEN no < 10 THEN '0' ELSE '' END || no AS segment, "start", "end", chapters, chars,
   CAST((chapters + 11) // 12 AS BIGINT) AS batches, first_title, last_title,
   '第' || "start" || '-' || "end" || '章' AS directory,
@@ -212,3 +223,7 @@ QUERIES = {
       SELECT book_id, 'digest' AS doc_id, first, last, CASE WHEN first = last THEN CAST(first AS VARCHAR)
         ELSE first || '–' || last END AS run, chapters, '第' || first || '章 ' || title AS sample, sample_chars FROM r"""),
 }
+QUERIES["missing_runs_first"] = (missing_runs_first, f"""SELECT * FROM ({QUERIES["missing_runs"][1]})
+  QUALIFY row_number() OVER (PARTITION BY book_id, doc_id ORDER BY first) <= 12""")
+QUERIES["missing_chapters_first"] = (missing_chapters_first, f"""SELECT *, CAST(row_number() OVER (PARTITION BY book_id, doc_id ORDER BY ch)
+  AS INTEGER) AS no FROM ({QUERIES["missing_chapters"][1]}) QUALIFY no <= 20""")

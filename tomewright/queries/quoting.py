@@ -91,6 +91,11 @@ def slice_issues(spark, d):
     return Q.slice_issues(_verified(spark, d)).select("book_id", "slice_no", "status")
 
 
+def slice_issues_first(spark, d):
+    """The first ten issues of each digest."""
+    return Q.slice_issues(_verified(spark, d), per_doc=10).select("book_id", "slice_no", "status")
+
+
 def quality_gate(spark, d):
     parts, ix = _digest_parts(spark, d), index(spark, d)
     return Q.quality_gate(parts, C.coverage(parts, ix), _verified(spark, d))
@@ -176,6 +181,8 @@ QUERIES = {
     "slice_collection": (slice_collection, _VERIFY + """ SELECT book_id, slice_no, status, md5(raw) AS raw FROM v
       WHERE status <> 'FAIL'"""),
     "slice_issues": (slice_issues, _VERIFY + """ SELECT book_id, slice_no, status FROM v WHERE status <> 'PASS'"""),
+    "slice_issues_first": (slice_issues_first, _VERIFY + """ SELECT book_id, slice_no, status FROM v WHERE status <> 'PASS'
+      QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY slice_no) <= 10"""),
     "quality_gate": (quality_gate, _VERIFY + ", " + PARTS[len("WITH "):] + """,
       cv AS (SELECT book_id, count(*) AS total, count(CASE WHEN hit THEN 1 END) AS covered FROM cov
         WHERE book_id IN (SELECT book_id FROM refs) GROUP BY book_id),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tomewright import fixed as K
 from tomewright.operators import catalog as G
+from tomewright.operators.ordered import first_of
 from tomewright.sources.tables import read_table, spread
 from tomewright.streaming.progress import progress_stream
 
@@ -45,6 +47,11 @@ def shelf_cards(spark, d):
                                    "stats", "search")
 
 
+def shelf_first_cards(spark, d):
+    """The first twenty cards of each shelf in display order."""
+    return first_of(_cards(spark, d), ["book_key"], ["card_order", "page_id"], 20, "place").select("book_key", "place", "page_id")
+
+
 def shelf_groups(spark, d):
     return G.shelf_stats(_cards(spark, d))
 
@@ -164,6 +171,10 @@ QUERIES = {
     "reader_pages": (reader_pages, """SELECT contains(left(html, 8192), 'id="page-data"') AS is_reader, count(*) AS pages
       FROM pages GROUP BY 1"""),
     "shelf_cards": (shelf_cards, f"WITH {_PAGES} SELECT * EXCLUDE (chapters) FROM cards"),
+    "shelf_first_cards": (shelf_first_cards, f"""WITH {_PAGES} SELECT book_key, CAST(row_number() OVER (PARTITION BY book_key
+      ORDER BY coalesce(a, {K.NO_RANGE_START}), list_slice(list_transform(regexp_extract_all(card_title, '([0-9]+)'),
+        lambda x: try_cast(x AS BIGINT)), 1, 3), coalesce(folder, ''), card_title, page_id) AS INTEGER) AS place, page_id
+      FROM cards QUALIFY place <= 20"""),
     "shelf_groups": (shelf_groups, f"""WITH {_PAGES} SELECT book_key, count(*) AS digests, CAST(CASE WHEN count(a) = count(*)
       THEN sum(b - a + 1) ELSE sum(chapters) END AS BIGINT) AS chapters FROM cards GROUP BY book_key"""),
     "shelf_total": (shelf_total, f"""WITH {_PAGES} SELECT count(DISTINCT book_key) AS books, count(*) AS digests,
