@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tomewright.operators.ordered import locate_in_spans, ordered_scan, runs
+from tomewright.operators.ordered import locate_in_spans, ordered_scan, rank_blocks, runs
 
 
 @pytest.mark.parametrize("bits", [1, 3, 16])
@@ -42,3 +42,27 @@ def test_spans_join_without_nested_loop(spark):
     out = locate_in_spans(points, spans, "book_id", "pos", "s", "e")
     assert sorted((r.pos, r.idx) for r in out.collect()) == [(0, 1), (9, 1), (10, 2), (4999, 2), (5000, 4), (8999, 4)]
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("make", [lambda r: r.randrange(-2 ** 63, 2 ** 63), lambda r: 7, lambda r: r.choice([None, 1, 2 ** 40])],
+                         ids=["sparse", "equal", "few"])
+def test_blocks_are_bounded_whatever_the_order_values(spark, make):
+    rnd = random.Random(3)
+    rows = [("hot" if i % 4 else f"k{i % 12}", make(rnd), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    blocks, several = rank_blocks(df, ["k"], "o", bits=7)
+    sizes = [r["count"] for r in blocks.groupBy("_blk").count().collect()]
+    assert several and sum(sizes) == 4000 and max(sizes) <= 4 * 128 and len(sizes) > 4000 / 128 / 2
+    got = ordered_scan(df, ["k"], "o", total={"n": F.lit(1), "t": F.col("v")}, behind={"b": F.col("v")}, ahead={"a": F.col("v")},
+                       bits=7).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.k, {})[r.n] = r
+    assert sum(map(len, by.values())) == 4000
+    for rs in by.values():                      # one chain per key, rising in o, consistent among all results
+        assert sorted(rs) == list(range(len(rs)))
+        for n, r in rs.items():
+            prev, nxt = rs.get(n - 1), rs.get(n + 1)
+            assert (r.b, r.a) == (prev.v if prev else None, nxt.v if nxt else None)
+            assert r.t == (prev.t + prev.v if prev else 0)
+            assert prev is None or prev.o is None or (r.o is not None and prev.o <= r.o)

@@ -104,14 +104,14 @@ def gaps(docs: DataFrame, chapters: DataFrame, lo: int | None = None, hi: int |
     keys = ["book_id", "doc_id"]
     index = _index(chapters, lo, hi)
     books = _books(index)
-    ranked = cut_lineage(ordered_scan(index, ["book_id"], "ch", total={"rank": F.lit(1)}, bits=bits)
+    ranked = cut_lineage(ordered_scan(index, ["book_id"], "ch", total={"rank": F.lit(1)}, bits=bits, written=True)
                          .withColumn("rank", F.col("rank").cast("long")))
     pieces = ranked.groupBy("book_id", (F.col("ch") - F.col("rank")).alias("_jump")).agg(
         F.min("rank").alias("r0"), F.max("rank").alias("r1"), F.min("ch").alias("i0"))
     ends = docs.select(*keys).distinct().join(books, "book_id").select(
         *keys, F.explode(F.array(F.lit(-1).cast("long"), F.col("n"))).alias("r0")).withColumn("r1", F.col("r0"))
     covered = covered_ranks(docs, index, books, bits)
-    near = ordered_scan(cut_lineage(covered.unionByName(ends)), keys, "r0", ahead={"_next": F.col("r0")}, bits=bits)
+    near = ordered_scan(cut_lineage(covered.unionByName(ends)), keys, "r0", ahead={"_next": F.col("r0")}, bits=bits, written=True)
     holes = near.where("_next > r1 + 1").select(*keys, (F.col("r1") + 1).alias("_a"), (F.col("_next") - 1).alias("_b"))
     cut = holes.join(pieces, "book_id").where("r0 <= _b AND r1 >= _a")
     return cut.select(*keys, (F.col("i0") + F.greatest("_a", "r0") - F.col("r0")).alias("first"),
@@ -128,7 +128,7 @@ def covered_chapters(docs: DataFrame, chapters: DataFrame, lo: int | None = None
                      hi: int | None = None) -> DataFrame:
     """Mentioned chapters that exist in scope: book_id, doc_id, ch."""
     index = _index(chapters, lo, hi)
-    ranked = ordered_scan(index, ["book_id"], "ch", total={"rank": F.lit(1)}).withColumn("rank", F.col("rank").cast("long"))
+    ranked = ordered_scan(index, ["book_id"], "ch", total={"rank": F.lit(1)}, written=True).withColumn("rank", F.col("rank").cast("long"))
     return (members_of(covered_ranks(docs, index, _books(index)), "r0", "r1", "rank").join(ranked, ["book_id", "rank"])
             .select("book_id", "doc_id", "ch"))
 

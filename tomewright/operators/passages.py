@@ -47,7 +47,7 @@ def flat_spans(chapter_text: DataFrame, bits: int = 16) -> DataFrame:
     """
     n = cut_lineage(chapter_text.select("book_id", F.col("idx").cast("long").alias("idx"),
                                         F.length("norm").cast("long").alias("_n")))
-    return (ordered_scan(n, ["book_id"], "idx", total={"norm_start": F.col("_n")}, bits=bits)
+    return (ordered_scan(n, ["book_id"], "idx", total={"norm_start": F.col("_n")}, bits=bits, written=True)
             .select("book_id", "idx", "norm_start", (F.col("norm_start") + F.col("_n")).alias("norm_end")))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.operators.ordered import BLOCK_BITS, ordered_scan
+from tomewright.operators.ordered import BLOCK_BITS, ordered_scan, rank_blocks
 from tomewright.operators.segment import in_scope
 
 DEFAULT_BATCH = 12
@@ -189,8 +189,8 @@ def budget_segments(chapters: DataFrame, target_chars: int, bits: int = BLOCK_BI
     if target_chars < 1:
         raise ValueError("target_chars must be >= 1")
     rows = chapters.select("book_id", F.col("idx").cast("long").alias("idx"),
-                           F.col("chars").cast("long").alias("chars")) \
-                   .withColumn("_blk", F.shiftright("idx", bits))
+                           F.col("chars").cast("long").alias("chars"))
+    rows = rank_blocks(rows, ["book_id"], "idx", bits=bits)[0].withColumn("_blk", F.col("_blk").cast("long")).drop("_row")
     kind = chapters.schema["book_id"].dataType.simpleString()
     moves = rows.groupBy("book_id", "_blk").applyInPandas(
         _budget_moves(target_chars),

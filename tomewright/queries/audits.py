@@ -29,7 +29,7 @@ def asof_states(spark, d):
         F.lit("log").alias("book_id"), F.col("user_id").alias("entity"), F.expr(MICROS).alias("ch"),
         F.col("event_type").alias("state"))
     points = e.where("state = 'error'").select("book_id", "entity", "ch")
-    return A.asof_states(e.where("state <> 'error'"), points, bits=36)
+    return A.asof_states(e.where("state <> 'error'"), points)
 
 
 def spoiler_leaks(spark, d):

@@ -94,7 +94,7 @@ def chapter_file_index(spark, d):
     t = spread(read_table(spark, d, "conversations"))
     files = t.select(F.col("conv_id").alias("book_id"), F.concat(
         F.lit("turn_"), F.col("turn").cast("string"), F.lit("_"), F.col("role"), F.lit(".txt")).alias("name"), "text")
-    return index_files(files, bits=4).select("book_id", "idx", "title", "chars", "end", "file")
+    return index_files(files).select("book_id", "idx", "title", "chars", "end", "file")
 
 
 def numerals(spark, d):
