@@ -8,7 +8,7 @@ from tomewright import fixed as K
 from tomewright.operators import catalog as G
 from tomewright.operators.ordered import first_of
 from tomewright.sources.tables import read_table, spread
-from tomewright.streaming.progress import progress_stream
+from tomewright.streaming.progress import progress_stream, save_stream
 
 
 def _pages(spark, d):
@@ -136,6 +136,41 @@ def progress_stream_table(spark, d):
     return G.latest_progress(spark.read.parquet(out), tie="batch")
 
 
+def saves_stream_table(spark, d):
+    """Which events of each user the throttle rule saves: a stream over the events in four stretches of time, closed by a last row."""
+    from tomewright.session import new_folder
+    land, out, check = new_folder(spark), new_folder(spark), new_folder(spark)
+    e = _saves(spark, d).withColumns({"key": F.col("key").cast("string"), "t": F.col("t").cast("timestamp")}).withColumn("us", F.unix_micros("t"))
+    a, b = e.agg(F.min("us"), F.max("us")).first()
+    if a is None:
+        a = b = 0
+    step = (b - a) // 4 + 1
+    for i in range(4):
+        e.where((F.col("us") >= a + i * step) & (F.col("us") < a + (i + 1) * step)).write.mode("append").parquet(land)
+    end = b + 2 * step + 2 * 86400 * 10 ** 6
+    spark.range(1).select(*[F.timestamp_micros(F.lit(end)).alias("t") if c == "t" else F.lit(None).cast(e.schema[c].dataType).alias(c)
+                            for c in e.columns]).write.mode("append").parquet(land)
+    source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 8).parquet(land)
+    saves = save_stream(source, every="8 hours", idle="1 day", late=f"{step} microseconds", tie="event_id")
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = saves.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", check).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(saves.schema).parquet(f"{out}/batch=*").withColumn("t", F.col("t").cast("timestamp_ntz"))
+
+
+_SV = """RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type AS unit_id, CAST(floor(value) AS INTEGER) AS pct, ts, event_id
+  FROM events),
+ g AS (SELECT *, ts - lag(ts) OVER w <= INTERVAL 1 DAY AS same FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
+ v AS (SELECT *, count(*) FILTER (same IS NOT TRUE) OVER (PARTITION BY key ORDER BY ts, event_id) AS visit FROM g),
+ f AS (SELECT key, visit, ts, min(event_id) AS event_id FROM v GROUP BY ALL),
+ nx AS (SELECT a.key, a.visit, a.ts, min(b.ts) AS nts, arg_min(b.event_id, b.ts) AS nid FROM f a JOIN f b
+   ON a.key = b.key AND a.visit = b.visit AND a.ts + INTERVAL 8 HOUR <= b.ts GROUP BY a.key, a.visit, a.ts),
+ r AS (SELECT key, visit, min(ts) AS ts, arg_min(event_id, ts) AS event_id FROM f GROUP BY key, visit
+   UNION ALL SELECT nx.key, nx.visit, nts, nid FROM r JOIN nx ON r.key = nx.key AND r.visit = nx.visit AND r.ts = nx.ts),
+ z AS (SELECT key, visit, ts, event_id FROM v QUALIFY row_number() OVER (PARTITION BY key, visit ORDER BY ts DESC, event_id DESC) = 1)"""
 _PAGES = """pg AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) AS lang,
    regexp_replace(url, '^https?://|[?#].*$', '', 'g') AS base, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t0 FROM pages),
  m AS (SELECT *, base || '/' || page_id || '.html' AS path, trim(replace(replace(replace(replace(replace(
@@ -193,5 +228,8 @@ QUERIES = {
     "latest_progress": (latest_progress, f"WITH {_EV} SELECT * FROM l"),
     "continue_reading": (continue_reading, f"WITH {_EV} SELECT * FROM l ORDER BY t DESC, key DESC LIMIT 1"),
     "event_metadata": (event_metadata, "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
+    "saves_stream_table": (saves_stream_table, f"""WITH {_SV} SELECT v.key, unit_id, pct, v.ts AS t, kind FROM v JOIN (
+      SELECT event_id, 'move' AS kind FROM r UNION ALL SELECT event_id, 'leave' FROM z WHERE event_id NOT IN (SELECT event_id FROM r))
+      USING (event_id)"""),
     "progress_stream_table": (progress_stream_table, f"WITH {_EV} SELECT * FROM l"),
 }
