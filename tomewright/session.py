@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
@@ -53,16 +54,26 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
-def release(spark: SparkSession) -> int:
-    """Remove all intermediate tables made so far; DataFrames built on them can't be read any more."""
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Remove all intermediate tables made so far (or after the first ``since``); DataFrames built on them can't be read any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
-    while _made:
+    while len(_made) > since:
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Intermediate tables made inside the block go when it ends; for jobs that run again and again."""
+    since = len(_made)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

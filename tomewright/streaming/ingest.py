@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tomewright.functions import text as T
+from tomewright.session import scratch
 from tomewright.sources.files import book_of_path, decode_books, index_files
 
 NORM_VERSION = 1        # raise it when the normal form changes; older rows are then recomputed
@@ -54,7 +55,8 @@ def ingest_stream(spark: SparkSession, landing: str, store: str, index: str, che
         touched = spark.read.parquet(f"{store}/batch={batch_id}").select("book_id").distinct()
         mine = spark.read.parquet(store).where(F.col("batch") <= batch_id).join(touched, "book_id", "left_semi")
         rows = current_text(mine).select("book_id", "name", "text")
-        index_files(rows).write.mode("overwrite").parquet(f"{index}/batch={batch_id}")
+        with scratch(spark):
+            index_files(rows).write.mode("overwrite").parquet(f"{index}/batch={batch_id}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
