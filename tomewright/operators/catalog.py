@@ -156,13 +156,17 @@ def shelf_total(cards: DataFrame, book: str = "book_key") -> DataFrame:
                    F.coalesce(F.sum("c"), F.lit(0)).alias("chapters"))
 
 
+def search_hit(q: str, book_search: str = "book") -> Column:
+    """Does the lower-case query stand in the name of the book or the search string of the card?"""
+    return F.contains(F.lower(F.col(book_search)), F.lit(q)) | F.contains(F.lower(F.col("search")), F.lit(q))
+
+
 def shelf_search(cards: DataFrame, query: str, book: str = "book_key", book_search: str = "book") -> DataFrame:
     """Cards of matching books, else matching cards; an empty query keeps everything."""
     q = query.strip().lower()
     if not q:
         return cards
-    hit = F.contains(F.lower(F.col(book_search)), F.lit(q)) | F.contains(F.lower(F.col("search")), F.lit(q))
-    return cards.where(hit)
+    return cards.where(search_hit(q, book_search))
 
 
 # -- reading progress -----------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tomewright import fixed as K
 from tomewright.operators import catalog as G
 from tomewright.operators.ordered import first_of
+from tomewright.operators.search import search_index, write_search_index
 from tomewright.sources.tables import read_table, spread
 from tomewright.streaming.progress import progress_stream, save_stream
 
@@ -104,6 +105,15 @@ def _saves(spark, d):
         F.col("ts").alias("t"), "event_id")
 
 
+def shelf_search_indexed(spark, d):
+    """Three searches through the written index."""
+    from tomewright.session import new_folder
+    path = new_folder(spark)
+    write_search_index(_cards(spark, d), path)
+    found = [search_index(spark, path, q).select(F.lit(q).alias("query"), "page_id", "book_key") for q in (" Blog ", "e/1", "9")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def latest_progress(spark, d):
     return G.latest_progress(_saves(spark, d), tie="event_id")
 
@@ -216,6 +226,9 @@ QUERIES = {
       CAST(sum(coalesce(b - a + 1, chapters)) AS BIGINT) AS chapters FROM cards"""),
     "shelf_search": (shelf_search, f"""WITH {_PAGES} SELECT page_id, book_key FROM cards
       WHERE contains(lower(book_key), 'blog') OR contains(lower(search), 'blog')"""),
+    "shelf_search_indexed": (shelf_search_indexed, f"""WITH {_PAGES} SELECT q AS query, page_id, book_key FROM cards,
+      (SELECT unnest([' Blog ', 'e/1', '9']) AS q)
+      WHERE contains(lower(book_key), lower(trim(q))) OR contains(lower(search), lower(trim(q)))"""),
     "shelf_search_titles": (shelf_search_titles, f"""WITH {_PAGES} SELECT page_id, book_key FROM cards
       WHERE contains(lower(book_key), 'the') OR contains(lower(search), 'the')"""),
     "manifest_rows": (manifest, f"WITH {_MAN} SELECT shelf_id, CAST(line_no AS BIGINT) AS line_no, kind, text, label, path FROM mi"),
