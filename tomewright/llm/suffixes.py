@@ -1,30 +1,31 @@
-"""Removal of repeated byte strings by a distributed difference-cover suffix sort.
+"""Removal of repeated byte strings by minimiser grouping.
+
+This replaces the difference-cover suffix sort, which stands in ``cover.py``
+and needs hundreds of bytes of shuffle per byte of text (README).  No suffixes
+are ranked here; equal windows meet by content.
 
 A byte goes if a string of MATCH bytes that covers it also starts earlier
-(smaller doc_id, or the same document further left).  As only the first MATCH
-bytes of a suffix matter, the suffix order is needed to that depth alone:
-
-* Cover.  Sampled positions ("anchors") are the minimisers of all MATCH-byte
-  windows: the leftmost least KMER-byte name among the window's positions.  As
-  in a difference cover, equal windows hold a sampled position at the same
-  offset; unlike one over position numbers, the sample is the same wherever the
-  text stands, so most of the corpus can be ruled out: a sampled name that
+(smaller doc_id, or the same document further left).
+
+* Sample.  Sampled positions ("anchors") are the minimisers of all MATCH-byte
+  windows: the leftmost least KMER-byte name among the window's positions.
+  Equal windows hold a sampled position at the same offset, wherever the text
+  stands, so most of the corpus can be ruled out: a sampled name that
   occurs once has no equal anywhere, and neither has any window it stands for.
 * Names.  Four-byte strings are named by their value, and names of triples of
   names (4 -> 12 -> 36 -> 100 bytes) are built by recursion.  Names are 64-bit
   hashes of content, so tasks agree on them without a global ranking.
-* Merge.  The suffixes between anchors are expressed through their anchor: they
-  travel with its context and are sorted by name next to all others of equal
-  anchor.
-* Compare.  Neighbours in the order are compared over all MATCH bytes; in a run
-  of equal ones all but the earliest are repeats.
+* Group.  Positions between anchors travel with the context of their anchor and
+  are sorted by name next to all others of equal anchor.
+* Compare.  Neighbours are compared over all MATCH bytes; in a run of equal ones
+  all but the earliest are repeats.
 
 Per position only sampled names are shuffled (about one for 35 bytes), then
 the contexts of those that occur again.  Names repeated inside a batch of texts
 are settled there and travel once.  Anchors of passages so common that their
 contexts would burden one task are found in a bounded sample of documents and
-dealt out window by window.  Every step is exact: the sample only chooses the
-way.
+dealt out window by window, and there windows count as equal if two 64-bit
+hashes are; everywhere else bytes decide.  The sample only chooses the way.
 
 Null texts are empty.  Rows sharing a doc_id count as its parts, ordered by the
 hash of their text; equal parts keep each other.  A null doc_id comes last.
