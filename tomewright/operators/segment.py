@@ -67,7 +67,7 @@ def _last_volume(body: Column, loose: bool) -> Column:
     """Title of the last volume line inside one chapter body."""
     found = F.filter(F.transform(T.lines_of(body), T.ustrip),
                      lambda s: F.coalesce(T.heading_kind(s, loose) == "volume", F.lit(False)))
-    return F.when(body.rlike(r"第[^\n]{0,20}[卷部篇]"),
+    return F.when(body.rlike(rf"第[^\n]{{0,{K.MAX_HEADING_CHARS}}}[卷部篇]"),
                   T.let(F.try_element_at(found, F.lit(-1)), lambda s: T.heading(s, loose)["title"]))
 
 
@@ -89,10 +89,7 @@ def split_chapters(books: DataFrame, pattern: str | None = None, chunk_size: int
         title = T.heading(head, loose_numbered)["title"]
         volume = _last_volume(F.col("body"), loose_numbered)
     else:
-        rx = K.U + f"^(?:{pattern})"
-        groups = _group_count(pattern)
-        title = F.coalesce(*[F.nullif(T.ustrip(T.group(head, rx, i + 1)), F.lit("")) for i in range(groups)],
-                           head)
+        title = custom_title(head, pattern)
         volume = F.lit(None).cast("string")
     before, after = K.CHUNK_TITLE.split("{}")
     chunk_title = F.concat(F.lit(before), F.col("idx").cast("string"), F.lit(after))
@@ -112,9 +109,12 @@ def split_chapters(books: DataFrame, pattern: str | None = None, chunk_size: int
     return out if with_preamble else out.where("idx > 0")
 
 
-def _group_count(pattern: str) -> int:
+def custom_title(head: Column, pattern: str) -> Column:
+    """First non-empty group of ``pattern`` in a stripped heading line, else the line."""
     import re
-    return re.compile(pattern).groups
+    rx = K.U + f"^(?:{pattern})"
+    groups = re.compile(pattern).groups
+    return F.coalesce(*[F.nullif(T.ustrip(T.group(head, rx, i + 1)), F.lit("")) for i in range(groups)], head)
 
 
 def chapter_text(books: DataFrame, pattern: str | None = None, chunk_size: int = K.CHUNK_CHARS,

@@ -59,18 +59,25 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def raw_books(spark: SparkSession, d: str) -> DataFrame:
-    """Each document as a raw book (book_id = doc_id): a chapter heading before every fourth line, some volumes."""
+def _with_headings(docs: DataFrame) -> DataFrame:
+    """A chapter heading before every fourth line of ``text``, some volumes."""
     def rule(l, i):
         return (F.when(i % 4 == 0, F.concat(F.lit("第"), _s((i / 4).cast("int") + 1), F.lit("章 题/"), _s(i), F.lit("\n"), l))
                 .when(i % 20 == 10, F.concat(F.lit("第"), _s((i / 20).cast("int") + 1), F.lit("卷 风\n"), l))
                 .otherwise(l))
-    return _rewrite(documents(spark, d).select(F.col("doc_id").alias("book_id"), "text"), rule)
+    return _rewrite(docs, rule)
+
 
+def raw_books(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as a raw book (book_id = doc_id)."""
+    return _with_headings(documents(spark, d).select(F.col("doc_id").alias("book_id"), "text"))
 
-RAW = LN + """,
+
+RAW_TEXT = LN + """,
 rw AS (SELECT doc_id AS book_id, string_agg(CASE WHEN i % 4 = 0 THEN '第' || (i // 4 + 1) || '章 题/' || i || chr(10)
-  WHEN i % 20 = 10 THEN '第' || (i // 20 + 1) || '卷 风' || chr(10) ELSE '' END || l, chr(10) ORDER BY i) AS t FROM ln GROUP BY doc_id),
+  WHEN i % 20 = 10 THEN '第' || (i // 20 + 1) || '卷 风' || chr(10) ELSE '' END || l, chr(10) ORDER BY i) AS t FROM ln GROUP BY doc_id)"""
+
+CHAPTERS = """,
 raw AS (SELECT book_id, unnest(string_split(t, chr(10))) AS h,
   CAST(generate_subscripts(string_split(t, chr(10)), 1) - 1 AS BIGINT) AS i FROM rw),
 raws AS (SELECT *, regexp_replace(h, '^\\s+|\\s+$', '', 'g') AS s,
@@ -108,6 +115,17 @@ chunks AS (SELECT t.book_id, CAST(g.p // 8000 + 1 AS BIGINT) AS idx,
   FROM txt t, LATERAL (SELECT unnest(generate_series(0, length(t.text) - 1, 8000)) AS p) g
   WHERE t.book_id NOT IN (SELECT book_id FROM chs WHERE n >= 2)),
 chapters AS (SELECT * FROM good UNION ALL SELECT * FROM chunks)"""
+RAW = RAW_TEXT + CHAPTERS
+
+
+def books_in_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Each source as one book whose parts are its raw books, in the order of their ids and with nothing between them."""
+    return _with_headings(documents(spark, d).select(F.coalesce("source", F.lit("")).alias("book_id"), F.col("doc_id").alias("part_no"), "text"))
+
+
+IN_PARTS = RAW_TEXT.replace("rw AS", "one AS") + """,
+rw AS (SELECT coalesce(d.source, '') AS book_id, string_agg(o.t, '' ORDER BY o.book_id) AS t
+  FROM one o JOIN documents d ON d.doc_id = o.book_id GROUP BY 1)"""
 
 
 def digests(spark: SparkSession, d: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tomewright.functions import text as T
+from tomewright.operators import parts as P
 from tomewright.operators import segment as S
-from tomewright.queries.base import LN, RAW, documents, raw_books
+from tomewright.queries.base import CHAPTERS, IN_PARTS, LN, RAW, books_in_parts, documents, raw_books
 from tomewright.sources.files import decode_books, encoding_census, index_files
 from tomewright.sources.tables import read_table, spread
 
@@ -28,6 +29,21 @@ def chapter_bodies(spark, d):
         "book_id", F.col("idx").cast("long").alias("idx"), F.md5(F.col("text").cast("binary")).alias("body"))
 
 
+def chapters_of_parts(spark, d):
+    """Whole sources as books, documents as their parts: the last line of one is cut from the first of the next."""
+    return P.split_parts(books_in_parts(spark, d)).withColumn("idx", F.col("idx").cast("long"))
+
+
+def bodies_of_parts(spark, d):
+    parts = books_in_parts(spark, d)
+    return P.text_of_parts(parts, P.split_parts(parts)).select(
+        "book_id", F.col("idx").cast("long").alias("idx"), F.md5(F.col("text").cast("binary")).alias("body"))
+
+
+def lines_of_parts(spark, d):
+    return P.lines_of_parts(books_in_parts(spark, d)).select("book_id", "line_no", "start", F.md5(F.col("line").cast("binary")).alias("line"))
+
+
 def custom_pattern_split(spark, d):
     books = documents(spark, d).select(F.col("doc_id").alias("book_id"), "text")
     c = S.split_chapters(books, pattern="([A-Z][a-z]+) [a-z]+[.]$", chunk_size=8000)
@@ -125,6 +141,10 @@ QUERIES = {
     "chapters_from_headings": (chapters_from_headings, f"""WITH {RAW}
       SELECT book_id, idx, title, chars, start, "end", volume, fallback FROM chapters"""),
     "chapter_bodies": (chapter_bodies, f"""WITH {RAW} SELECT book_id, idx, md5(body) AS body FROM chapters"""),
+    "chapters_of_parts": (chapters_of_parts, f"""WITH {IN_PARTS} {CHAPTERS}
+      SELECT book_id, idx, title, chars, start, "end", volume, fallback FROM chapters"""),
+    "bodies_of_parts": (bodies_of_parts, f"""WITH {IN_PARTS} {CHAPTERS} SELECT book_id, idx, md5(body) AS body FROM chapters"""),
+    "lines_of_parts": (lines_of_parts, f"""WITH {IN_PARTS} {CHAPTERS} SELECT book_id, i AS line_no, start, md5(h) AS line FROM raws"""),
     "custom_pattern_split": (custom_pattern_split, f"""WITH {LN},
       pos AS (SELECT doc_id, i, regexp_replace(l, '^\\s+|\\s+$', '', 'g') AS s, CAST(coalesce(sum(length(l) + 1)
         OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
