@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tomewright.operators import digest as D
 from tomewright.operators import parts as P
 from tomewright.operators import segment as S
 
@@ -76,3 +77,28 @@ def test_nulls_repeats_and_other_columns(spark):
 def test_no_rows(spark):
     parts = spark.createDataFrame([], "book_id string, part_no long, text string")
     assert P.split_parts(parts).isEmpty() and P.lines_of_parts(parts).isEmpty() and P.text_of_parts(parts, P.split_parts(parts)).isEmpty()
+
+
+DIGEST = ["## 单元1｜起（第1–6章）\n", "## 单元 2\n", "## 附录\n", "# 题\n", "### 小\n", "- **第3章（详） 甲**：乙\n", "- **第1–2章（略）**：丙\n", "- 点\n", "1. 一\n",
+          "**【原文·第4章 甲】**\n", "> 引\n", "> 二\n", "\n", "\n", "文字\n", "| a | b |\n", "---\n", "**【重要】**\n", "**【过渡】**\n",
+          "- **第5章 甲**：文\n", "- **乙（第1-2章）**：文\n", "  ", "尾"]
+
+
+def digest_tables(spark, seed):
+    rng = random.Random(seed)
+    books = {f"d{i}": "".join(rng.choice(DIGEST) for _ in range(rng.randint(0, 70))) for i in range(30)}
+    rows = [(b, i, s) for b, text in books.items() for i, s in enumerate(cut(rng, text, 15))]
+    return (spark.createDataFrame(list(books.items()), "book_id string, text string"),
+            spark.createDataFrame(rows, "book_id string, part_no long, text string"))
+
+
+@pytest.mark.parametrize("bits", [16, 7])
+def test_digest_blocks(spark, bits):
+    books, parts = digest_tables(spark, bits)
+    same(P.blocks_of_parts(parts, bits), D.digest_blocks(books, ["book_id"]))
+
+
+@pytest.mark.parametrize("bits", [16, 7])
+def test_unit_parts(spark, bits):
+    books, parts = digest_tables(spark, bits + 1)
+    same(P.units_of_parts(parts, bits), D.unit_parts(books, ["book_id"]))

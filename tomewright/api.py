@@ -16,7 +16,8 @@ from tomewright.operators.digest import (attach_slices, audit_order, block_entri
 from tomewright.operators.entities import (first_mentions, linkable, mentions, merge_aliases, people,  # noqa: F401
                                            people_index, people_warnings, table_aliases, unlinked_people)
 from tomewright.operators.ordered import locate_in_spans, ordered_scan, runs  # noqa: F401
-from tomewright.operators.parts import lines_of_parts, split_parts, text_of_parts, whole_lines  # noqa: F401
+from tomewright.operators.parts import (blocks_of_parts, lines_of_parts, split_parts, text_of_parts,  # noqa: F401
+                                        units_of_parts, whole_lines)
 from tomewright.operators.passages import (find_passages, find_segments, flat_blocks, flat_spans,  # noqa: F401
                                            text_blocks)
 from tomewright.operators.quotes import (extract_slices, quality_gate, slice_collection, slice_issues,  # noqa: F401

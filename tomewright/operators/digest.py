@@ -41,16 +41,33 @@ def digest_blocks(docs: DataFrame, keys: list[str]) -> DataFrame:
     ln = digest_lines(docs, keys).withColumn("kind", line_kind(F.col("line"), F.col("s")))
     w = Window.partitionBy(*keys).orderBy("line_no")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    ln = ln.withColumns({
-        "_prev": F.lag("kind").over(w),
-        "_owner": F.last(F.when(~F.col("kind").isin("blank", "quote"), F.col("kind")), True).over(upto)})
-    cont = (F.col("kind") == "quote") & (F.col("_owner") == "slice")
-    starts = ((F.col("kind") != "blank") & ~F.coalesce(cont, F.lit(False))
-              & (F.col("kind").isin("slice", "h", "hr") | F.coalesce(F.col("_prev") != F.col("kind"), F.lit(True))))
-    ln = (ln.withColumn("block_no", F.sum(starts.cast("long")).over(upto))
-          .where("kind <> 'blank'"))
+    ln = ln.withColumns({"_prev": F.lag("kind").over(w), "_owner": F.last(block_owner(), True).over(upto)})
+    blocks = blocks_of_lines(ln.withColumn("block_no", F.sum(block_starts().cast("long")).over(upto)), keys)
+    bw = Window.partitionBy(*keys).orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
+    h2 = (F.col("kind") == "h") & (F.col("level") == 2)
+    return blocks.withColumn("bucket_no", F.sum(F.when(h2, 1).otherwise(0)).over(bw))
+
+
+def block_owner() -> Column:
+    """Class of a line that later quote lines may belong to, else null."""
+    return F.when(~F.col("kind").isin("blank", "quote"), F.col("kind"))
+
+
+def _continues() -> Column:
+    return F.coalesce((F.col("kind") == "quote") & (F.col("_owner") == "slice"), F.lit(False))
+
+
+def block_starts() -> Column:
+    """Whether a line (kind, _prev, _owner) opens a block."""
+    return ((F.col("kind") != "blank") & ~_continues()
+            & (F.col("kind").isin("slice", "h", "hr") | F.coalesce(F.col("_prev") != F.col("kind"), F.lit(True))))
+
+
+def blocks_of_lines(ln: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks, without their bucket, of lines (keys, line_no, line, s, kind, _prev, _owner, block_no)."""
+    ln = ln.where("kind <> 'blank'")
     body = F.when(F.col("kind") == "quote", _quote_body(F.col("line"))).otherwise(F.col("s"))
-    gap = F.coalesce(cont, F.lit(False)) & (F.col("_prev") == "blank")
+    gap = _continues() & (F.col("_prev") == "blank")
     b = ln.groupBy(*keys, "block_no").agg(
         F.min("line_no").alias("line_no"), F.min_by("kind", "line_no").alias("kind"),
         F.min_by("s", "line_no").alias("_head"),
@@ -67,14 +84,11 @@ def digest_blocks(docs: DataFrame, keys: list[str]) -> DataFrame:
     text = (F.when(k == "h", T.ustrip(F.substring(F.col("_head"), F.length(marks) + 1, F.length("_head"))))
             .when(k == "slice", F.array_join(quoted, "\n"))
             .when(k.isin("p", "quote"), F.array_join(all_lines, "\n")))
-    blocks = b.select(
+    return b.select(
         *keys, "block_no", "line_no", "kind", F.when(k == "h", F.length(marks)).alias("level"),
         text.alias("text"), items.alias("items"), F.when(k == "table", cells).alias("rows"),
         F.when(k == "slice", T.ustrip(F.regexp_extract("_head", K.SLICE_MARKER_LINE, 1))).alias("chapter"),
         F.when(k == "slice", T.ustrip(F.regexp_extract("_head", K.SLICE_MARKER_LINE, 2))).alias("label"))
-    bw = Window.partitionBy(*keys).orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
-    h2 = (F.col("kind") == "h") & (F.col("level") == 2)
-    return blocks.withColumn("bucket_no", F.sum(F.when(h2, 1).otherwise(0)).over(bw))
 
 
 def units(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -223,7 +237,16 @@ def unit_parts(docs: DataFrame, keys: list[str]) -> DataFrame:
     """
     ln = digest_lines(docs, keys)
     doc = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    ln = ln.withColumn("unit_no", F.sum(F.when(F.col("line").rlike(K.UNIT_LINE), 1).otherwise(0)).over(doc))
+    return parts_of_units(ln.withColumn("unit_no", F.sum(opens_unit()).over(doc)), keys)
+
+
+def opens_unit() -> Column:
+    """1 for a line that heads a unit, else 0."""
+    return F.when(F.col("line").rlike(K.UNIT_LINE), 1).otherwise(0)
+
+
+def parts_of_units(ln: DataFrame, keys: list[str]) -> DataFrame:
+    """``unit_parts`` of numbered lines (keys, line_no, line, s, unit_no); a unit is one window group."""
     s = F.col("s")
     kind = (F.when(F.col("line").rlike(K.UNIT_LINE), "head")
             .when(F.col("unit_no") == 0, F.when(s == "", "blank").otherwise("other"))
@@ -284,8 +307,12 @@ def unit_parts(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 def entries(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Entries of every unit with their sort key (first chapter, detailed before brief, source order)."""
-    e = unit_parts(docs, keys).where("part = 'entry'")
-    return e.withColumns({
+    return sorted_entries(unit_parts(docs, keys))
+
+
+def sorted_entries(parts: DataFrame) -> DataFrame:
+    """The entries of a ``unit_parts`` table with their sort key."""
+    return parts.where("part = 'entry'").withColumns({
         "min_ch": F.coalesce(F.array_min("nums"), F.lit(K.NO_CHAPTER)).cast("long"),
         "brief": (F.coalesce(F.col("level"), F.lit("")) != K.LEVEL_KEY).cast("int")})
 

@@ -1,4 +1,4 @@
-"""Books stored in parts: no row ever holds a whole book.
+"""Books and digests stored in parts: no row ever holds a whole one.
 
 A part is a row (book_id, part_no, text); a book is the text of its parts in
 the order of ``part_no``, cut anywhere, also inside a line.  Every part is
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tomewright import fixed as K
 from tomewright.functions import text as T
+from tomewright.operators import digest as D
 from tomewright.operators.ordered import BLOCK_BITS, ordered_scan
 from tomewright.operators.segment import _MARK, custom_title
 from tomewright.session import cut_lineage
@@ -225,3 +226,38 @@ def lines_of_parts(parts: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     cut = cut.select("book_id", "line_no", "start", "ls", T.sums_before(F.transform("ls", lambda x: F.length(x) + 1)).alias("ss"))
     return (cut.select("book_id", "line_no", "start", F.posexplode_outer(F.arrays_zip("ls", "ss")).alias("i", "r")).where("i is not null")
             .select("book_id", (F.col("line_no") + F.col("i")).alias("line_no"), F.col("r.ls").alias("line"), (F.col("start") + F.col("r.ss")).alias("start")))
+
+
+def _digest_lines(parts: DataFrame, bits: int) -> DataFrame:
+    return lines_of_parts(parts, bits).select("book_id", "line_no", "line").withColumn("s", T.ustrip(F.col("line")))
+
+
+def blocks_of_parts(parts: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Block table of digests in parts, keyed by book_id; equals ``digest_blocks`` of the whole digests.
+
+    Line classes are carried on by ordered scans; a line and a block must fit a
+    task, a digest need not.  Nulls and repeated numbers as in ``split_parts``.
+    """
+    key = ["book_id"]
+    ln = cut_lineage(_digest_lines(parts, bits).withColumn("kind", D.line_kind(F.col("line"), F.col("s"))))
+    near = ordered_scan(ln, key, "line_no", bits=bits, written=True, behind={"_prev": F.col("kind")}, carry={"_owner": D.block_owner()})
+    near = cut_lineage(near.withColumn("_owner", F.coalesce(D.block_owner(), "_owner")))
+    starts, second = D.block_starts().cast("long"), F.col("s").rlike("^##(?!#)").cast("long")
+    second = F.when(F.col("kind") == "h", second).otherwise(F.lit(0).cast("long"))      # a heading is a block of one line
+    near = near.withColumns({"_starts": starts, "_h2": second})
+    placed = ordered_scan(near, key, "line_no", bits=bits, total={"_b": F.col("_starts"), "_h": F.col("_h2")})
+    placed = cut_lineage(placed.withColumns({"block_no": F.col("_b") + F.col("_starts"), "bucket_no": F.col("_h") + F.col("_h2")}))
+    # all lines of a block have its bucket, so it travels in the key
+    out = D.blocks_of_lines(placed, [*key, "bucket_no"])
+    return out.select("book_id", *[c for c in out.columns if c not in ("book_id", "bucket_no")], "bucket_no")
+
+
+def units_of_parts(parts: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Unit parts of digests in parts, keyed by book_id; equals ``unit_parts`` of the whole digests.
+
+    Units are numbered by an ordered scan over all lines; a unit must fit a
+    task, a digest need not.
+    """
+    ln = cut_lineage(_digest_lines(parts, bits).withColumn("_opens", D.opens_unit().cast("long")))
+    placed = ordered_scan(ln, ["book_id"], "line_no", bits=bits, written=True, total={"_u": F.col("_opens")})
+    return D.parts_of_units(placed.withColumn("unit_no", F.col("_u") + F.col("_opens")).drop("_u", "_opens"), ["book_id"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tomewright.functions import text as T
 from tomewright.operators import anchors as A
 from tomewright.operators import digest as D
+from tomewright.operators import parts as P
 from tomewright.operators import segment as S
 from tomewright.queries.base import DG, IX, LN, digests, documents, index, old_digests
 from tomewright.queries.splitting import AD
@@ -32,6 +33,24 @@ def digest_blocks(spark, d):
                     F.col("bucket_no").cast("long").alias("bucket_no"))
 
 
+def _in_parts(docs):
+    """Whole digests keyed by their document, cut every 997 characters wherever that falls."""
+    cut = docs.select(F.col("doc_id").alias("book_id"), F.regexp_extract_all("text", F.lit("(?s).{1,997}"), F.lit(0)).alias("ps"))
+    return cut.select("book_id", F.posexplode_outer("ps").alias("part_no", "text"))
+
+
+def digest_blocks_of_parts(spark, d):
+    b = P.blocks_of_parts(_in_parts(digests(spark, d)))
+    return b.select(F.col("book_id").alias("doc_id"), "block_no", "line_no", "kind", "level", "text",
+                    F.when(F.col("kind") == "ul", F.size("items")).cast("long").alias("n_items"), "chapter", "bucket_no")
+
+
+def entries_of_parts(spark, d):
+    e = D.sorted_entries(P.units_of_parts(_in_parts(old_digests(spark, d))))
+    return e.select(F.col("book_id").alias("doc_id"), "unit_no", F.col("opener").cast("long").alias("opener"),
+                    "level", "title", "chpart", "min_ch", F.size("nums").cast("long").alias("n_chapters"))
+
+
 def digest_units(spark, d):
     return _long(D.units(D.digest_blocks(digests(spark, d), KEYS), KEYS), "bucket_no", "num")
 
@@ -224,3 +243,6 @@ QUERIES = {
       SELECT d.source AS book_id, d.doc_id, units, least(hi, n) AS chapters, coalesce(people, 0) AS people
       FROM documents d JOIN u USING (doc_id) JOIN n ON n.book_id = d.source LEFT JOIN p ON p.book_id = d.source"""),
 }
+# the same tables whether a digest is one row or many
+for _whole, _cut in (("digest_blocks", digest_blocks_of_parts), ("entries_sorted", entries_of_parts)):
+    QUERIES[_cut.__name__] = (_cut, f"SELECT * EXCLUDE (book_id) FROM ({QUERIES[_whole][1]})")
