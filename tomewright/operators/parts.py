@@ -228,8 +228,11 @@ def lines_of_parts(parts: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
             .select("book_id", (F.col("line_no") + F.col("i")).alias("line_no"), F.col("r.ls").alias("line"), (F.col("start") + F.col("r.ss")).alias("start")))
 
 
-def _digest_lines(parts: DataFrame, bits: int) -> DataFrame:
-    return lines_of_parts(parts, bits).select("book_id", "line_no", "line").withColumn("s", T.ustrip(F.col("line")))
+def _scanned(lines: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Lines (written) with what scans over their narrow columns have found; the text is moved by this join alone."""
+    found = narrow.withColumnsRenamed({"book_id": "_b", "line_no": "_l"})
+    return (lines.join(found, F.col("book_id").eqNullSafe(F.col("_b")) & (F.col("line_no") == F.col("_l"))).drop("_b", "_l")
+            .withColumn("s", T.ustrip(F.col("line"))))
 
 
 def blocks_of_parts(parts: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
@@ -239,16 +242,18 @@ def blocks_of_parts(parts: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     task, a digest need not.  Nulls and repeated numbers as in ``split_parts``.
     """
     key = ["book_id"]
-    ln = cut_lineage(_digest_lines(parts, bits).withColumn("kind", D.line_kind(F.col("line"), F.col("s"))))
-    near = ordered_scan(ln, key, "line_no", bits=bits, written=True, behind={"_prev": F.col("kind")}, carry={"_owner": D.block_owner()})
-    near = cut_lineage(near.withColumn("_owner", F.coalesce(D.block_owner(), "_owner")))
-    starts, second = D.block_starts().cast("long"), F.col("s").rlike("^##(?!#)").cast("long")
-    second = F.when(F.col("kind") == "h", second).otherwise(F.lit(0).cast("long"))      # a heading is a block of one line
-    near = near.withColumns({"_starts": starts, "_h2": second})
-    placed = ordered_scan(near, key, "line_no", bits=bits, total={"_b": F.col("_starts"), "_h": F.col("_h2")})
-    placed = cut_lineage(placed.withColumns({"block_no": F.col("_b") + F.col("_starts"), "bucket_no": F.col("_h") + F.col("_h2")}))
+    lines = cut_lineage(lines_of_parts(parts, bits).select("book_id", "line_no", "line"))
+    s = T.ustrip(F.col("line"))
+    kinds = lines.select("book_id", "line_no", D.line_kind(F.col("line"), s).alias("kind"), s.rlike("^##(?!#)").alias("_two"))
+    near = ordered_scan(kinds, key, "line_no", bits=bits, behind={"_prev": F.col("kind")}, carry={"_owner": D.block_owner()})
+    near = near.withColumn("_owner", F.coalesce(D.block_owner(), "_owner"))
+    # a heading is a block of one line
+    near = cut_lineage(near.select("*", D.block_starts().cast("long").alias("_starts"), (F.col("_two") & (F.col("kind") == "h")).cast("long").alias("_h2")))
+    placed = ordered_scan(near, key, "line_no", bits=bits, written=True, total={"_b": F.col("_starts"), "_h": F.col("_h2")})
+    placed = placed.where("kind <> 'blank'").select("book_id", "line_no", "kind", "_prev", "_owner", (F.col("_b") + F.col("_starts")).alias("block_no"),
+                                                    (F.col("_h") + F.col("_h2")).alias("bucket_no"))
     # all lines of a block have its bucket, so it travels in the key
-    out = D.blocks_of_lines(placed, [*key, "bucket_no"])
+    out = D.blocks_of_lines(_scanned(lines, placed), [*key, "bucket_no"])
     return out.select("book_id", *[c for c in out.columns if c not in ("book_id", "bucket_no")], "bucket_no")
 
 
@@ -258,6 +263,8 @@ def units_of_parts(parts: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     Units are numbered by an ordered scan over all lines; a unit must fit a
     task, a digest need not.
     """
-    ln = cut_lineage(_digest_lines(parts, bits).withColumn("_opens", D.opens_unit().cast("long")))
-    placed = ordered_scan(ln, ["book_id"], "line_no", bits=bits, written=True, total={"_u": F.col("_opens")})
-    return D.parts_of_units(placed.withColumn("unit_no", F.col("_u") + F.col("_opens")).drop("_u", "_opens"), ["book_id"])
+    lines = cut_lineage(lines_of_parts(parts, bits).select("book_id", "line_no", "line"))
+    opens = lines.select("book_id", "line_no", D.opens_unit().cast("long").alias("_opens"))
+    placed = ordered_scan(opens, ["book_id"], "line_no", bits=bits, total={"_u": F.col("_opens")})
+    placed = placed.select("book_id", "line_no", (F.col("_u") + F.col("_opens")).alias("unit_no"))
+    return D.parts_of_units(_scanned(lines, placed), ["book_id"])
