@@ -26,6 +26,8 @@ CHUNK = 1024            # longer passages are matched chunk by chunk
 BROADCAST_PROBES = 500_000
 BROADCAST_CHARS = 1 << 25       # characters of all broadcast passages together
 BROADCAST_SPANS = 500_000
+SPAN_SHARDS = 4                 # broadcast shards of spans; more are joined by shuffle
+SCOPED_SHARDS = 64              # shards of passages that stream past their own scopes
 
 
 def _overlapping(block: int, overlap: int) -> str:
@@ -60,11 +62,21 @@ def flat_blocks(chapter_text: DataFrame, spans: DataFrame, broadcast_spans: int
     written once and reused for every audit of the same text.
 
     ``spans`` (narrow; best a written table) is counted: few are broadcast, so
-    the text moves once, to its block; many are joined by shuffle.
+    the text moves once, to its block; up to SPAN_SHARDS times as many are
+    broadcast in shards, each met by its share of the chapters; more are joined
+    by shuffle.
     """
-    few = spans.count() <= broadcast_spans
-    t = (chapter_text.select("book_id", F.col("idx").cast("long").alias("idx"), "norm")
-         .join(F.broadcast(spans) if few else spans, ["book_id", "idx"]).where("norm_end > norm_start"))
+    shards = math.ceil(spans.count() / broadcast_spans) if broadcast_spans else SPAN_SHARDS + 1
+    texts = chapter_text.select("book_id", F.col("idx").cast("long").alias("idx"), "norm")
+    at = ["book_id", "idx"]
+    if shards > SPAN_SHARDS:
+        t = texts.join(spans, at)
+    else:
+        own = lambda df, k: df if shards < 2 else df.where(F.pmod(F.xxhash64(*at), F.lit(shards)) == k)
+        t = own(texts, 0).join(F.broadcast(own(spans, 0)), at)
+        for k in range(1, shards):
+            t = t.unionByName(own(texts, k).join(F.broadcast(own(spans, k)), at))
+    t = t.where("norm_end > norm_start")
     first = (F.lit(BLOCK) - F.col("norm_start") % BLOCK).cast("int")
     rest = F.substring(F.col("norm"), first + 1, F.length("norm"))
     cut = F.concat(F.array(F.substring(F.col("norm"), F.lit(1), first)),
@@ -101,6 +113,24 @@ def _chunks(segments: DataFrame, keys: list[str], seg: str) -> DataFrame:
     return rows
 
 
+def _scoped_shards(chunks: DataFrame, blocks: DataFrame, scope: list[str], shards: int, most: int):
+    """(passages, blocks) per shard: passages in the order of their scopes, blocks of the scopes between its first and its last."""
+    dealt = cut_lineage(chunks.where(" and ".join(f"`{s}` is not null" for s in scope)).repartitionByRange(8 * shards, *scope, F.xxhash64("chunk"))
+                        .withColumn("_part", F.spark_partition_id()))
+    first = scope[0]
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("chars"),
+                                       F.min(first).alias("a"), F.max(first).alias("b")).orderBy("_part").collect()
+    groups: list[list] = []
+    for p in parts:                                 # neighbours are put together up to the bounds of a broadcast
+        if groups and sum(q["n"] for q in groups[-1]) + p["n"] <= most and sum(q["chars"] for q in groups[-1]) + p["chars"] <= BROADCAST_CHARS:
+            groups[-1].append(p)
+        else:
+            groups.append([p])
+    for g in groups or [[]]:
+        own = dealt.where(F.col("_part").between(g[0]["_part"], g[-1]["_part"]) if g else F.lit(False)).drop("_part")
+        yield own, blocks.where(F.col(first).between(g[0]["a"], g[-1]["b"])) if g else blocks.limit(0)
+
+
 def find_segments(blocks: DataFrame, segments: DataFrame, keys: Sequence[str], place: Sequence[str],
                   scope: Sequence[str] = (), seg: str = "seg",
                   broadcast_probes: int = BROADCAST_PROBES, index: FP.PassageIndex | None = None) -> DataFrame:
@@ -109,9 +139,12 @@ def find_segments(blocks: DataFrame, segments: DataFrame, keys: Sequence[str], p
     ``scope`` columns (a subset of place that also exists in ``segments``)
     restrict the search.  Empty passages occur nowhere.  The passages are
     counted: up to ``broadcast_probes`` (and BROADCAST_CHARS) are broadcast and
-    the corpus is streamed once, never shuffled.  More are joined with the
-    fingerprints of the corpus, those of ``index`` if given; passages too short
-    to have any go by in shards of that size, one pass over the corpus each.
+    the corpus is streamed once, never shuffled.  More that have a scope go by
+    in shards of that size, ordered by scope, and each shard meets the texts of
+    its own scopes only (``blocks`` should be a written table).  Others, and
+    those of over SCOPED_SHARDS shards, are joined with the fingerprints of the
+    corpus, those of ``index`` if given; passages too short to have any go by
+    in shards of that size, one pass over the corpus each.
     """
     keys, place, scope = list(keys), list(place), list(scope)
     carried = keys + [s for s in scope if s not in keys]
@@ -122,13 +155,18 @@ def find_segments(blocks: DataFrame, segments: DataFrame, keys: Sequence[str], p
                    F.count_if(brief).alias("short")).first()
     shards = max(math.ceil(n["n"] / max(broadcast_probes, 1)), math.ceil((n["chars"] or 0) / BROADCAST_CHARS), 1)
 
-    def streamed(mine: DataFrame) -> DataFrame:
+    def streamed(mine: DataFrame, blocks: DataFrame = blocks) -> DataFrame:
         passed = [*keys, *([] if (n["most"] or 1) == 1 else ["n_chunks", "off"])]
         probes = FP.Probes(mine.select(*dict.fromkeys([*passed, *scope, "chunk"])).toArrow(), scope, "chunk", passed)
         fields = [mine.schema[c] for c in passed] + [blocks.schema[p] for p in place if p not in passed] + [StructField("pos", LongType())]
         return FP.scan(blocks, probes, place, scope, BLOCK, StructType([StructField(f.name, f.dataType) for f in fields]))
     if index is None and shards == 1 and broadcast_probes:
         hit = streamed(chunks)
+    elif index is None and scope and broadcast_probes and shards <= SCOPED_SHARDS:
+        hit = None
+        for mine, near in _scoped_shards(chunks, blocks, scope, shards, broadcast_probes):
+            found = cut_lineage(streamed(mine, near))       # one shard of passages is held at a time
+            hit = found if hit is None else hit.unionByName(found)
     else:
         chunks = cut_lineage(chunks.withColumn("id", F.monotonically_increasing_id()))
         if index is None:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tomewright import fixed as K
 from tomewright.functions import text as T
-from tomewright.operators.ordered import first_of, locate_in_spans
+from tomewright.operators.ordered import first_of, locate_in_spans, ordered_scan
 from tomewright.operators.passages import BROADCAST_PROBES, find_segments, flat_blocks, flat_spans
 from tomewright.session import cut_lineage
 
+INLINE = 16             # occurrences per segment, on average, that go to their slices
+
 _IN = K.WS_INLINE
 _MARK_AHEAD = "(?Udm)" + rf"^(?={_IN}*(?:\*\*)?{_IN}*【原文{_IN}*[·・:：]?{_IN}*[^】\n]*】)"
 _QUOTE_LINE = rf"{_IN}*>[^\n]*(?:\n|\z)"
@@ -111,15 +113,83 @@ def locate_in_order(occurrences: DataFrame, segments: DataFrame, keys: list[str]
     segment and read once as a stream, so a common short piece costs sorting
     (which spills) but no memory.
     """
+    return _in_order(occurrences, segments.withColumn("len", F.length("seg")), keys)
+
+
+def _in_order(occurrences: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
     typed = lambda pos, length: [*keys, F.col("seg_no").cast("int").alias("seg_no"), pos.cast("long").alias("pos"),
                                  length.cast("long").alias("len")]
     rows = occurrences.select(*typed(F.col("pos"), F.lit(None))).unionByName(
-        segments.select(*typed(F.lit(-1), F.length("seg"))))
+        segments.select(*typed(F.lit(-1), F.col("len"))))
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, "seg_no", "pos")
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     return rows.mapInPandas(_first_behind(len(keys)), f"{kinds}, seg_no int, pos long, out_of_order boolean")
 
 
+def _after(asked: DataFrame, occ: DataFrame) -> DataFrame:
+    """``asked`` (piece, cursor, ..) with ``next``: the first occurrence (piece, pos) of the piece at or behind the cursor."""
+    extra = [c for c in asked.columns if c not in ("piece", "cursor")]
+    rows = asked.select("piece", (-F.col("cursor")).alias("_o"), F.lit(1).alias("_q"), F.lit(None).cast("long").alias("_pos"),
+                        F.struct("cursor", *extra).alias("_r"))
+    there = occ.join(asked.select("piece").distinct(), "piece", "left_semi")
+    rows = rows.unionByName(there.select("piece", (-F.col("pos")).alias("_o"), F.lit(0).alias("_q"), F.col("pos").alias("_pos"),
+                                         F.lit(None).cast(rows.schema["_r"].dataType).alias("_r")))
+    # from the end of the book: what was seen last is what comes next
+    seen = ordered_scan(rows, ["piece"], "_o", carry={"next": F.col("_pos")}, ties=["_q"]).where("_q = 1")
+    return seen.select("piece", "_r.*", "next")
+
+
+def locate_pieces(segments: DataFrame, occ: DataFrame, keys: list[str], inline: int = INLINE) -> DataFrame:
+    """``locate_in_order`` for slices that share their pieces: keys, seg_no, pos, out_of_order.
+
+    ``segments`` (a written table) holds keys, seg_no, piece (null: occurs
+    nowhere), len; ``occ`` the occurrences (piece, pos) of every distinct piece,
+    once however many slices quote it.  The first segment takes the first
+    occurrence of its piece.  After that all slices ask together, one scan
+    ordered by piece and position per segment number, until the occurrences of
+    the pieces still to be placed are few (on average ``inline`` for each);
+    those go to their slices and are read as a stream.
+    """
+    segs = segments.where(" and ".join(f"`{k}` is not null" for k in keys))
+    per = occ.groupBy("piece").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_first"))
+    segs = cut_lineage(segs.groupBy(*keys, "seg_no").agg(F.min("piece").alias("piece"), F.min("len").cast("long").alias("len"),
+                                                         F.count(F.lit(1)).alias("_rows"))
+                       .join(per, "piece", "left")
+                       # rows that repeat a key: no earlier occurrence is taken for them
+                       .withColumn("_else", F.when(F.col("_rows") > 1, F.lit(-1).cast("long")).otherwise(F.col("_first"))))
+    found, state, k = [], None, 0
+    while True:
+        rest = segs.where(F.col("seg_no") >= k).agg(F.count(F.lit(1)).alias("segs"), F.sum("_n").alias("occ")).first()
+        if not rest["segs"]:
+            break
+        if k and (rest["occ"] or 0) <= inline * rest["segs"]:
+            todo = segs.where(F.col("seg_no") >= k)
+            many = todo.join(occ, "piece").select(*keys, "seg_no", "pos")
+            lens = todo.select(*keys, "seg_no", "len").unionByName(todo.where("_rows > 1").select(*keys, "seg_no", "len"))
+            # an opening segment of the cursor's length at 0 brings the slice to where it stands
+            at = state.join(todo.select(*keys).distinct(), keys, "left_semi")
+            many = many.unionByName(at.select(*keys, F.lit(-1).alias("seg_no"), F.lit(0).cast("long").alias("pos")))
+            lens = lens.unionByName(at.select(*keys, F.lit(-1).alias("seg_no"), F.col("cursor").alias("len")))
+            found.append(_in_order(many, lens, keys).where("seg_no >= 0"))
+            break
+        mine = segs.where(F.col("seg_no") == k)
+        if k == 0:
+            placed = mine.withColumns({"next": F.col("_first"), "cursor": F.lit(0).cast("long")})
+        else:
+            placed = _after(mine.join(state, keys).select(*mine.columns, "cursor"), occ)
+        pos = F.coalesce("next", "_else")
+        placed = cut_lineage(placed.select(*keys, "seg_no", pos.alias("pos"), F.col("next").isNull().alias("out_of_order"),
+                                           F.coalesce(pos + F.col("len"), F.col("cursor")).alias("cursor")))
+        found.append(placed.where("pos is not null").select(*keys, "seg_no", "pos", "out_of_order"))
+        state, k = placed.select(*keys, "cursor"), k + 1
+    if not found:
+        return segs.select(*keys, "seg_no", F.lit(None).cast("long").alias("pos"), F.lit(False).alias("out_of_order")).limit(0)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def _chapter_name(n: Column) -> Column:
     return F.concat(F.lit("第"), n.cast("string"), F.lit("章"))
 
@@ -136,13 +206,19 @@ def verify_slices(slices: DataFrame, chapter_text: DataFrame, spans: DataFrame |
     """
     keys = ["book_id", "doc_id", "slice_no"]
     if blocks is None:
-        wanted = chapter_text.join(slices.select("book_id").distinct(), "book_id", "left_semi")
+        # written, so its size is known and the text is not shuffled to meet a few books
+        wanted = chapter_text.join(cut_lineage(slices.select("book_id").distinct()), "book_id", "left_semi")
         spans = cut_lineage(flat_spans(wanted)) if spans is None else spans
-        blocks = cut_lineage(flat_blocks(wanted, spans))        # two tiers and the text of candidates are read from it
-    segs = cut_lineage(slice_segments(slices, keys))
-    occ = cut_lineage(find_segments(blocks, segs, [*keys, "seg_no"], ["book_id"], scope=["book_id"],
-                                    broadcast_probes=broadcast_probes))
-    chosen = locate_in_order(occ, segs, keys)
+        blocks = cut_lineage(flat_blocks(wanted, spans), "zstd")        # read once per shard of pieces
+    whole = cut_lineage(slice_segments(slices, keys), "zstd")
+    # a piece is searched once however many slices of its book quote it
+    pieces = cut_lineage(whole.where("book_id is not null").select("book_id", "seg").distinct()
+                         .withColumn("piece", F.monotonically_increasing_id()), "zstd")
+    occ = cut_lineage(find_segments(blocks, pieces, ["piece"], ["book_id"], scope=["book_id"], broadcast_probes=broadcast_probes)
+                      .select("piece", "pos"))
+    segs = cut_lineage(whole.join(pieces, ["book_id", "seg"], "left").select(
+        *keys, "seg_no", "piece", F.length("seg").alias("len"), F.substring("seg", 1, 40).alias("seg")))
+    chosen = locate_pieces(segs, occ, keys)
     placed = locate_in_spans(chosen, spans, "book_id", "pos", "norm_start", "norm_end")
     per = segs.join(placed.select(*keys, "seg_no", "pos", "out_of_order", "idx"), [*keys, "seg_no"], "left")
     agg = per.groupBy(*keys).agg(

@@ -53,10 +53,11 @@ def _slices(spark, d):
     toxic ones hold a piece that stands nowhere (English) or are too short.
     """
     ls = T.lines_of(F.col("text"))
-    t = documents(spark, d, "doc_id", "source", "text", "lang").join(
-        read_table(spark, d, "labels", "doc_id", "quality", "toxic"), "doc_id", "left")
+    t = documents(spark, d, "doc_id", "source", "text", "lang").select(     # only two lines of a text move
+        "doc_id", "source", "lang", F.element_at(ls, 1).alias("first"), F.element_at(ls, -1).alias("last"))
+    t = t.join(read_table(spark, d, "labels", "doc_id", "quality", "toxic"), "doc_id", "left")
     declared = F.col("doc_id") + F.when(F.col("quality") == 0, 1).otherwise(0)
-    first, last, dots = F.element_at(ls, 1), F.element_at(ls, -1), F.lit("……")
+    first, last, dots = F.col("first"), F.col("last"), F.lit("……")
     toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
     text = (F.when(toxic & (F.col("lang") == "en"), F.concat(first, dots, F.lit("原文没有这段话")))
             .when(toxic, F.lit("短……「引」")).when(F.col("lang") == "fr", F.concat(last, dots, first))
