@@ -6,7 +6,7 @@ occur twice or more, and shares derived from them.  Two base rules reject a
 text at once (too few words, too much repetition).  The rest is judged by an
 isolation forest: trees of random splits over the shares of labelled good
 texts (of all labelled ones where fewer than two are good); texts that few
-splits isolate are anomalous.  Bad texts widen the range of the splits but do
+splits isolate, or that fall where few of them are, are anomalous.  Bad texts widen the range of the splits but do
 not count: a cluster of them would seem as dense as the normal ones.  The score threshold is the one
 that separates labelled rows best while at most ``max_loss`` of the good ones
 fall.
@@ -28,11 +28,14 @@ from pyspark.sql import functions as F
 
 from tomewright.llm.common import (IS_SPACE, add_columns, byte_rows, byte_set, join_hash, mix, per_row, segment_hash, windows,
                                    words)
+from tomewright.operators.ordered import ordered_scan
+from tomewright.session import cut_lineage
 
 SYMBOLS = byte_set("#*$%&|<>")
 UPPER, BANG = byte_set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), byte_set("!?")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHARES = ("symbols", "dup_lines", "repeats", "upper", "bangs", "twins")
+_S = [f"s{i}" for i in range(len(SHARES))]
 
 
 def _repeated(group: np.ndarray) -> np.ndarray:
@@ -156,36 +159,98 @@ def usual_shares(x: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.quantile(base, 0.995, axis=0) + 0.01 if len(base) else np.ones(x.shape[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, max_loss: float = 0.002) -> Forest | None:
-    """Grow the forest on at most ``sample_rows`` labelled texts (drawn by hash of the id) and set its threshold.
+def _usual(marked: DataFrame, n: int) -> np.ndarray:
+    """``usual_shares`` of all ``n`` rows: exact quantiles by the ranks of distinct values."""
+    pair = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).alias("v")) for i, c in enumerate(_S)])).alias("x")
+    each = marked.select(pair).groupBy("x.k", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    at = 0.995 * (n - 1)
+    lo, hi = int(np.floor(at)), int(np.ceil(at))
+    ranked = ordered_scan(each, ["k"], "v", total={"before": F.col("n")})
+    inside = lambda r: (F.col("before") <= r) & (F.lit(r) < F.col("before") + F.col("n"))
+    rows = ranked.where(inside(lo) | inside(hi)).select("k", "v", inside(lo).alias("lo"), inside(hi).alias("hi")).collect()   # two values a share at most
+    low, high = ({r["k"]: r["v"] for r in rows if r[c]} for c in ("lo", "hi"))
+    return np.array([low[i] + (high[i] - low[i]) * (at - lo) for i in range(len(_S))]) + 0.01
 
-    Only the shares of the sample reach the driver.
+
+def _grown(marked: DataFrame, usual: np.ndarray, n: int, trees: int, depth: int, seed: int) -> Forest:
+    """A forest over all rows, level by level: each level is one aggregate by (tree, node) of extremes and counts."""
+    rng, size, k = np.random.default_rng(seed), 2 ** (depth + 1) - 1, len(_S)
+    forest = Forest(usual, rng.normal(size=(trees, size, k)), np.full((trees, size), np.nan), np.zeros((trees, size)), n)
+    for d in range(depth + 1):
+        def run(it, forest=forest):
+            for b in it:
+                x = Forest.scaled(np.column_stack([b.column(i).to_numpy() for i in range(k)]), forest.usual)
+                own = b.column(k).to_numpy().astype(np.int64)
+                for t in range(trees):
+                    v, s = forest.direction[t], forest.split[t]
+                    node, live = np.zeros(len(x), np.int64), np.arange(len(x))
+                    for _ in range(d):
+                        live = live[~np.isnan(s[node[live]])]
+                        at = node[live]
+                        node[live] = 2 * at + 1 + (np.einsum("ij,ij->i", x[live], v[at]) > s[at])
+                    live = live[node[live] >= 2 ** d - 1]
+                    if not len(live):
+                        continue
+                    at = node[live]
+                    by = np.einsum("ij,ij->i", x[live], v[at])
+                    order = np.argsort(at, kind="stable")
+                    at, by, mine = at[order], by[order], own[live][order]
+                    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(t * size + at[cut]), pa.array(np.add.reduceat(mine, cut)),
+                                                      pa.array(np.minimum.reduceat(by, cut)), pa.array(np.maximum.reduceat(by, cut))],
+                                                     names=["cell", "n", "lo", "hi"])
+        cells = marked.select(*_S, "own").mapInArrow(run, "cell long, n long, lo double, hi double").groupBy("cell").agg(
+            F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("cell").collect()     # trees * 2 ** d at most
+        for c in cells:
+            t, node = divmod(c["cell"], size)
+            if c["n"] < 2 or d == depth or c["hi"] - c["lo"] <= 1e-12:
+                forest.path[t, node] = d + average_path(c["n"])
+            else:
+                forest.split[t, node] = rng.uniform(c["lo"], c["hi"])
+                forest.path[t, 2 * node + 1:2 * node + 3] = d + 1        # a side that no labelled row takes is a leaf of none
+    return forest
+
+
+def _threshold(marked: DataFrame, forest: Forest, ups: int, downs: int, max_loss: float) -> float:
+    """The cut that parts all labelled rows best, from counts below every distinct score."""
+    def run(it):
+        for b in it:
+            score = forest.score(np.column_stack([b.column(i).to_numpy() for i in range(len(_S))]))
+            yield pa.RecordBatch.from_arrays([pa.array(score), b.column(len(_S))], names=["score", "y"])
+    each = marked.select(*_S, F.col("y").cast("long").alias("y")).mapInArrow(run, "score double, y long").groupBy("score").agg(
+        F.sum("y").alias("up"), F.sum(1 - F.col("y")).alias("down")).withColumn("k", F.lit(0))
+    seen = ordered_scan(each, ["k"], "score", total={"u": F.col("up"), "v": F.col("down")}, ahead={"upper": F.col("score")})
+    loss, caught = 1 - (F.col("u") + F.col("up")) / ups, 1 - (F.col("v") + F.col("down")) / downs
+    best = seen.where(loss <= max_loss).select("score", "upper", (caught - loss).alias("gain")).orderBy(F.desc("gain"), "score").first()
+    if best is None or best["gain"] <= 0:
+        return 2.0
+    return float((best["score"] + (best["score"] if best["upper"] is None else best["upper"])) / 2)
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_loss: float = 0.002, trees: int = 100, depth: int = 5, seed: int = 7) -> Forest | None:
+    """Grow the forest on all labelled texts and set its threshold on all of them.
+
+    Shares are computed where the texts are and written (narrow) once; usual
+    sizes, extremes and counts of every node, and the threshold are aggregates
+    over them.  Only nodes reach the driver.
     """
     y = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("y"))
-    ids = F.broadcast(y.orderBy(F.xxhash64("doc_id", F.lit("rules")), "doc_id").limit(sample_rows))      # bounded by the limit
-    rows = docs.select("doc_id", "text").join(ids, "doc_id")
-    names = {f"s{i}": "double" for i in range(len(SHARES))} | {"ok": "boolean"}
+    names = {c: "double" for c in _S} | {"ok": "boolean"}
 
     def run(col: pa.Array) -> list:
         counts, shares = statistics(col)
         return [*shares.T, ~base_failed(counts)]
-    pdf = add_columns(rows, "text", run, names).drop("text").toPandas().sort_values("doc_id")
-    pdf = pdf[pdf["ok"].astype(bool)]
-    if len(pdf) < 2:
+    shares = cut_lineage(add_columns(docs.select("doc_id", "text"), "text", run, names).where("ok").drop("text", "ok"))
+    marked = cut_lineage(shares.join(y, "doc_id"))
+    n = marked.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("good")).first()
+    if n["n"] < 2:
         return None
-    x, good = pdf[[f"s{i}" for i in range(len(SHARES))]].to_numpy(float), pdf["y"].to_numpy() == 1
-    forest = Forest.grow(x, good if good.sum() > 1 else np.ones(len(x), bool), usual_shares(x, good))
-    if good.all() or not good.any():
-        return forest
-    score = forest.score(x)
-    cuts = np.unique(score)
-    up, down = np.sort(score[good]), np.sort(score[~good])
-    loss = 1 - np.searchsorted(up, cuts, side="right") / len(up)
-    caught = 1 - np.searchsorted(down, cuts, side="right") / len(down)
-    gain = np.where(loss <= max_loss, caught - loss, -1.0)
-    best = int(np.argmax(gain))
-    upper = cuts[best + 1] if best + 1 < len(cuts) else cuts[best]
-    forest.threshold = float((cuts[best] + upper) / 2) if gain[best] > 0 else 2.0
+    own = F.lit(True) if n["good"] < 2 else F.col("y") == 1
+    marked = marked.withColumn("own", own.cast("long"))
+    usual = _usual(marked.where("y = 1") if n["good"] else marked, n["good"] or n["n"])
+    forest = _grown(marked, usual, n["n"] if n["good"] < 2 else n["good"], trees, depth, seed)
+    if 0 < n["good"] < n["n"]:
+        forest.threshold = _threshold(marked, forest, n["good"], n["n"] - n["good"], max_loss)
     return forest
 
 
