@@ -149,17 +149,17 @@ def people_index(aliases: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mentions(texts: DataFrame, aliases: DataFrame, key: str, place: list[str], text: str = "text",
-             shard_names: int = SHARD_NAMES) -> DataFrame:
+             shard_names: int = SHARD_NAMES, first_only: bool = False) -> DataFrame:
     """Mentions in reading order, leftmost-longest and non-overlapping: place, ord, alias, canonical.
 
     ``place`` starts with ``key``.  Texts carry no dictionary: they stream past
-    a broadcast automaton (several where a dictionary exceeds ``shard_names``),
-    and the canonical name is joined to what was found.
+    an automaton that names the canonical (several where a dictionary exceeds
+    ``shard_names``), so nothing found is joined.  ``first_only`` keeps the first
+    mention of each canonical in a row of ``texts``.
     """
     names = (aliases.where(F.length("alias") >= K.MENTION_MIN_CHARS).groupBy(key, "alias")
              .agg(F.min("canonical").alias("canonical")))
-    found = find_names(texts, names, key, place, text, shard_names)
-    return found.join(names, [key, "alias"]).select(*place, "ord", "alias", "canonical")
+    return find_names(texts, names, key, place, text, shard_names, ["canonical"], "canonical" if first_only else None)
 
 
 def first_mentions(found: DataFrame, unit: list[str], order: list[str]) -> DataFrame:

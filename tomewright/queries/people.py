@@ -42,7 +42,7 @@ def mentions(spark, d):
 
 
 def first_mentions(spark, d):
-    m = E.mentions(_texts(spark, d), _aliases(spark, d), "book_id", ["book_id", "doc_id"])
+    m = E.mentions(_texts(spark, d), _aliases(spark, d), "book_id", ["book_id", "doc_id"], first_only=True)
     return E.first_mentions(m, ["book_id", "doc_id"], ["ord"]).withColumn("ord", F.col("ord").cast("long"))
 
 
