@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tomewright.session import scratch
-from tomewright.sources.files import book_of_path, index_files, raw_files
+from tomewright.sources.files import book_of_path, index_files, list_files, read_files
 from tomewright.streaming.ingest import _KEYS, _prepare
 
 TEXT = ("book_id string, name string, length long, modificationTime timestamp, idx long, text string, norm string, "
@@ -112,8 +112,10 @@ class TextStore:
     # -- writing ----------------------------------------------------------
     def commit(self, files: DataFrame, listing: DataFrame | None = None, stream: str = "", batch_id: int | None = None,
                depth: int = 1, trust_utf8: bool = False) -> bool:
-        """Add a ``binaryFile`` batch and index the books it touches; False if this batch is part of the store already.
+        """Add a batch of files and index the books it touches; False if this batch is part of the store already.
 
+        ``files`` is a ``binaryFile`` table or a listing (path, modificationTime,
+        length), of which only the files that count are read.
         Of files with equal (book, name) the one changed last counts.  With a
         ``listing`` (path of all files there are) chapters without a file are
         removed.  A failed commit leaves the store as it was.
@@ -123,7 +125,8 @@ class TextStore:
             return False
         key = [book_of_path(F.col("path"), depth).alias("book_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name")]
         last = files.groupBy(*key).agg(F.max(F.struct("modificationTime", "path")).alias("_x")).select(F.col("_x.path").alias("path"))
-        rows = _prepare(files.join(last, "path", "left_semi"), depth, trust_utf8).withColumn("gone", F.lit(False))
+        files = files.join(last, "path", "left_semi")
+        rows = _prepare(files if "content" in files.columns else read_files(files), depth, trust_utf8).withColumn("gone", F.lit(False))
         if listing is not None and m["parts"]:
             lost = self._live(m).select(*_KEYS).join(listing.select(*key).distinct(), _KEYS, "left_anti").withColumn("gone", F.lit(True))
             rows = rows.unionByName(lost, allowMissingColumns=True)
@@ -176,14 +179,33 @@ def store_stream(spark: SparkSession, landing: str, store: TextStore, checkpoint
     """Writer that commits arriving files to ``store``; a batch repeated after a failure counts once.
 
     A changed chapter arrives under another path with the same book and name
-    (a stream reads no path twice).  ``mirror`` lists the landing folder with
-    every batch and removes chapters whose files are gone from it.
-    """
-    files = (spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
-             .schema("path string, modificationTime timestamp, length long, content binary").load(landing))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        listing = raw_files(spark, landing).select("path") if mirror else None
-        store.commit(batch, listing, checkpoint, batch_id, depth, trust_utf8)
+    (a stream reads no path twice).  ``mirror`` removes chapters whose files are
+    gone from the landing folder with every batch that brings files.
 
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    Every trigger lists the landing folder by tasks (``list_files``) and writes
+    the paths it takes below ``checkpoint``; the driver holds none of them.  The
+    source itself is a clock that ticks once a trigger, so give an interval.
+    """
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    taken = f"{checkpoint.rstrip('/')}/taken"
+    kind = "path string, modificationTime timestamp, length long"
+
+    def there(path: str) -> bool:
+        at = fs.Path(path)
+        return at.getFileSystem(conf).exists(at)
+
+    def write(_: DataFrame, batch_id: int) -> None:
+        with scratch(spark):
+            listing, mine = list_files(spark, landing), f"{taken}/batch={batch_id}"
+            if not there(f"{mine}/_SUCCESS"):               # a repeated batch takes the same files
+                new = listing.where(F.col("path").rlike(r"(?i)\.(txt|md)$"))
+                if there(taken):
+                    seen = spark.read.schema(f"{kind}, batch long").parquet(taken).where(F.col("batch") < batch_id)
+                    new = new.join(seen.select("path"), "path", "left_anti")
+                new.select("path", "modificationTime", "length").write.mode("overwrite").parquet(mine)
+            files = spark.read.schema(kind).parquet(mine)
+            if not files.isEmpty():
+                store.commit(files, listing.select("path") if mirror else None, checkpoint, batch_id, depth, trust_utf8)
+
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    return clock.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
