@@ -6,9 +6,10 @@ characters contains the windows of the passage, hence its fingerprints, at the
 same offsets.  So one fingerprint of a passage names every place where it can
 stand, and comparing the characters decides.
 
-* ``scan``: few passages are broadcast (their number and size are bounded) and
-  the texts stream past them; nothing is shuffled.  Passages too short for a
-  window are looked up by the hash of their whole length.
+* ``scan``: few passages are broadcast (their number is bounded) as hashes that
+  tasks have made of them, never as characters, and the texts stream past them;
+  nothing is shuffled.  Passages too short for a window are looked up by the
+  hash of their first characters.
 * ``PassageIndex``: fingerprints of a corpus in a table bucketed by
   fingerprint, to which parts can be appended.  A passage is looked up by its
   rarest fingerprint.  Fingerprints that stand at more than HEAVY places are
@@ -19,8 +20,8 @@ stand, and comparing the characters decides.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,15 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 GRAM, WINDOW = 12, 16
 SHORT = GRAM + WINDOW - 1       # passages below hold no whole window
 SPANS = (32, 64, 128, 256, 512, 1024)
 HEAVY = 1000                    # places of a fingerprint from which on it is heavy
-SCAN_CHARS = 1 << 18            # characters a task looks at together
-COMPARED = 1 << 22              # characters compared together
+SCAN_CHARS = 1 << 17            # characters a task looks at together
+BLOCK_CHARS = 1 << 13           # and the last text of them
+COMPARED = 1 << 20              # places compared together
+SHORT_SPANS = (1, 2, 4, 8, 16)  # stretches by which passages without a fingerprint are looked up
+SHORT_GATES = (1, 4, 12)
+DESCRIBED = ("size", "lead", "span", "gate", "key", "whole", "d0", "d1")
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xD1B54A32D192ED03)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -48,12 +55,30 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@functools.lru_cache(maxsize=4)
+def _first_powers(base: np.uint64) -> np.ndarray:
+    out = np.full(SCAN_CHARS + BLOCK_CHARS, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
+    if n <= SCAN_CHARS + BLOCK_CHARS:
+        return _first_powers(base)[:max(n, 1)]
+    out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def _bits(n: int) -> int:
+    """For a table of one byte per slot that is at most a sixteenth full."""
+    return max(16, (16 * n).bit_length())
+
+
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h * _SPREAD >> np.uint64(64 - bits)).view(np.int64)
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of all texts end to end, and the offsets of the texts."""
     off = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
@@ -102,89 +127,132 @@ def minimisers(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_sliding(np.r_[edge, least, edge], WINDOW, np.maximum) == h)
 
 
+def described(passages: DataFrame, text: str, kept: Sequence[str]) -> DataFrame:
+    """kept columns and what ``Probes`` takes of a passage in place of its characters: size, lead, span, gate, key, whole, d0, d1.
+
+    ``lead`` is where its fingerprint stands (0 in a short one), ``key`` the
+    hash of the longest of the steps that fits behind it (``span`` characters),
+    ``gate`` that of its first few characters, ``whole`` that of all; d0 and d1
+    are a digest of 128 bits.
+    """
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            for lo, hi in _portions(texts):
+                codes, off = code_points(texts[lo:hi])
+                hashes, at, size = Hashes(codes), off[:-1], np.diff(off)
+                long, lead = np.flatnonzero(size >= SHORT), np.zeros(hi - lo, np.int64)
+                if len(long):
+                    lead[long] = hashes.all(GRAM)[at[long][:, None] + np.arange(WINDOW)].argmin(axis=1)
+                span, gate = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
+                for some, steps, gates in ((size >= SHORT, (GRAM, *SPANS), (GRAM,)), (size < SHORT, SHORT_SPANS, SHORT_GATES)):
+                    for n in steps:
+                        span[some & (size - lead >= n)] = n
+                    for n in gates:
+                        gate[some & (size >= n)] = n
+                numbers = [x.view(np.int64) for x in (hashes.raw_at(at + lead, gate), hashes.raw_at(at + lead, span), hashes.raw_at(at, size), *_digests(codes, at, size).T)]
+                yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)).slice(lo, hi - lo) for c in kept], *[pa.array(x, pa.int32()) for x in (size, lead, span)],
+                                                  *[pa.array(np.ascontiguousarray(x)) for x in numbers]], names=[*kept, *DESCRIBED])
+    schema = T.StructType([passages.schema[c] for c in kept] + T._parse_datatype_string("size int, lead int, span int, gate long, key long, whole long, d0 long, d1 long").fields)
+    return passages.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+
+
+def _digests(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two numbers per stretch of characters, equal for equal stretches only."""
+    data = memoryview(np.ascontiguousarray(codes)).cast("B") if len(codes) else memoryview(b"")
+    found = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip((4 * start).tolist(), (4 * (start + size)).tolist())]
+    return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+
+
 class Probes:
-    """Passages prepared for ``scan``: looked up by (scope, hash), confirmed by their characters."""
+    """Described passages prepared for ``scan``: looked up by (scope, hash), confirmed by their digests.
 
-    def __init__(self, rows: pa.Table, scope: list[str], chunk: str, passed: list[str]):
+    A gate of one byte per slot turns nearly all positions of a text away: the
+    passages with a fingerprint share one over the minimisers, short ones have
+    one over all positions for each size of their first characters.  What it
+    lets through is looked up by the longest stretch that passages hold, so
+    those that only begin alike do not meet each other's places.
+    """
+
+    def __init__(self, rows: pa.Table, scope: list[str], passed: list[str]):
         self.rows = rows.select(passed).combine_chunks()
-        texts = rows.column(chunk).to_pylist()
-        self.codes, self.off = code_points(texts)
-        self.size = np.diff(self.off)
+        size, lead, span, gate, key, whole, *digest = (rows.column(c).to_numpy() for c in DESCRIBED)
+        self.size, self.lead, self.whole = size, lead, whole.view(np.uint64)
+        # chunks of longer passages: all their places are needed
+        self.listed = np.zeros(len(size), bool)
+        if "cid" in passed:
+            self.listed = rows.column("cid").is_valid().to_numpy()
+        elif "n_chunks" in passed:
+            self.listed = rows.column("n_chunks").to_numpy() > 1
+        self.digest = np.stack(digest, axis=1).view(np.uint64) if len(size) else np.zeros((0, 2), np.uint64)
         self.scopes: dict[tuple, int] = {}
         own = [self.scopes.setdefault(k, len(self.scopes)) for k in zip(*[rows.column(c).to_pylist() for c in scope])] if scope else []
-        salt = np.array(own, np.uint64) if scope else np.zeros(len(texts), np.uint64)
-        none = [k for k in self.scopes if None in k]         # a null scope equals nothing
-        hashes = Hashes(self.codes)
-        self.tables: dict[int, tuple] = {}                  # length (0: by fingerprint) -> sorted keys, passage, offset in it
-        long = np.flatnonzero(self.size >= SHORT)
-        lead = np.zeros(len(long), np.int64)
-        if len(long):
-            h = hashes.all(GRAM)
-            first = self.off[long][:, None] + np.arange(WINDOW)
-            for lo in range(0, len(long), 1 << 16):
-                lead[lo:lo + (1 << 16)] = h[first[lo:lo + (1 << 16)]].argmin(axis=1)
-            self._table(0, hashes.raw_at(self.off[long] + lead, GRAM), salt, long, lead)
-        for n in np.unique(self.size[(self.size > 0) & (self.size < SHORT)]).tolist():
-            at = np.flatnonzero(self.size == n)
-            self._table(n, hashes.raw_at(self.off[at], n), salt, at, np.zeros(len(at), np.int64))
-        for k in none:
-            self.scopes[k] = -1
-
-    def _table(self, n: int, h: np.ndarray, salt: np.ndarray, at: np.ndarray, lead: np.ndarray) -> None:
-        key = _mix(h + salt[at] * _MUL)
-        order = np.argsort(key, kind="stable")
-        # one byte for the low bits of the keys turns nearly all positions of a text away
-        seen = np.zeros(1 << max(16, (16 * len(key)).bit_length()), bool)
-        seen[key & np.uint64(len(seen) - 1)] = True
-        self.tables[n] = key[order], at[order], lead[order], seen
+        salt = np.array(own, np.uint64) * _MUL if scope else np.zeros(len(size), np.uint64)
+        for k in self.scopes:
+            if None in k:                                   # a null scope equals nothing
+                self.scopes[k] = -1
+        gate, key = gate.view(np.uint64) + salt, _mix(key.view(np.uint64) + salt)
+        first = np.zeros(len(size), np.int64)               # 0: by fingerprint, else so many characters
+        for n in SHORT_GATES:
+            first[(size < SHORT) & (size >= n)] = n
+        self.gates = []
+        for n in np.unique(first[size > 0]).tolist():
+            at = np.flatnonzero((first == n) & (size > 0))
+            spans = [self._table(key, at[span[at] == k], k) for k in np.unique(span[at]).tolist()]
+            bits = _bits(len(at))
+            seen = np.zeros(1 << bits, bool)
+            seen[_slots(gate[at], bits)] = True
+            self.gates.append((n, bits, seen, spans))
+
+    @staticmethod
+    def _table(key: np.ndarray, at: np.ndarray, span: int) -> tuple:
+        at = at[np.argsort(key[at], kind="stable")]
+        bits = _bits(len(at))
+        seen = np.zeros(1 << bits, bool)
+        seen[_slots(key[at], bits)] = True
+        return span, key[at], at, bits, seen
 
     def find(self, texts: list[str], scope: list[tuple] | None, owned: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, text, start) of all occurrences that start within the first ``owned`` characters of a text."""
         codes, off = code_points(texts)
-        row = np.repeat(np.arange(len(texts)), np.diff(off))
+        long = np.diff(off)
+        row = np.repeat(np.arange(len(texts)), long)
         code = np.array([self.scopes.get(s, -1) for s in scope], np.int64) if scope is not None else np.zeros(len(texts), np.int64)
-        salt, live = code.astype(np.uint64) * _MUL, code >= 0
-        hashes, out, salt = Hashes(codes), [], salt[row]
-        for n, (key, who, lead, seen) in self.tables.items():
+        salt, live = np.repeat(code.astype(np.uint64) * _MUL, long), code >= 0
+        hashes, out = Hashes(codes), []
+        for n, bits, seen, spans in self.gates:
             h = hashes.raw(n or GRAM)
             if n:
-                want = _mix(h + salt[:len(h)])
-                p = np.flatnonzero(seen[want & np.uint64(len(seen) - 1)])
-                want = want[p]
+                p = np.flatnonzero(seen.take(_slots(h + salt[:len(h)], bits)))
             else:
                 p = minimisers(_mix(h))
-                want = _mix(h[p] + salt[p])
-            ok = live[row[p]]
-            p, want = p[ok], want[ok]
-            lo = np.searchsorted(key, want)
-            p, lo, want = (x[lo < len(key)] for x in (p, lo, want))
-            hit = key[lo] == want
-            p, lo, want = p[hit], lo[hit], want[hit]
-            many = np.searchsorted(key, want, side="right") - lo
-            at = np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(lo) else lo
-            p = np.repeat(p, many)
-            w, start = who[at], p - lead[at]
-            r = row[p]
-            ok = (start >= off[r]) & (start < off[r] + owned) & (start + self.size[w] <= off[r + 1])
-            w, start, r = w[ok], start[ok], r[ok]
-            same = self._same(codes, start, w)
-            out.append((w[same], r[same], (start - off[r])[same]))
+                p = p[seen.take(_slots(h[p] + salt[p], bits))]
+            p = p[live[row[p]]]
+            for span, key, who, bits, seen in spans:
+                q = p[p + span <= len(codes)]
+                want = _mix(hashes.raw_at(q, span) + salt[q])
+                some = seen.take(_slots(want, bits))
+                q, want = q[some], want[some]
+                lo = np.searchsorted(key, want)
+                many = np.searchsorted(key, want, side="right") - lo
+                upto = np.cumsum(many)
+                a = 0
+                while a < len(q):                           # so many candidates at a time
+                    b = max(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + COMPARED, side="right")), a + 1)
+                    m = many[a:b]
+                    at = np.repeat(lo[a:b] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+                    at, start = who[at], np.repeat(q[a:b], m)
+                    r, start = row[start], start - self.lead[at]
+                    size = self.size[at]
+                    ok = (start >= off[r]) & (start < off[r] + owned) & (start + size <= off[r + 1])
+                    at, start, r, size = at[ok], start[ok], r[ok], size[ok]
+                    ok = hashes.raw_at(start, size) == self.whole[at]
+                    at, start, r, size = at[ok], start[ok], r[ok], size[ok]
+                    ok = (_digests(codes, start, size) == self.digest[at]).all(axis=1)
+                    out.append((at[ok], r[ok], (start - off[r])[ok]))
+                    a = b
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
-    def _same(self, codes: np.ndarray, start: np.ndarray, who: np.ndarray) -> np.ndarray:
-        size, same = self.size[who], np.zeros(len(who), bool)
-        upto = np.cumsum(size)
-        lo = 0
-        while lo < len(who):
-            hi = max(int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + COMPARED, side="right")), lo + 1)
-            n = size[lo:hi]
-            to = np.cumsum(n) - n
-            step = np.arange(n.sum()) - np.repeat(to, n)
-            equal = codes[np.repeat(start[lo:hi], n) + step] == self.codes[np.repeat(self.off[who[lo:hi]], n) + step]
-            same[lo:hi] = np.logical_and.reduceat(equal, to)
-            lo = hi
-        return same
-
 
 def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
     lo, acc = 0, 0
@@ -197,26 +265,50 @@ def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def scan(blocks: DataFrame, probes: Probes, place: Sequence[str], scope: Sequence[str], owned: int, schema: T.StructType) -> DataFrame:
-    """Stream (place, base, block) past broadcast passages: their columns, place, pos = base + start."""
+def scan(blocks: DataFrame, probes: Probes, place: Sequence[str], scope: Sequence[str], owned: int, schema: T.StructType,
+         most: int | None = None) -> DataFrame:
+    """Stream (place, base, block) past broadcast passages: their columns, place, pos = base + start.
+
+    With ``most`` a task lists so many places of a passage only (``probes.listed``
+    marks those it lists in full).  A last column ``more`` is true in one row
+    that has the least of the places left out and no place columns.
+    """
     shared, own = blocks.sparkSession.sparkContext.broadcast(probes), [p for p in place if p not in probes.rows.column_names]
+    kinds = [blocks.schema[c] for c in own]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
+
+        def passed(who: np.ndarray) -> list[pa.Array]:
+            found = p.rows.take(pa.array(who))
+            cols = [found.column(c).combine_chunks() for c in found.column_names]
+            return [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
+        seen = np.zeros(len(p.size), np.int64)
+        least = np.full(len(p.size), np.iinfo(np.int64).max)
         for b in it:
             texts = [t or "" for t in b.column(b.schema.get_field_index("block")).to_pylist()]
             keys = [b.column(b.schema.get_field_index(c)).to_pylist() for c in scope]
+            bases = b.column(b.schema.get_field_index("base"))
             for lo, hi in _portions(texts):
                 who, row, start = p.find(texts[lo:hi], list(zip(*[k[lo:hi] for k in keys])) if scope else None, owned)
                 if not len(who):
                     continue
-                found = p.rows.take(pa.array(who))
-                cols = [found.column(c).combine_chunks() for c in found.column_names]
-                cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
-                at = pa.array(row + lo)
-                cols += [b.column(b.schema.get_field_index(c)).take(at) for c in own]
-                base = b.column(b.schema.get_field_index("base")).take(at).to_numpy()
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(base + start, pa.int64())], names=[*found.column_names, *own, "pos"])
+                pos = bases.take(pa.array(row + lo)).to_numpy() + start
+                if most is not None:
+                    order = np.argsort(who, kind="stable")
+                    who, row, pos = who[order], row[order], pos[order]
+                    number = np.arange(len(who)) - np.searchsorted(who, who) + seen[who]
+                    np.add.at(seen, who, 1)
+                    kept = (number < most) | p.listed[who]
+                    np.minimum.at(least, who[~kept], pos[~kept])
+                    who, row, pos = who[kept], row[kept], pos[kept]
+                cols = passed(who) + [b.column(b.schema.get_field_index(c)).take(pa.array(row + lo)) for c in own] + [pa.array(pos, pa.int64())]
+                cols += [] if most is None else [pa.array(np.zeros(len(who), bool))]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        who = np.flatnonzero((seen > (most or 0)) & ~p.listed) if most is not None else ()
+        if len(who):
+            yield pa.RecordBatch.from_arrays([*passed(who), *[pa.nulls(len(who), to_arrow_type(k.dataType)) for k in kinds], pa.array(least[who]),
+                                              pa.array(np.ones(len(who), bool))], names=schema.names)
     return blocks.select(*place, "base", "block").mapInArrow(run, schema)
 
 

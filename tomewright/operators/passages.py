@@ -2,9 +2,9 @@
 
 A text is cut into blocks that overlap by the length of the longest passage;
 passages are found by window-minimiser fingerprints (see ``fingerprints``).
-The passages are counted first: while their number and size stay below fixed
-bounds they are broadcast and the blocks stream past them; more are looked up
-by an equi join of fingerprints, about one for eight characters of the corpus,
+The passages are counted first: while their number stays below a fixed bound
+they are broadcast and the blocks stream past them; more are looked up by an
+equi join of fingerprints, about one for eight characters of the corpus,
 written for the call or read from a stored index.
 """
 
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tomewright.operators import fingerprints as FP
 from tomewright.operators.ordered import ordered_scan
@@ -24,7 +24,6 @@ from tomewright.session import cut_lineage
 BLOCK = 4096            # characters owned by a block
 CHUNK = 1024            # longer passages are matched chunk by chunk
 BROADCAST_PROBES = 500_000
-BROADCAST_CHARS = 1 << 25       # characters of all broadcast passages together
 BROADCAST_SPANS = 500_000
 SPAN_SHARDS = 4                 # broadcast shards of spans; more are joined by shuffle
 SCOPED_SHARDS = 64              # shards of passages that stream past their own scopes
@@ -113,16 +112,15 @@ def _chunks(segments: DataFrame, keys: list[str], seg: str) -> DataFrame:
     return rows
 
 
-def _scoped_shards(chunks: DataFrame, blocks: DataFrame, scope: list[str], shards: int, most: int):
+def _scoped_shards(described: DataFrame, blocks: DataFrame, scope: list[str], shards: int, most: int):
     """(passages, blocks) per shard: passages in the order of their scopes, blocks of the scopes between its first and its last."""
-    dealt = cut_lineage(chunks.where(" and ".join(f"`{s}` is not null" for s in scope)).repartitionByRange(8 * shards, *scope, F.xxhash64("chunk"))
+    dealt = cut_lineage(described.where(" and ".join(f"`{s}` is not null" for s in scope)).repartitionByRange(8 * shards, *scope, "whole")
                         .withColumn("_part", F.spark_partition_id()))
     first = scope[0]
-    parts = dealt.groupBy("_part").agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("chars"),
-                                       F.min(first).alias("a"), F.max(first).alias("b")).orderBy("_part").collect()
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("n"), F.min(first).alias("a"), F.max(first).alias("b")).orderBy("_part").collect()
     groups: list[list] = []
-    for p in parts:                                 # neighbours are put together up to the bounds of a broadcast
-        if groups and sum(q["n"] for q in groups[-1]) + p["n"] <= most and sum(q["chars"] for q in groups[-1]) + p["chars"] <= BROADCAST_CHARS:
+    for p in parts:                                 # neighbours are put together up to the bound of a broadcast
+        if groups and sum(q["n"] for q in groups[-1]) + p["n"] <= most:
             groups[-1].append(p)
         else:
             groups.append([p])
@@ -133,38 +131,52 @@ def _scoped_shards(chunks: DataFrame, blocks: DataFrame, scope: list[str], shard
 
 def find_segments(blocks: DataFrame, segments: DataFrame, keys: Sequence[str], place: Sequence[str],
                   scope: Sequence[str] = (), seg: str = "seg",
-                  broadcast_probes: int = BROADCAST_PROBES, index: FP.PassageIndex | None = None) -> DataFrame:
+                  broadcast_probes: int = BROADCAST_PROBES, index: FP.PassageIndex | None = None, most: int | None = None) -> DataFrame:
     """All occurrences: keys, place, pos (0-based start).
 
+    With ``most`` the occurrences of a passage of up to CHUNK characters are
+    listed as far as a task finds no more than that; a column ``more`` is true
+    in rows that hold the least of those left out (its place columns are null).
+
     ``scope`` columns (a subset of place that also exists in ``segments``)
     restrict the search.  Empty passages occur nowhere.  The passages are
-    counted: up to ``broadcast_probes`` (and BROADCAST_CHARS) are broadcast and
-    the corpus is streamed once, never shuffled.  More that have a scope go by
-    in shards of that size, ordered by scope, and each shard meets the texts of
-    its own scopes only (``blocks`` should be a written table).  Others, and
-    those of over SCOPED_SHARDS shards, are joined with the fingerprints of the
-    corpus, those of ``index`` if given; passages too short to have any go by
-    in shards of that size, one pass over the corpus each.
+    counted: up to ``broadcast_probes`` are broadcast, as hashes that tasks
+    make of them, and the corpus is streamed once, never shuffled.  More that
+    have a scope go by in shards of that size, ordered by scope, and each shard
+    meets the texts of its own scopes only (``blocks`` should be a written
+    table).  Others, and those of over SCOPED_SHARDS shards, are joined with the
+    fingerprints of the corpus, those of ``index`` if given; passages too short
+    to have any go by in shards of that size, one pass over the corpus each.
     """
     keys, place, scope = list(keys), list(place), list(scope)
     carried = keys + [s for s in scope if s not in keys]
     out = [*keys, *[p for p in place if p not in keys]]
     chunks = _chunks(segments, carried, seg)
     brief = F.length("chunk") < FP.SHORT
-    n = chunks.agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("chars"), F.max("n_chunks").alias("most"),
-                   F.count_if(brief).alias("short")).first()
-    shards = max(math.ceil(n["n"] / max(broadcast_probes, 1)), math.ceil((n["chars"] or 0) / BROADCAST_CHARS), 1)
+    n = chunks.agg(F.count("*").alias("n"), F.max("n_chunks").alias("most"), F.count_if(brief).alias("short")).first()
+    shards = max(math.ceil(n["n"] / max(broadcast_probes, 1)), 1)
+    passed = [*keys, *([] if (n["most"] or 1) == 1 else ["n_chunks", "off"])]
+
+    def described(mine: DataFrame) -> DataFrame:
+        return FP.described(mine, "chunk", [*dict.fromkeys([*passed, *scope])])
 
     def streamed(mine: DataFrame, blocks: DataFrame = blocks) -> DataFrame:
-        passed = [*keys, *([] if (n["most"] or 1) == 1 else ["n_chunks", "off"])]
-        probes = FP.Probes(mine.select(*dict.fromkeys([*passed, *scope, "chunk"])).toArrow(), scope, "chunk", passed)
         fields = [mine.schema[c] for c in passed] + [blocks.schema[p] for p in place if p not in passed] + [StructField("pos", LongType())]
-        return FP.scan(blocks, probes, place, scope, BLOCK, StructType([StructField(f.name, f.dataType) for f in fields]))
+        fields += [] if most is None else [StructField("more", BooleanType())]
+        return FP.scan(blocks, FP.Probes(mine.toArrow(), scope, passed), place, scope, BLOCK, StructType([StructField(f.name, f.dataType) for f in fields]), most)
+    own = index is None and scope and broadcast_probes and shards <= SCOPED_SHARDS
+    if own and most is not None and (n["most"] or 1) > 1:
+        # what long passages share is found once: they go by as distinct chunks
+        long = cut_lineage(chunks.where("n_chunks > 1"), "zstd")
+        once = cut_lineage(long.select(*scope, "chunk").distinct().withColumn("cid", F.monotonically_increasing_id()), "zstd")
+        alone = chunks.where("n_chunks = 1").withColumn("cid", F.lit(None).cast("long"))
+        passed = [*keys, "cid"]
+        chunks = alone.select(*dict.fromkeys([*keys, *scope, "cid", "chunk"])).unionByName(once, allowMissingColumns=True)
     if index is None and shards == 1 and broadcast_probes:
-        hit = streamed(chunks)
-    elif index is None and scope and broadcast_probes and shards <= SCOPED_SHARDS:
+        hit = streamed(described(chunks))
+    elif own:
         hit = None
-        for mine, near in _scoped_shards(chunks, blocks, scope, shards, broadcast_probes):
+        for mine, near in _scoped_shards(described(chunks), blocks, scope, shards, broadcast_probes):
             found = cut_lineage(streamed(mine, near))       # one shard of passages is held at a time
             hit = found if hit is None else hit.unionByName(found)
     else:
@@ -179,14 +191,44 @@ def find_segments(blocks: DataFrame, segments: DataFrame, keys: Sequence[str], p
         hit = found.join(long.select("id", *keys, "n_chunks", "off"), "id").drop("id")
         parts = math.ceil(shards * n["short"] / max(n["n"], 1)) if n["short"] else 0
         for k in range(parts):
-            some = streamed(chunks.where(brief & (F.pmod(F.xxhash64("id"), F.lit(parts)) == k)))
-            hit = hit.unionByName(some.select(*out, "pos", *[c if c in some.columns else F.lit(v).alias(c)
+            some = streamed(described(chunks.where(brief & (F.pmod(F.xxhash64("id"), F.lit(parts)) == k))))
+            if most is not None and "more" not in hit.columns:
+                hit = hit.withColumn("more", F.lit(False))
+            hit = hit.unionByName(some.select(*out, "pos", *([] if most is None else ["more"]), *[c if c in some.columns else F.lit(v).alias(c)
                                                              for c, v in (("n_chunks", 1), ("off", 0))]))
+    shown = [*out, "pos"]
+    if most is not None:
+        shown.append("more")
+        hit = hit if "more" in hit.columns else hit.withColumn("more", F.lit(False))
     if (n["most"] or 1) == 1:
-        return hit.select(*out, "pos")
+        return hit.select(*shown)
+    if "cid" in hit.columns:
+        hit = cut_lineage(hit)
+        parts = long.join(once, [*scope, "chunk"]).select(*keys, "n_chunks", "off", "cid")
+        return hit.where("cid is null").select(*shown).unionByName(_whole(parts, hit.where("cid is not null"), keys, place).withColumn("more", F.lit(False)).select(*shown))
     # a long passage occurs where all of its chunks do
-    return (hit.withColumn("pos", F.col("pos") - F.col("off")).groupBy(*out, "pos", "n_chunks").agg(F.count("*").alias("_n"))
-            .where("_n = n_chunks").select(*out, "pos"))
+    once = ["more"] if most is not None else []
+    return (hit.withColumn("pos", F.col("pos") - F.col("off")).groupBy(*out, "pos", "n_chunks", *once).agg(F.count("*").alias("_n"))
+            .where("_n = n_chunks").select(*shown))
+
+
+def _whole(parts: DataFrame, hits: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """Where the passages whose chunks are ``parts`` (keys, n_chunks, off, cid) occur, by the places (cid, place, pos) of the chunks.
+
+    Only the places of its rarest chunk are compared with the others, so
+    passages that share most of their chunks do not meet each other's places.
+    """
+    at = [p for p in place if p not in keys]
+    parts = cut_lineage(parts.join(hits.groupBy("cid").agg(F.count(F.lit(1)).alias("_n")), "cid", "left").withColumn("_n", F.coalesce("_n", F.lit(0))))
+    lead = parts.groupBy(*keys).agg(F.min(F.struct("_n", "off", "cid")).alias("m")).where("m._n > 0").select(*keys, F.col("m.off").alias("_o"), F.col("m.cid").alias("cid"))
+    cand = lead.join(hits.select("cid", *at, "pos"), "cid").select(*keys, *at, (F.col("pos") - F.col("_o")).alias("start")).where("start >= 0")
+    each = cand.join(parts, keys).select(*keys, *at, "start", "n_chunks", "cid", (F.col("start") + F.col("off")).alias("pos"))
+    h = hits.select(F.col("cid").alias("_c"), F.col("pos").alias("_p"), *[F.col(a).alias(f"_{a}") for a in at])
+    same = (F.col("cid") == F.col("_c")) & (F.col("pos") == F.col("_p"))
+    for a in at:
+        same &= F.col(a).eqNullSafe(F.col(f"_{a}"))
+    return (each.join(h, same, "left_semi").groupBy(*keys, *at, "start", "n_chunks").agg(F.count("*").alias("_n"))
+            .where("_n = n_chunks").withColumnRenamed("start", "pos"))
 
 
 def find_passages(passages: DataFrame, corpus: DataFrame, passage_key: str, place: Sequence[str],

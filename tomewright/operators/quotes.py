@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from tomewright import fixed as K
 from tomewright.functions import text as T
 from tomewright.operators.ordered import first_of, locate_in_spans, ordered_scan
-from tomewright.operators.passages import BROADCAST_PROBES, find_segments, flat_blocks, flat_spans
+from tomewright.operators.passages import BLOCK, BROADCAST_PROBES, find_segments, flat_blocks, flat_spans
 from tomewright.session import cut_lineage
 
 INLINE = 16             # occurrences per segment, on average, that go to their slices
+LISTED = 256            # occurrences of a piece that are listed; a more common one is looked for in the text
+STRETCH = 22            # bits of the characters that a task holds for that
 
 _IN = K.WS_INLINE
 _MARK_AHEAD = "(?Udm)" + rf"^(?={_IN}*(?:\*\*)?{_IN}*【原文{_IN}*[·・:：]?{_IN}*[^】\n]*】)"
@@ -190,35 +197,141 @@ def locate_pieces(segments: DataFrame, occ: DataFrame, keys: list[str], inline:
     return out
 
 
+def _walk(r: dict, stretch: int, here: int = -1, text: str = "") -> None:
+    """Advance one slice as far as the listed places and ``text`` (from stretch number ``here``) tell; changes ``r``."""
+    while r["k"] < len(r["segs"]):
+        s, at = r["segs"][r["k"]], None
+        if r["k"] == 0 or s["first"] is None:
+            at = s["first"]
+        elif not s["common"]:
+            i = bisect.bisect_left(s["at"], r["cursor"])
+            at = s["at"][i] if i < len(s["at"]) else None
+        else:
+            own = r["cursor"] >> stretch
+            if own <= r["last"]:
+                if own != here:
+                    break
+                i = text.find(s["seg"], r["cursor"] - (here << stretch))
+                if i < 0 or i >= 1 << stretch:          # not in this stretch: the search goes on in the next
+                    r["cursor"] = here + 1 << stretch
+                    continue
+                at = (here << stretch) + i
+        pos, s["late"] = (s["other"], True) if at is None else (at, False)
+        if pos is not None:
+            s["pos"], r["cursor"] = pos, pos + s["len"]
+        r["k"] += 1
+    r["st"] = r["cursor"] >> stretch
+
+
+def walk_slices(segs: DataFrame, occ: DataFrame, known: DataFrame, pieces: DataFrame, blocks: DataFrame, spans: DataFrame,
+                keys: list[str], stretch: int = STRETCH) -> DataFrame:
+    """``locate_in_order`` where some pieces are too common to list their places: keys, seg_no, pos, out_of_order.
+
+    ``segs`` holds keys (book_id first), seg_no, piece, len; ``known`` piece,
+    first, common.  A common piece is looked for in the text itself, from where
+    its slice stands: slices meet the stretch of ``2**stretch`` characters they
+    stand in, go on in it as far as they can, and meet the next one they get to
+    in a further round.
+    """
+    rows = (segs.groupBy(*keys, "seg_no").agg(F.min("piece").alias("piece"), F.min("len").cast("long").alias("len"), F.count(F.lit(1)).alias("_rows"))
+            .join(known, "piece", "left"))
+    asked = rows.select("piece").distinct()
+    listed = occ.join(known.where("not common"), "piece").join(asked, "piece", "left_semi").groupBy("piece").agg(
+        F.array_sort(F.collect_list("pos")).alias("at"))        # at most LISTED
+    texts = pieces.join(known.where("common"), "piece", "left_semi").select("piece", "seg")
+    rows = rows.join(listed, "piece", "left").join(texts, "piece", "left")
+    # rows that repeat a key: no earlier occurrence is taken for them
+    other = F.when(F.col("_rows") > 1, F.lit(-1).cast("long")).otherwise(F.col("first"))
+    seg = F.struct(F.col("seg_no").cast("int").alias("seg_no"), F.col("len"), F.coalesce("common", F.lit(False)).alias("common"), F.col("first"),
+                   other.alias("other"), F.coalesce("at", F.array().cast("array<bigint>")).alias("at"), F.col("seg"),
+                   F.lit(None).cast("long").alias("pos"), F.lit(False).alias("late"))
+    state = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(seg)).alias("segs"))        # one slice
+    ends = spans.groupBy(keys[0]).agg(F.max((F.col("norm_end") - 1).cast("long")).alias("_end"))
+    state = state.join(ends, keys[0], "left").withColumns({
+        "last": F.coalesce(F.shiftright(F.col("_end"), stretch), F.lit(-1)).cast("long"), "k": F.lit(0), "cursor": F.lit(0).cast("long"),
+        "st": F.lit(0).cast("long")}).drop("_end")
+    schema = _parse_datatype_string(state.schema.simpleString())        # all of it nullable, as what Python returns
+
+    def walked(rows, here: int = -1, text: str = ""):
+        for lo in range(0, rows.num_rows, 256):         # few are Python objects at a time
+            some = rows.slice(lo, 256).to_pylist()
+            for r in some:
+                _walk(r, stretch, here, text)
+            yield pa.RecordBatch.from_pylist(some, schema=rows.schema)
+
+    def without(it):
+        for b in it:
+            yield from walked(b)
+
+    def within(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows
+        parts = texts.column("block").take(pc.sort_indices(texts.column("base"))).to_pylist()
+        text = "".join([p[:BLOCK] for p in parts[:-1]] + parts[-1:])
+        return pa.Table.from_batches(walked(rows, rows.column("st")[0].as_py(), text), schema=rows.schema)
+    # a stretch comes with the blocks behind it that a piece may run into
+    longest = texts.agg(F.max(F.length("seg"))).first()[0] or 0
+    of = F.sequence(F.shiftright(F.greatest(F.col("base") - longest, F.lit(0)), stretch), F.shiftright("base", stretch))
+    near = blocks.select(keys[0], "base", "block", F.explode(of).alias("st"))
+    found = []
+    state = cut_lineage(state.mapInArrow(without, schema), "zstd")
+    while True:
+        found.append(state.where("k >= size(segs)"))
+        state = state.where("k < size(segs)")
+        visits = cut_lineage(state.select(keys[0], "st").distinct())
+        if visits.isEmpty():
+            break
+        text = near.join(visits, [keys[0], "st"], "left_semi")
+        state = cut_lineage(text.groupBy(keys[0], "st").cogroup(state.groupBy(keys[0], "st")).applyInArrow(within, schema), "zstd")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return (out.select(*keys, F.explode("segs").alias("s")).where("s.pos is not null")
+            .select(*keys, F.col("s.seg_no").alias("seg_no"), F.col("s.pos").alias("pos"), F.col("s.late").alias("out_of_order")))
+
+
 def _chapter_name(n: Column) -> Column:
     return F.concat(F.lit("第"), n.cast("string"), F.lit("章"))
 
 
 def verify_slices(slices: DataFrame, chapter_text: DataFrame, spans: DataFrame | None = None,
                   blocks: DataFrame | None = None,
-                  broadcast_probes: int = BROADCAST_PROBES) -> DataFrame:
+                  broadcast_probes: int = BROADCAST_PROBES, listed: int = LISTED, stretch: int = STRETCH) -> DataFrame:
     """Audit slices of a known book: status PASS, WARN or FAIL with the reason.
 
     ``slices`` holds (book_id, doc_id, slice_no, chapter, text), ``chapter_text``
-    (book_id, idx, norm).  ``spans`` and ``blocks`` accept the written tables
-    of ``flat_spans`` and ``flat_blocks``.  Returns the keys, n_segments,
-    n_found, pos (first chosen position in the book), chapters, status, reason.
+    (book_id, idx, norm).  Places of a piece are listed up to ``listed``; more
+    common ones are looked for in the text (``walk_slices``).  ``spans`` and
+    ``blocks`` accept the written tables of ``flat_spans`` and ``flat_blocks``.
+    Returns the keys, n_segments, n_found, pos (first chosen position in the
+    book), chapters, status, reason.
     """
     keys = ["book_id", "doc_id", "slice_no"]
     if blocks is None:
         # written, so its size is known and the text is not shuffled to meet a few books
-        wanted = chapter_text.join(cut_lineage(slices.select("book_id").distinct()), "book_id", "left_semi")
+        wanted = cut_lineage(chapter_text.join(cut_lineage(slices.select("book_id").distinct()), "book_id", "left_semi")
+                             .select("book_id", "idx", "norm"), "zstd")
         spans = cut_lineage(flat_spans(wanted)) if spans is None else spans
         blocks = cut_lineage(flat_blocks(wanted, spans), "zstd")        # read once per shard of pieces
     whole = cut_lineage(slice_segments(slices, keys), "zstd")
     # a piece is searched once however many slices of its book quote it
     pieces = cut_lineage(whole.where("book_id is not null").select("book_id", "seg").distinct()
                          .withColumn("piece", F.monotonically_increasing_id()), "zstd")
-    occ = cut_lineage(find_segments(blocks, pieces, ["piece"], ["book_id"], scope=["book_id"], broadcast_probes=broadcast_probes)
-                      .select("piece", "pos"))
+    listing = max(4 * listed // blocks.rdd.getNumPartitions(), 16) if listed else 0       # by one task
+    occ = cut_lineage(find_segments(blocks, pieces, ["piece"], ["book_id"], scope=["book_id"], broadcast_probes=broadcast_probes, most=listing)
+                      .select("piece", "pos", "more"))
+    known = cut_lineage(occ.groupBy("piece").agg(F.min("pos").alias("first"), (F.bool_or("more") | (F.count(F.lit(1)) > listed)).alias("common")))
     segs = cut_lineage(whole.join(pieces, ["book_id", "seg"], "left").select(
         *keys, "seg_no", "piece", F.length("seg").alias("len"), F.substring("seg", 1, 40).alias("seg")))
-    chosen = locate_pieces(segs, occ, keys)
+    named = segs.where(" and ".join(f"`{k}` is not null" for k in keys))
+    common = known.where("common").select("piece")
+    walking = cut_lineage(named.where("seg_no > 0").join(common, "piece", "left_semi").select(*keys).distinct())
+    # the others take the first place of a common piece at most
+    places = occ.join(common, "piece", "left_anti").select("piece", "pos").unionByName(known.where("common").select("piece", F.col("first").alias("pos")))
+    chosen = locate_pieces(named.join(walking, keys, "left_anti"), places, keys, max(listed, INLINE))
+    if not walking.isEmpty():
+        chosen = chosen.unionByName(walk_slices(named.join(walking, keys, "left_semi"), occ.select("piece", "pos"), known, pieces, blocks, spans,
+                                                keys, stretch))
     placed = locate_in_spans(chosen, spans, "book_id", "pos", "norm_start", "norm_end")
     per = segs.join(placed.select(*keys, "seg_no", "pos", "out_of_order", "idx"), [*keys, "seg_no"], "left")
     agg = per.groupBy(*keys).agg(
